@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import overlap
+from . import cutoffs, groups, leaks, levels, mixing, overlap, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +18,52 @@ def _over(operator: Callable[..., DataFrame], *names: str) -> Query:
 
 def queries() -> dict[str, Query]:
     splits = ("val", "sft_train", "rl_train")
+    crops = ("file_tasks", "object_info")
     return {
         "p1_found": _over(overlap.found, *splits),
         "p1_report": _over(overlap.overlap_report, *splits),
+        "p2_found": _over(pairs.found, "res", "stage2_cot"),
+        "p2_report": _over(pairs.defect_report, "res", "stage2_cot"),
+        "p3_found": _over(groups.found, *crops),
+        "p3_splits": _over(groups.assign_splits, *crops, "split_targets"),
+        "p3_report": _over(groups.split_report, *crops, "split_targets"),
+        "p5_found": _over(cutoffs.found, "eval_results", "keep_targets"),
+        "p5_report": _over(cutoffs.cutoff_report, "eval_results", "keep_targets", "class_thresholds"),
+        "p6_found": _over(leaks.found, "documents", "eval_items"),
+        "p6_report": _over(leaks.leak_report, "documents", "eval_items"),
+        "p7_mix": _over(mixing.mixture, "documents", "mix_targets"),
+        "p7_report": _over(mixing.mixture_report, "documents", "mix_targets"),
+        "p8_found": _over(levels.found, "documents", "level_samples"),
+        "p8_profile": _over(levels.level_profile, "documents", "level_samples"),
     }
 
 
+_SLUG = "trim(regexp_replace(lower({0}), '[\\s_-]+', '_', 'g'), '_')"
+
+_LATEST = f"""WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experiment, image_path ORDER BY evaluated_at DESC, result_id DESC) AS place FROM eval_results) WHERE place = 1),
+known AS (SELECT result_id, true_class, {_SLUG.format("source")} AS source, similarity, l2_distance FROM last),
+usable AS (SELECT 'similarity' AS measure, source, result_id, true_class, similarity AS score, -similarity AS strict FROM known WHERE similarity BETWEEN -1 AND 1
+ UNION ALL SELECT 'l2_distance', source, result_id, true_class, l2_distance, l2_distance FROM known WHERE isfinite(l2_distance) AND l2_distance >= 0),
+targets AS (SELECT {_SLUG.format("source")} AS source, max(target_fraction) AS target_fraction FROM keep_targets GROUP BY 1),
+ranked AS (SELECT usable.*, target_fraction, count(*) OVER (PARTITION BY measure, source) AS usable_rows, rank() OVER (PARTITION BY measure, source ORDER BY strict) AS place FROM usable JOIN targets USING (source)),
+kept AS (SELECT * FROM ranked WHERE place <= greatest(ceil(target_fraction * usable_rows), 1))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": f"{_LATEST} SELECT measure, result_id FROM kept",
+        "p5_report": f"""{_LATEST},
+today AS (SELECT {_SLUG.format("class_name")} AS class_name, similarity_threshold, l2_distance_threshold FROM class_thresholds),
+fallback AS (SELECT max(similarity_threshold) AS s, max(l2_distance_threshold) AS d FROM today WHERE class_name = 'default'),
+bounds AS (SELECT measure, source, arg_max(score, strict) AS cutoff, max(strict) AS bound FROM kept GROUP BY ALL)
+SELECT measure, source, target_fraction, usable_rows AS usable, cutoff, count(*) FILTER (strict <= bound) AS kept,
+ count(*) FILTER (strict <= CASE WHEN measure = 'similarity' THEN -coalesce(similarity_threshold, s) ELSE coalesce(l2_distance_threshold, d) END) AS kept_today
+FROM ranked JOIN bounds USING (measure, source) LEFT JOIN today ON class_name = {_SLUG.format("true_class")} CROSS JOIN fallback GROUP BY ALL""",
+        "p3_found": f"""WITH RECURSIVE tasks AS (SELECT task_id, regexp_extract({_SLUG.format(r"regexp_replace(regexp_extract(lower(trim(source)), '[^/\\]*$'), '[.](webp|jpe?g|png)$', '')")}, '^(.+)_\\d+_\\d+$', 1) AS video FROM file_tasks),
+reads AS (SELECT DISTINCT {_SLUG.format("regexp_extract(trim(sequence_name), '[^/]*$')")} AS video, regexp_extract({_SLUG.format("trim(fish_tag)")}, '^pt_?0*([1-9]\\d*)$', 1) AS tag FROM object_info),
+links AS (SELECT DISTINCT a.video AS a, b.video AS b FROM reads a JOIN reads b USING (tag) WHERE tag <> ''),
+reach AS (SELECT DISTINCT a AS video, a AS other FROM links UNION SELECT video, b FROM reach JOIN links ON other = a),
+component AS (SELECT video, min(other) AS component FROM reach GROUP BY 1),
+grouped AS (SELECT task_id, min(task_id) OVER (PARTITION BY coalesce(component, video)) AS group_task_id FROM tasks LEFT JOIN component USING (video) WHERE video <> '')
+SELECT group_task_id, task_id FROM grouped WHERE task_id <> group_task_id""",
+    }
