@@ -41,6 +41,12 @@ def plain_path(c: Column) -> Column:
     return stripped(c)
 
 
+def file_name(c: Column) -> Column:
+    """The last part of a path or address, percent codes decoded, without query and fragment; case stays."""
+    decoded = F.try_url_decode(F.regexp_replace(F.regexp_replace(c, r"\+", "%2B"), r"%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.regexp_extract(F.when(c.contains("%"), decoded).otherwise(c), rf"([^/\\?#]*?)[{BLANKS}]*(?:[?#].*)?$", 1)
+
+
 def file_stem(c: Column, endings: str) -> Column:
     """A file's name without its ending (or endings), as a slug."""
     return slug(F.regexp_replace(F.lower(c), rf"(?:\.(?:{'|'.join(endings.split())}))+$", ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than ``1 / HOT_PARTS`` of the rows; so there are fewer than ``HOT_PARTS`` hot keys.
@@ -16,11 +16,9 @@ def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> list:
     Counts are pre-aggregated before the shuffle. Nulls and empty tables give no hot key.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n")).limit(parts).collect()
-    if not top:
-        return []
-    total = counts.agg(F.sum("n")).first()[0]
-    return [row["k"] for row in top if row["n"] * parts > total]
+    seen = Observation()
+    top = counts.observe(seen, F.sum("n").alias("total")).orderBy(F.desc("n")).limit(parts).collect()
+    return [row["k"] for row in top if row["n"] * parts > seen.get["total"]] if top else []
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: Column, how: str = "inner", parts: int = HOT_PARTS, salts: int = SALTS) -> DataFrame:
