@@ -22,7 +22,7 @@ def star_links(pairs: DataFrame, member: str, entity: str) -> DataFrame:
 
     Members of one entity are never paired with each other. Null members or entities link nothing. Hot entities are salted.
     """
-    known = pairs.select(F.col(member).alias("a"), F.col(entity).alias("_entity")).where("a IS NOT NULL AND _entity IS NOT NULL").distinct()
+    known = cut_lineage(pairs.select(F.col(member).alias("a"), F.col(entity).alias("_entity")).where("a IS NOT NULL AND _entity IS NOT NULL").distinct())
     centers = known.groupBy("_entity").agg(F.min("a").alias("b"))
     return salted_join(known, centers, "_entity", F.col("a")).where("a <> b").select("a", "b").distinct()
 
@@ -67,13 +67,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def task_video(source: Column) -> Column:
     """The video that a crop file's name starts with (``<video>_<instance>_<frame>``), in one spelling; '' if there is none."""
-    name = F.regexp_extract(names.plain_path(source), "[^/]*$", 0)
-    return F.regexp_extract(names.file_stem(name, names.IMAGE_ENDINGS), r"^(.+)_\d+_\d+$", 1)
+    return F.regexp_extract(names.file_stem(names.file_name(source), names.IMAGE_ENDINGS), r"^(.+)_\d+_\d+$", 1)
 
 
 def sequence_video(sequence: Column) -> Column:
     """The video of a sequence key, without folders, in one spelling."""
-    return names.file_stem(F.regexp_extract(names.plain_path(sequence), "[^/]*$", 0), names.VIDEO_ENDINGS)
+    return names.file_stem(names.file_name(sequence), names.VIDEO_ENDINGS)
 
 
 def fish_tag(tag: Column) -> Column:
@@ -82,8 +81,12 @@ def fish_tag(tag: Column) -> Column:
 
 
 def video_components(objects: DataFrame) -> DataFrame:
-    """(node, component) of videos that are linked by tags of fish; videos without such links are missing."""
-    read = objects.select(sequence_video(F.col("sequence_name")).alias("video"), fish_tag(F.col("fish_tag")).alias("tag"))
+    """(node, component) of videos that are linked by tags of fish; videos without such links are missing.
+
+    Equal readings are dropped before their spellings are looked at, so the texts of most rows are never parsed.
+    """
+    raw = objects.select("sequence_name", "fish_tag").where("fish_tag IS NOT NULL AND sequence_name IS NOT NULL").distinct()
+    read = raw.select(sequence_video(F.col("sequence_name")).alias("video"), fish_tag(F.col("fish_tag")).alias("tag"))
     return components(star_links(read.where("video <> '' AND tag <> ''"), "video", "tag"))
 
 
@@ -93,7 +96,8 @@ def task_groups(tasks: DataFrame, objects: DataFrame) -> DataFrame:
     Tasks with a null id, a null or empty source or one that names no video are missing. A file planned twice is two
     tasks of one group. The videos of one group need not all have tasks.
     """
-    named = tasks.select("task_id", task_video(F.col("source")).alias("video")).where("video <> '' AND task_id IS NOT NULL")
+    parsed = cut_lineage(tasks.where("task_id IS NOT NULL").select("task_id", task_video(F.col("source")).alias("video")))
+    named = parsed.where("video <> ''")
     videos = named.groupBy("video").agg(F.min("task_id").alias("first_task"))
     joined = videos.join(video_components(objects).withColumnRenamed("node", "video"), "video", "left").withColumn("component", F.coalesce("component", "video"))
     first = joined.groupBy("component").agg(F.min("first_task").alias("group_task_id"))
