@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nested
+from . import boxes, nested
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (nested,)
+_MODULES = (boxes, nested)
 
 
 def queries() -> dict[str, Query]:
