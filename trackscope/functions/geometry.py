@@ -41,14 +41,14 @@ def even_up(c: Column) -> Column:
     return (F.floor((c + 1) / 2) * 2).cast("long")
 
 
-def crop_padding(size: Column, most: float = 50.0, small: float = 150.0, large: float = 500.0) -> Column:
-    """Padding that falls linearly from ``most`` at ``small`` pixels to 0 at ``large``."""
-    return F.when(size <= small, F.lit(most)).when(size >= large, F.lit(0.0)).otherwise((large - size) / (large - small) * most)
+def crop_padding(size: Column, most: int = 50, small: float = 150.0, large: float = 500.0) -> Column:
+    """Whole pixels of padding: ``most`` up to ``small``, none from ``large`` on, falling in a line between."""
+    ramp = (most * (1 - (size - small) / (large - small))).cast("int")
+    return F.when(size <= small, F.lit(most)).when(size >= large, F.lit(0)).otherwise(ramp)
 
 
-def centered_crop(b: Box, side: Column, width: Column, height: Column) -> Column:
-    """A square of ``side`` around the box's center (corners cut towards zero), clamped to the picture."""
-    left = ((b[0] + b[2]) / 2 - side / 2).cast("int")
-    top = ((b[1] + b[3]) / 2 - side / 2).cast("int")
-    right, bottom = F.least(left + side, width), F.least(top + side, height)
-    return F.struct(F.greatest(left, F.lit(0)).cast("long").alias("x1"), F.greatest(top, F.lit(0)).cast("long").alias("y1"), right.cast("long").alias("x2"), bottom.cast("long").alias("y2"))
+def centered_crop(center_x: Column, center_y: Column, side: Column, width: int, height: int) -> dict[str, Column]:
+    """Corners of a square of ``side`` around a center, cut towards zero and moved into the picture; smaller only where the picture is."""
+    first = lambda center, most: F.greatest(F.lit(0), F.least(F.greatest((center - side / 2).cast("int"), F.lit(0)), F.lit(most) - side))
+    x1, y1 = first(center_x, width), first(center_y, height)
+    return {"x1": x1.cast("long"), "y1": y1.cast("long"), "x2": F.least(F.lit(width), x1 + side).cast("long"), "y2": F.least(F.lit(height), y1 + side).cast("long")}

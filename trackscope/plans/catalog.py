@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boxes, nested
+from . import boxes, filters, nested, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (boxes, nested)
+_MODULES = (boxes, tracks, filters, nested)
 
 
 def queries() -> dict[str, Query]:
