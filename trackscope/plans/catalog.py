@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boxes, filters, nested, tracks
+from . import boxes, filters, nested, traces, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (boxes, tracks, filters, nested)
+_MODULES = (boxes, tracks, filters, traces, nested)
 
 
 def queries() -> dict[str, Query]:
