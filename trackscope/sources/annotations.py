@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _LABEL = "struct<instance_id:bigint,class_name:string,x1:double,y1:double,x2:double,y2:double,logit:double>"
 _FRAME = f"struct<mask_name:string,mask_height:bigint,mask_width:bigint,promote_type:string,labels:map<string,{_LABEL}>>"
 #: Both layouts in one: a dataset has ``videos``, a single sequence ``frames``.
-DOCUMENT = T._parse_datatype_string(f"video_name string, frame_count bigint, frames map<string,{_FRAME}>, videos map<string,struct<video_name:string,frame_count:bigint,frames:map<string,{_FRAME}>>>, sequence_count bigint")
+DOCUMENT = f"video_name string, frame_count bigint, frames map<string,{_FRAME}>, videos map<string,struct<video_name:string,frame_count:bigint,frames:map<string,{_FRAME}>>>, sequence_count bigint"
 #: Files of an annotation folder that are no frames.
 RESERVED = ("annotations.json", "annotation.json", "metadata.json", "summary.json")
 
@@ -75,8 +74,9 @@ def duplicate_sequences(flat: DataFrame) -> DataFrame:
 def to_documents(flat: DataFrame) -> DataFrame:
     """(sequence_name, value): one JSON document for each sequence, frames and labels as objects."""
     label = F.struct(*(F.col(f) for f in FLAT[3:]))
+    by_key = lambda a, b: F.when(a["frame_key"] < b["frame_key"], -1).when(a["frame_key"] > b["frame_key"], 1).otherwise(0)
     frames = flat.groupBy("sequence_name", "frame_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label_key", label.alias("o"))))).alias("labels"))
-    sequences = frames.groupBy("sequence_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("frame_key", F.struct("labels"))))).alias("frames"), F.count(F.lit(1)).alias("frame_count"))
+    sequences = frames.groupBy("sequence_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("frame_key", F.struct("labels"))), by_key)).alias("frames"), F.count(F.lit(1)).alias("frame_count"))
     return sequences.select("sequence_name", F.to_json(F.struct(F.col("sequence_name").alias("video_name"), "frame_count", "frames")).alias("value"))
 
 
