@@ -90,7 +90,8 @@ class HammingIndex:
             item = order[np.repeat(low[at], counts) + offset] if len(at) else np.empty(0, int)
             close = np.bitwise_count(queries[query] ^ self.prints[item]) <= self.radius
             pairs.append(np.stack([query[close], item[close]]))
-        both = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        both = np.concatenate(pairs, axis=1)
+        both = np.unique(both, axis=1) if both.size else both
         return both[0], both[1]
 
 
@@ -103,14 +104,30 @@ def _run(a: list[str], b: list[str], i: int, j: int, step: int) -> int:
 
 def _beyond(a: list[str], b: list[str], i: int, j: int, step: int) -> int:
     """Most words of ``a`` that follow in ``b`` after one change at (i, j), and further ones behind long enough runs."""
-    best = 0
-    for di, dj in ((1, 1), (0, 1), (1, 0)):
-        p, q = i + di * step, j + dj * step
-        n = _run(a, b, p, q, step)
-        if n >= BETWEEN:
-            n += _beyond(a, b, p + n * step, q + n * step, step)
-        best = max(best, n)
-    return best
+    best: dict[tuple[int, int], int] = {}
+    stack = [(i, j)]
+    while stack:
+        p, q = stack[-1]
+        if (p, q) in best:
+            stack.pop()
+            continue
+        most, waits = 0, []
+        for di, dj in ((1, 1), (0, 1), (1, 0)):
+            x, y = p + di * step, q + dj * step
+            n = _run(a, b, x, y, step)
+            if n >= BETWEEN:
+                after = (x + n * step, y + n * step)
+                if after in best:
+                    n += best[after]
+                else:
+                    waits.append(after)
+            most = max(most, n)
+        if waits:
+            stack += waits
+        else:
+            best[p, q] = most
+            stack.pop()
+    return best[i, j]
 
 
 def longest_stretch(item: list[str], text: list[str], seeds: list[tuple[int, int]]) -> int:

@@ -169,7 +169,8 @@ def fit(texts: list[str], grades: list[float]) -> LevelModel:
     """A model of graded texts (grades from 0, the easiest); without any all texts get the lowest level's grade."""
     cleaned = [clean(t) for t in texts]
     if not cleaned:
-        return LevelModel(np.zeros(1), np.ones(1), np.zeros(1 + BUCKETS), np.zeros(1), np.zeros(1))
+        size = len(features("")[0])
+        return LevelModel(np.zeros(size), np.ones(size), np.zeros(size + BUCKETS), np.zeros(1), np.zeros(1))
     y = np.array(grades)
     syntax = np.array([features(t)[0] for t in cleaned])
     model = LevelModel(syntax.mean(0), syntax.std(0) + 1e-6, np.zeros(0), np.zeros(1), np.zeros(1))

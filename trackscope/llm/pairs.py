@@ -9,6 +9,7 @@ word; a response that ends without a closing mark, on a word that rarely ends an
 from __future__ import annotations
 
 import re
+import textwrap
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -85,6 +86,9 @@ def folded(text: str | None) -> str:
     return " ".join(w.lower() for w in _WORD.findall(bare(text)))
 
 
+#: Characters of a sentence that are looked at together; longer ones are looked at in parts.
+LONGEST_SENTENCE = 2000
+
 #: Level of compression.
 LEVEL = 3
 
@@ -150,7 +154,7 @@ def language(text: str, least: int = 3) -> str | None:
 
 def declines(text: str) -> bool:
     """Whether a sentence of the text declines to answer."""
-    for sentence in _SENTENCE.split(bare_lines(text)):
+    for sentence in (part for whole in _SENTENCE.split(bare_lines(text)) for part in textwrap.wrap(whole, LONGEST_SENTENCE, break_long_words=True, break_on_hyphens=False)):
         if not sentence or _REMARKS.search(sentence):
             continue
         if any(p.search(sentence) for p in _DECLINES) or (_CANNOT.search(sentence) and _TASKS.search(sentence)):
