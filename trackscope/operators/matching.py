@@ -55,38 +55,42 @@ def iou_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], at_least:
 
 
 def matching_groups(truth: DataFrame, predicted: DataFrame, keys: list[str], difficulties: dict[str, float] | None = None) -> DataFrame:
-    """(keys, difficulty, truths, plain): a row for each group with truth and each difficulty.
+    """(keys, difficulty, eligible, alone, truths, plain): a row for each group with truth and each difficulty.
 
-    ``truths``: in order, each truth's flag and its candidates (overlap above ``MATCH_IOU``); ``plain``: the scores of
-    predictions with flag 0. A box lower than the difficulty's least height has flag 1 (it may match, but counts
-    nowhere). A group is one frame (and class), so its lists stay small; both sides are partitioned by the same keys.
+    ``eligible``: truths with flag 0; ``alone``: those of them that overlap no prediction; ``truths``: in order, the flag
+    and the candidates (overlap above ``MATCH_IOU``, best first) of each other truth; ``plain``: the scores of predictions
+    with flag 0. A box lower than the difficulty's least height has flag 1 (it may match, but counts nowhere). A group
+    is one frame (and class), so its lists stay small; both sides are partitioned by the same keys, and overlaps are
+    computed once for all difficulties.
     """
     fields = F.struct(*(F.col(c) for c in BOX_FIELDS))
     gathered = lambda boxes, name: boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias(name))
     both = gathered(truth, "t").join(gathered(predicted, "p"), keys, "left").withColumn("p", F.coalesce("p", F.array().cast("array<struct<ord:bigint,x1:double,y1:double,x2:double,y2:double,score:double>>")))
-    levels = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(least).alias("least")) for name, least in (difficulties or DIFFICULTIES).items()))
-    rows = both.withColumn("_level", F.explode(levels))
-
-    def flag(b: Column) -> Column:
-        height = b["y2"] - b["y1"]
-        return F.when((height > 0) & (height < F.col("_level.least")), F.lit(1)).otherwise(F.lit(0))
+    height = lambda b: b["y2"] - b["y1"]
 
     def candidates(t: Column) -> Column:
-        with_iou = F.transform("p", lambda p: F.struct(flag(p).alias("flag"), geometry.overlap(geometry.box(t), geometry.box(p)).alias("iou"), p["ord"].alias("ord"), p["score"].alias("score")))
+        with_iou = F.transform("p", lambda p: F.struct(geometry.overlap(geometry.box(t), geometry.box(p)).alias("iou"), height(p).alias("height"), p["ord"].alias("ord"), p["score"].alias("score")))
         return F.filter(with_iou, lambda c: c["iou"] > MATCH_IOU)
 
-    truths = F.transform("t", lambda t: F.struct(flag(t).alias("flag"), candidates(t).alias("candidates")))
+    near = both.select(*keys, F.transform("t", lambda t: F.struct(height(t).alias("height"), candidates(t).alias("c"))).alias("t"), F.transform("p", lambda p: F.struct(height(p).alias("height"), p["score"].alias("score"))).alias("p"))
+    levels = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(least).alias("least")) for name, least in (difficulties or DIFFICULTIES).items()))
+    rows = near.withColumn("_level", F.explode(levels))
+    flag = lambda b: F.when((b["height"] > 0) & (b["height"] < F.col("_level.least")), F.lit(1)).otherwise(F.lit(0))
+    ranked = lambda c: F.struct(flag(c).alias("flag"), F.when(flag(c) == 0, -c["iou"]).otherwise(F.lit(0.0)).alias("far"), c["ord"].alias("ord"), c["score"].alias("score"))
+    truths = F.transform(F.filter("t", lambda t: F.size(t["c"]) > 0), lambda t: F.struct(flag(t).alias("flag"), F.array_sort(F.transform(t["c"], ranked)).alias("candidates")))
+    plain_truths = F.filter("t", lambda t: flag(t) == 0)
     plain = F.transform(F.filter("p", lambda p: flag(p) == 0), lambda p: p["score"])
-    return rows.select(*keys, F.col("_level.name").alias("difficulty"), truths.alias("truths"), plain.alias("plain"))
+    return rows.select(
+        *keys, F.col("_level.name").alias("difficulty"), F.size(plain_truths).alias("eligible"), F.size(F.filter(plain_truths, lambda t: F.size(t["c"]) == 0)).alias("alone"), truths.alias("truths"), plain.alias("plain")
+    )
 
 
-def _fold(truths: Column, order: Column | None, allowed, key) -> Column:
-    """struct(used, tp, fn, plain_used, scores) after each truth, in turn, took its first unused candidate in the order of ``key``."""
+def _fold(truths: Column, allowed) -> Column:
+    """struct(used, tp, fn, plain_used, scores) after each truth, in turn, took the first unused of its candidates."""
     start = F.struct(F.array().cast("array<bigint>").alias("used"), F.lit(0).alias("tp"), F.lit(0).alias("fn"), F.lit(0).alias("plain_used"), F.array().cast("array<double>").alias("scores"))
 
     def step(state: Column, t: Column) -> Column:
-        open_ = F.filter(t["candidates"], lambda c: allowed(c) & ~F.array_contains(state["used"], c["ord"]))
-        first = F.transform(F.slice(F.array_sort(F.transform(open_, lambda c: F.struct(*key(c), c["flag"].alias("flag"), c["ord"].alias("ord"), c["score"].alias("score")))), 1, 1), lambda c: c)
+        first = F.slice(F.filter(t["candidates"], lambda c: allowed(c) & ~F.array_contains(state["used"], c["ord"])), 1, 1)
 
         def settle(picked: Column) -> Column:
             c = F.get(picked, F.lit(0))
@@ -106,9 +110,10 @@ def _fold(truths: Column, order: Column | None, allowed, key) -> Column:
 
 def match_last(groups: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, difficulty, eligible, tp, scores): first pass, in which a truth takes the last prediction that qualifies (score above 0)."""
-    folded = _fold(F.col("truths"), None, lambda c: c["score"] > 0, lambda c: [(-c["ord"]).alias("k")])
-    eligible = F.size(F.filter("truths", lambda t: t["flag"] == 0)).alias("eligible")
-    return groups.select(*keys, "difficulty", eligible, folded.alias("_f")).select(*keys, "difficulty", "eligible", F.col("_f.tp").alias("tp"), F.col("_f.scores").alias("scores"))
+    later_first = lambda a, b: F.when(a["ord"] > b["ord"], -1).when(a["ord"] < b["ord"], 1).otherwise(0)
+    truths = F.transform("truths", lambda t: F.struct(t["flag"].alias("flag"), F.array_sort(F.filter(t["candidates"], lambda c: c["score"] > 0), later_first).alias("candidates")))
+    folded = groups.select(*keys, "difficulty", "eligible", truths.alias("_t")).select(*keys, "difficulty", "eligible", _fold(F.col("_t"), lambda c: F.lit(True)).alias("_f"))
+    return folded.select(*keys, "difficulty", "eligible", F.col("_f.tp").alias("tp"), F.col("_f.scores").alias("scores"))
 
 
 def match_best(groups: DataFrame, keys: list[str], thresholds: Column) -> DataFrame:
@@ -119,9 +124,9 @@ def match_best(groups: DataFrame, keys: list[str], thresholds: Column) -> DataFr
     """
 
     def at(threshold: Column, idx: Column) -> Column:
-        folded = _fold(F.col("truths"), None, lambda c: c["score"] >= threshold, lambda c: [c["flag"].alias("k0"), F.when(c["flag"] == 0, -c["iou"]).otherwise(F.lit(0.0)).alias("k1"), c["ord"].alias("k2")])
+        folded = _fold(F.col("truths"), lambda c: c["score"] >= threshold)
         above = F.size(F.filter("plain", lambda s: s >= threshold))
-        return F.get(F.transform(F.array(folded), lambda f: F.struct(idx.alias("idx"), threshold.alias("threshold"), f["tp"].alias("tp"), (above - f["plain_used"]).alias("fp"), f["fn"].alias("fn"))), F.lit(0))
+        return F.get(F.transform(F.array(folded), lambda f: F.struct(idx.alias("idx"), threshold.alias("threshold"), f["tp"].alias("tp"), (above - f["plain_used"]).alias("fp"), (f["fn"] + F.col("alone")).alias("fn"))), F.lit(0))
 
     return groups.select(*keys, "difficulty", F.inline(F.transform(thresholds, at)))
 
