@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..skew import salted_join
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
@@ -351,9 +352,9 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     text ends on an open mark or on a word that rarely ends), refusal (no species or option named), other_language (than
     the prompt's; only where both can be told). Null prompts can be neither copied nor in another language.
     """
-    first = judged(pairs)
+    first = cut_lineage(judged(pairs))
     unmarked = first.where("word IS NOT NULL")
-    counts = terminal_counts(pairs)
+    counts = cut_lineage(terminal_counts(pairs))
     pair = salted_join(unmarked, counts, "word", F.col("record_id"), "left").withColumnsRenamed({"ends": "pair_ends", "goes_on": "pair_goes_on"})
     both = salted_join(pair.withColumn("word", F.substring_index("word", " ", -1)), counts, "word", F.col("record_id"), "left")
     ends, goes_on = (F.when(F.col("pair_ends") + F.col("pair_goes_on") >= PAIR_LEAST, F.col(f"pair_{c}")).otherwise(F.coalesce(c, F.lit(0))) for c in ("ends", "goes_on"))
