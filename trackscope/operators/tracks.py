@@ -139,25 +139,44 @@ def unmatched_updates(updates: DataFrame, boxes: DataFrame) -> DataFrame:
 # ---- masks as pixels ----------------------------------------------------------------------------------------------
 
 
-def pixels(boxes: DataFrame, cell: int = 64) -> DataFrame:
-    """(sequence_name, frame_id, y, x, instance_id): boxes drawn on a grid of cells, later ones over earlier ones."""
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    drawn = boxes.select("sequence_name", "frame_id", "instance_id", "ord", "y1", "y2", F.explode(span("x1", "x2")).alias("x")).withColumn("y", F.explode(span("y1", "y2")))
-    return drawn.groupBy("sequence_name", "frame_id", "y", "x").agg(F.max_by("instance_id", "ord").alias("instance_id"))
+def mask_rectangles(boxes: DataFrame) -> DataFrame:
+    """(sequence_name, frame_id, instance_id, x1, y1, x2, y2): the pixels of boxes in which they are seen, later boxes lying over earlier ones.
+
+    Exact pixels, kept as rectangles that share none; ``x2`` and ``y2`` are exclusive. A box is cut at the edges of the
+    later boxes of its frame that overlap it only, so that most stay one rectangle. Boxes without corners have no pixels.
+    """
+    frame, corners = ["sequence_name", "frame_id"], ["x1", "y1", "x2", "y2"]
+    whole = boxes.select(*frame, "instance_id", "ord", *(F.floor(c).alias(c) for c in ("x1", "y1")), *((F.floor(c) + 1).alias(c) for c in ("x2", "y2"))).dropna(subset=corners)
+    later = whole.select(*(F.col(c).alias("_" + c) for c in (*frame, "ord", *corners)))
+    over = F.expr("sequence_name = _sequence_name AND frame_id = _frame_id AND _ord > ord AND _x1 < x2 AND x1 < _x2 AND _y1 < y2 AND y1 < _y2")
+    covers = F.collect_set(F.when(F.col("_ord").isNotNull(), F.struct(*(F.col("_" + c).alias(c) for c in corners))))
+    covered = whole.join(later, over, "left").groupBy(*frame, "instance_id", "ord", *corners).agg(covers.alias("_over"))
+
+    def bands(a: str, b: str) -> Column:
+        """The parts of [a, b) between the edges of ``_over``."""
+        inner = F.flatten(F.transform("_over", lambda o: F.array(F.greatest(o[a], F.col(a)), F.least(o[b], F.col(b)))))
+        edges = F.array_sort(F.array_distinct(F.concat(F.array(a, b), inner)))
+        return F.arrays_zip(F.slice(edges, F.lit(1), F.size(edges) - 1).alias("a"), F.slice(edges, F.lit(2), F.size(edges) - 1).alias("b"))
+
+    rows = covered.withColumn("_y", F.explode(bands("y1", "y2"))).withColumn("_over", F.filter("_over", lambda o: (o["y1"] <= F.col("_y.a")) & (o["y2"] >= F.col("_y.b"))))
+    parts = rows.withColumn("_x", F.explode(bands("x1", "x2"))).where(~F.exists("_over", lambda o: (o["x1"] <= F.col("_x.a")) & (o["x2"] >= F.col("_x.b"))))
+    return parts.select(*frame, "instance_id", F.col("_x.a").alias("x1"), F.col("_y.a").alias("y1"), F.col("_x.b").alias("x2"), F.col("_y.b").alias("y2"))
 
 
 def mask_boxes(mask: DataFrame) -> DataFrame:
-    """(sequence_name, frame_id, instance_id, area, x1, y1, x2, y2) of each mask, the corners inclusive."""
+    """(sequence_name, frame_id, instance_id, area, x1, y1, x2, y2) of each mask in pixels, the corners inclusive."""
     return mask.groupBy("sequence_name", "frame_id", "instance_id").agg(
-        F.count(F.lit(1)).alias("area"), F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2")
+        F.sum(F.expr("(x2 - x1) * (y2 - y1)")).alias("area"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), (F.max("x2") - 1).alias("x2"), (F.max("y2") - 1).alias("y2")
     )
 
 
 def mask_iou(mask: DataFrame, step: int = 1) -> DataFrame:
     """(sequence_name, frame_id, instance_id, other_id, iou) of masks of a frame and those of the frame ``step`` before that share pixels."""
     frame = ["sequence_name", "frame_id"]
-    before = mask.select("sequence_name", (F.col("frame_id") + step).alias("frame_id"), "y", "x", F.col("instance_id").alias("other_id"))
-    shared = mask.join(before, [*frame, "y", "x"]).groupBy(*frame, "instance_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
+    before = mask.select("sequence_name", (F.col("frame_id") + step).alias("frame_id"), F.col("instance_id").alias("other_id"), *(F.col(c).alias("_" + c) for c in ("x1", "y1", "x2", "y2")))
+    meeting = mask.join(before, frame).where("_x1 < x2 AND x1 < _x2 AND _y1 < y2 AND y1 < _y2")
+    common = F.expr("(least(x2, _x2) - greatest(x1, _x1)) * (least(y2, _y2) - greatest(y1, _y1))")
+    shared = meeting.groupBy(*frame, "instance_id", "other_id").agg(F.sum(common).alias("shared"))
     area = mask_boxes(mask).select(*frame, "instance_id", "area")
     other = area.select("sequence_name", (F.col("frame_id") + step).alias("frame_id"), F.col("instance_id").alias("other_id"), F.col("area").alias("other_area"))
     joined = shared.join(area, [*frame, "instance_id"]).join(other, [*frame, "other_id"])

@@ -28,7 +28,7 @@ def queries():
     on = lambda f, source=det: lambda spark, folder: f(source(spark, folder))
     first_frames = lambda d: d.groupBy("sequence_name").agg(F.min("frame_id").alias("a"), (F.min("frame_id") + 400).alias("b")).where("sequence_name < 'n'")
     windows = lambda d: tracks.crop_rectangles(d, tracks.crop_windows(d))
-    small = lambda d: tracks.pixels(d.where("instance_id IS NOT NULL AND frame_id IS NOT NULL"))
+    masks = lambda d: tracks.mask_rectangles(d.where("instance_id IS NOT NULL AND frame_id IS NOT NULL"))
     with_video = lambda f: lambda spark, folder: f(det(spark, folder), updates(spark, folder))
     return {
         "scan_detections_flat": on(lambda d: d),
@@ -52,9 +52,9 @@ def queries():
         "update_labels_join": with_video(lambda d, u: tracks.update_labels(d.where("instance_id IS NOT NULL"), u).select("ord", "class_name", "updated")),
         "update_conflicts": lambda spark, folder: tracks.update_conflicts(updates(spark, folder)),
         "update_unmatched": with_video(lambda d, u: tracks.unmatched_updates(u, d)),
-        "mask_area_bbox": on(lambda d: tracks.mask_boxes(small(d))),
-        "mask_iou": on(lambda d: tracks.mask_iou(small(d)).withColumn("iou", F.round("iou", 6))),
-        "mask_associate": on(lambda d: tracks.mask_associate(small(d))),
+        "mask_area_bbox": on(lambda d: tracks.mask_boxes(masks(d))),
+        "mask_iou": on(lambda d: tracks.mask_iou(masks(d)).withColumn("iou", F.round("iou", 6))),
+        "mask_associate": on(lambda d: tracks.mask_associate(masks(d))),
     }
 
 
