@@ -1,11 +1,13 @@
 """Queries that do the whole job, against rows counted one by one."""
 
+import json
 from collections import Counter
 from math import floor
 
 from pyspark.sql import functions as F
 
 from trackscope.operators import tracks
+from trackscope.plans import traces as trace_plans
 from trackscope.plans import tracks as track_plans
 
 
@@ -39,3 +41,28 @@ def test_masks_are_exact_pixels(spark, folder):
         assert {tuple(r)[:4]: round(r["iou"], 9) for r in tracks.mask_iou(masks).collect()} == {k: round(v, 9) for k, v in iou.items()}
     found = {(r["frame_id"], r["instance_id"]): r["track_id"] for r in tracks.mask_associate(tracks.mask_rectangles(made)).where("sequence_name = 's'").collect()}
     assert found[(2, 7)] == 1 and found[(2, 8)] > 8 and (1, 3) not in found
+
+
+def stage2(spark, folder):
+    """One record with columns, the same with its lists only in raw_json, and one that failed."""
+    schema = spark.read.parquet(f"{folder}/stage2_cot.parquet").schema
+    rubric = lambda a, b, c: {"evidence text quality": a, "definition alignment": b, "cross attribute consistency": c}
+    seen = lambda *names: [{"name": n, "status": "clear"} for n in names]
+    judged = lambda name, decision, reliability, *scores: {"name": name, "decision": decision, "rubric scores": rubric(*scores), "reliability": reliability}
+    lists = {
+        "extracted_appearance_attributes": {"appearance_attributes": seen("eye.ring_gold", "whisker.none", "no.such_name")},
+        "extracted_behavior_attributes": {"behavior_attributes": [*seen("rest.on_gravel", "swim.circles_wall", None, "swim.circles_wall")]},
+        "validated_appearance_attributes": {"validated_appearance": [judged("eye.ring_gold", "Keep", 1.0, 2, 2, 2), judged("whisker.none", "drop", 0.9, 1, 1, 1)]},
+        "validated_behavior_attributes": {"validated_behavior": [judged("rest.on_gravel", None, 0.5, 1, 1, 1)]},
+    }
+    text = json.dumps(lists)
+    rows = [{"record_id": 1, **lists, "raw_json": None}, {"record_id": 2, "raw_json": text}, {"record_id": 3, "error": "failed"}]
+    return spark.read.schema(schema).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+
+
+def test_integrity_covers_both_lists_and_raw_json(spark, folder, tmp_path):
+    stage2(spark, folder).write.parquet(str(tmp_path / "stage2_cot.parquet"))
+    rows = trace_plans.queries()["validation_integrity"](spark, str(tmp_path)).collect()
+    got = {(r["record_id"], r["list_name"]): tuple(r)[2:] for r in rows}
+    whole = {"appearance": (3, 2, 1, 1, 1, 0, 1, 0), "behavior": (4, 1, 1, 0, 0, 0, 0, 1)}
+    assert got == {(i, s): whole[s] if i < 3 else (0,) * 8 for i in (1, 2, 3) for s in whole} and len(rows) == 6

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers
+from . import nested
 
 
 def format_summary(results: DataFrame, by: list[str]) -> DataFrame:
@@ -51,20 +52,54 @@ def combined_reward(think: Column, rethink: Column, completion: Column, referenc
     return 0.5 * judged + right
 
 
-def validation_integrity(records: DataFrame, extracted: Column, validated: Column) -> DataFrame:
-    """(record_id, extracted, validated, missing, wrong_reliability): whether each extracted attribute was judged, and reliabilities are the rubric sum by six.
+def attribute_lists(records: DataFrame) -> DataFrame:
+    """(record_id, list_name, extracted, validated): two rows for each record, ``appearance`` and ``behavior``.
 
-    ``missing``: distinct names extracted but not judged. Null lists are empty; null elements are left out.
+    ``extracted``: names of the list's objects; ``validated``: (name, decision, reliability, total), the total null unless all
+    three rubric scores are known. The lists stand in the four columns, or, where these are all null, in ``raw_json``.
     """
-    items = records.select("record_id", F.filter(F.coalesce(extracted, F.array()), lambda a: a.isNotNull()).alias("e"), F.filter(F.coalesce(validated, F.array()), lambda a: a.isNotNull()).alias("v"))
-    names = lambda c: F.array_distinct(F.filter(F.transform(c, lambda a: a["name"]), lambda n: n.isNotNull()))
+    sides = ("appearance", "behavior")
+    rubrics = ("evidence text quality", "definition alignment", "cross attribute consistency")
+    in_columns = F.greatest(*(F.col(outer).isNotNull() for _, outer, _ in nested.LISTS))
+    text_only = ~in_columns & F.col("raw_json").isNotNull()
+    place = {name: F.col(f"{outer}.{inner}") for name, outer, inner in nested.LISTS}
+    objects = lambda name: F.filter(F.coalesce(place[name], F.array()), lambda a: a.isNotNull())
+    judged = lambda a: F.struct(a["name"].alias("name"), a["decision"].alias("decision"), a["reliability"].alias("reliability"), sum((a["rubric scores"][r] for r in rubrics[1:]), a["rubric scores"][rubrics[0]]).alias("total"))
+    columns = records.where(~text_only).select(
+        "record_id", *(F.transform(objects("extracted_" + s), lambda a: a["name"]).alias("extracted_" + s) for s in sides), *(F.transform(objects("validated_" + s), judged).alias("validated_" + s) for s in sides)
+    )
+
+    nodes = nested.nested_nodes(records.where(text_only)).where("node_type IN ('record', 'attribute', 'rubric')")
+    own = F.col("node_type") != "rubric"
+    score = lambda r: F.max_by(F.when(~own & (F.col("name") == r), F.col("score")), F.when(~own & (F.col("name") == r), F.col("pre")))
+    one = nodes.groupBy("record_id", F.when(own, F.col("pre")).otherwise(F.col("parent_pre")).alias("_node")).agg(
+        F.max("list_name").alias("_list"), *(F.max(F.when(own, F.col(c))).alias(c) for c in ("name", "decision", "reliability")), sum((score(r) for r in rubrics[1:]), score(rubrics[0])).alias("total")
+    )
+    of = lambda name, value: F.collect_list(F.when(F.col("_list") == name, value))
+    texts = one.groupBy("record_id").agg(
+        *(F.transform(of("extracted_" + s, F.struct("name")), lambda a: a["name"]).alias("extracted_" + s) for s in sides),
+        *(of("validated_" + s, F.struct("name", "decision", "reliability", "total")).alias("validated_" + s) for s in sides),
+    )
+    both = F.array(*(F.struct(F.lit(s).alias("list_name"), F.col("extracted_" + s).alias("extracted"), F.col("validated_" + s).alias("validated")) for s in sides))
+    return columns.unionByName(texts).select("record_id", F.explode(both).alias("_l")).select("record_id", "_l.*")
 
-    def wrong(a: Column) -> Column:
-        r = a["rubric scores"]
-        total = r["evidence text quality"] + r["definition alignment"] + r["cross attribute consistency"]
-        return F.coalesce(F.abs(a["reliability"] - total / 6) > 0.001, F.lit(False))
 
-    return items.select("record_id", F.size("e").alias("extracted"), F.size("v").alias("validated"), F.size(F.array_except(names("e"), names("v"))).alias("missing"), F.size(F.filter("v", wrong)).alias("wrong_reliability"))
+def validation_integrity(records: DataFrame) -> DataFrame:
+    """(record_id, list_name, extracted, validated, missing, wrong_reliability, keep, downgrade, drop, undecided) of ``attribute_lists``: whether each extracted attribute was judged, reliabilities are the rubric sum by six, and how often each decision was taken.
+
+    ``missing``: distinct names extracted but not judged. Null lists are empty; null elements are left out. Decisions count
+    whatever their case; ``undecided`` are null and unknown ones, so that the four sum to ``validated``.
+    """
+    known = ("keep", "downgrade", "drop")
+    names = lambda c: F.array_distinct(F.filter(c, lambda n: n.isNotNull()))
+    judged = F.transform("validated", lambda a: a["name"])
+    wrong = lambda a: F.coalesce(F.abs(a["reliability"] - a["total"] / 6) > 0.001, F.lit(False))
+    decision = lambda a: F.coalesce(F.lower(F.trim(a["decision"])), F.lit(""))
+    taken = lambda d: F.size(F.filter("validated", lambda a: decision(a) == d))
+    return attribute_lists(records).select(
+        "record_id", "list_name", F.size("extracted").alias("extracted"), F.size("validated").alias("validated"), F.size(F.array_except(names(F.col("extracted")), names(judged))).alias("missing"),
+        F.size(F.filter("validated", wrong)).alias("wrong_reliability"), *(taken(d).alias(d) for d in known), F.size(F.filter("validated", lambda a: ~decision(a).isin(*known))).alias("undecided"),
+    )
 
 
 def vocabulary_join(observed: DataFrame, vocabulary: DataFrame, prefix: str) -> DataFrame:

@@ -52,8 +52,7 @@ def _chat(spark, folder):
 
 
 def _integrity(spark, folder):
-    s = table(spark, folder, "stage2_cot")
-    return traces.validation_integrity(s, F.col("extracted_appearance_attributes.appearance_attributes"), F.col("validated_appearance_attributes.validated_appearance"))
+    return traces.validation_integrity(table(spark, folder, "stage2_cot"))
 
 
 def _vocabulary(spark, folder):
