@@ -66,3 +66,12 @@ def test_integrity_covers_both_lists_and_raw_json(spark, folder, tmp_path):
     got = {(r["record_id"], r["list_name"]): tuple(r)[2:] for r in rows}
     whole = {"appearance": (3, 2, 1, 1, 1, 0, 1, 0), "behavior": (4, 1, 1, 0, 0, 0, 0, 1)}
     assert got == {(i, s): whole[s] if i < 3 else (0,) * 8 for i in (1, 2, 3) for s in whole} and len(rows) == 6
+
+
+def test_chat_samples_keep_every_turn(spark, folder, tmp_path):
+    schema = spark.read.parquet(f"{folder}/sft_train.parquet").select("sample_id", "messages", "videos").schema
+    turns = [("system", "s"), ("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2")]
+    rows = [(1, turns, ["v.mp4"]), (2, turns[1:3], None), (3, [turns[1], None, ("assistant", None), turns[0]], []), (4, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "sft_train.parquet"))
+    got = {r["sample_id"]: (r["turns"], [(m["role"], m["content"]) for m in json.loads(r["messages"])]) for r in trace_plans.queries()["chat_samples"](spark, str(tmp_path)).collect()}
+    assert got == {1: (5, turns), 2: (2, turns[1:3]), 3: (2, [turns[0], turns[1]]), 4: (0, [])}

@@ -113,6 +113,13 @@ def chat_sample(system: Column, prompt: Column, answer: Column) -> Column:
     return F.filter(F.array(turn("system", system), turn("user", prompt), turn("assistant", answer)), lambda t: t.isNotNull())
 
 
+def chat_turns(messages: Column) -> Column:
+    """array of turns (role, content): the system's first, then all others in their order; those without content are left out."""
+    known = F.filter(F.coalesce(messages, F.array()), lambda m: m["content"].isNotNull())
+    system = lambda m: F.coalesce(m["role"] == "system", F.lit(False))
+    return F.transform(F.concat(F.filter(known, system), F.filter(known, lambda m: ~system(m))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+
+
 def with_video_root(videos: Column, root: str, old: str) -> Column:
     """Paths under ``old`` moved under ``root``, other absolute ones kept, relative ones put under ``root``."""
     under = F.lit(root.rstrip("/") + "/")

@@ -45,9 +45,7 @@ def _trace(spark, folder):
 
 def _chat(spark, folder):
     rows = table(spark, folder, "sft_train")
-    turns = F.filter("messages", lambda m: m.isNotNull())
-    role = lambda name: F.get(F.transform(F.filter(turns, lambda m: m["role"] == name), lambda m: m["content"]), F.lit(0))
-    sample = traces.chat_sample(F.lit(None).cast("string"), role("user"), role("assistant"))
+    sample = traces.chat_turns(F.col("messages"))
     return rows.select("sample_id", F.size(sample).alias("turns"), F.to_json(sample).alias("messages"), F.size(traces.with_video_root(F.coalesce("videos", F.array().cast("array<string>")), "/mnt/clips", "/data/videos")).alias("videos"))
 
 
