@@ -75,3 +75,18 @@ def test_chat_samples_keep_every_turn(spark, folder, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "sft_train.parquet"))
     got = {r["sample_id"]: (r["turns"], [(m["role"], m["content"]) for m in json.loads(r["messages"])]) for r in trace_plans.queries()["chat_samples"](spark, str(tmp_path)).collect()}
     assert got == {1: (5, turns), 2: (2, turns[1:3]), 3: (2, [turns[0], turns[1]]), 4: (0, [])}
+
+
+def test_truth_is_looked_up_among_all_rows(spark, tmp_path):
+    rows = [
+        (1, "a", {"ground_truth": "(A) x"}), (2, "a", {"ground_truth": "(B) y"}), (3, "a", {"site": "s"}), (4, "b", {"answer": "(C) z"}), (5, "b", {"ground_truth": "", "answer": "(D) w"}),
+        (7, "c", {"ground_truth": "", "answer": "(E) v"}), (8, "d", {"answer": "(F) u"}), (10, "e", {"site": "s"}), (11, None, {"ground_truth": "(G) t"}),
+    ]
+    text = [(*r, "<answer>(B) y</answer>", "(B) y") for r in rows]
+    spark.createDataFrame(text, "result_id long, video_path string, source_item map<string,string>, model_raw_output string, prediction string").write.parquet(str(tmp_path / "res.parquet"))
+    run = lambda name: trace_plans.queries()[name](spark, str(tmp_path)).collect()
+    truth = {r["result_id"]: r["truth"] for r in run("ground_truth_lookup")}
+    assert truth == {1: "(B) y", 2: "(B) y", 3: "(B) y", 4: "", 5: "", 7: "", 8: "(F) u", 10: None, 11: "(G) t"}
+    assert {tuple(r) for r in run("mc_accuracy_species")} == {("(b) y", 3, 3), ("(f) u", 1, 0), ("(g) t", 1, 0)}
+    assert tuple(run("mc_accuracy")[0]) == (9, 5, 3, 0.333333, 0.333333)
+    assert {r["result_id"] for r in run("answer_reward") if r["reward"] == 1.0} == {1, 2, 3}
