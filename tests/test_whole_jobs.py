@@ -6,7 +6,7 @@ from math import floor
 
 from pyspark.sql import functions as F
 
-from trackscope.operators import tracks
+from trackscope.operators import traces, tracks
 from trackscope.plans import traces as trace_plans
 from trackscope.plans import tracks as track_plans
 
@@ -90,3 +90,16 @@ def test_truth_is_looked_up_among_all_rows(spark, tmp_path):
     assert {tuple(r) for r in run("mc_accuracy_species")} == {("(b) y", 3, 3), ("(f) u", 1, 0), ("(g) t", 1, 0)}
     assert tuple(run("mc_accuracy")[0]) == (9, 5, 3, 0.333333, 0.333333)
     assert {r["result_id"] for r in run("answer_reward") if r["reward"] == 1.0} == {1, 2, 3}
+
+
+def test_vocabulary_labels_both_lists(spark, folder, tmp_path):
+    stage2(spark, folder).write.parquet(str(tmp_path / "stage2_cot.parquet"))
+    got = sorted((r["record_id"], r["label"], r["name"], r["definition"]) for r in trace_plans.queries()["vocab_join"](spark, str(tmp_path)).collect())
+    whole = [("A17", "whisker.none", "appearance: whisker.none"), ("A3", "eye.ring_gold", "appearance: eye.ring_gold"), ("B11", "rest.on_gravel", "behaviour: rest.on_gravel"), *[("B9", "swim.circles_wall", "behaviour: swim.circles_wall")] * 2]
+    assert got == [(i, *w) for i in (1, 2) for w in whole]
+
+
+def test_vocabulary_knows_every_name(spark, folder):
+    lists = traces.attribute_lists(spark.read.parquet(f"{folder}/stage2_cot.parquet"))
+    names = {(r[0], r[1]) for r in lists.select("list_name", F.explode("extracted")).distinct().collect() if r[1] is not None}
+    assert names <= {("appearance", w) for w in trace_plans.APPEARANCE} | {("behavior", w) for w in trace_plans.BEHAVIOUR}

@@ -10,6 +10,10 @@ from ..tables import table
 
 SPECIES = "amber_dace broad_snaker copper_bream dusk_catlet gilt_rudder glass_gudgeon moss_tench mud_lantern pale_chublin reed_perchlet river_tassel silver_ridgeling slate_barbel stone_sucklet thorn_loach veil_minnow".split()
 
+#: The vocabularies: every attribute name of stage2_cot, in the order of their labels. Null names and names not listed get no label, as in the reference.
+APPEARANCE = "body.deep_oval body.pencil_thin eye.ring_gold fin.anal_long fin.caudal_notched fin.dorsal_low_sail fin.pelvic_orange_rim gill.cover_blotch mouth.turned_down mouth.wide_slit scale.coarse_diamond scale.row_pearled spot.peduncle_dark stripe.back_broken stripe.flank_single tail.base_saddle whisker.none whisker.two_pairs".split()
+BEHAVIOUR = "feed.surface_sip feed.tilts_down fin.flicks_pectoral group.alone group.loose_shoal rest.under_cover swim.burst_stop swim.slow_glide swim.circles_wall turn.sharp_left_right rest.on_gravel".split()
+
 
 def res(spark, folder):
     return table(spark, folder, "res")
@@ -54,10 +58,14 @@ def _integrity(spark, folder):
 
 
 def _vocabulary(spark, folder):
-    s = table(spark, folder, "stage2_cot").select("record_id", F.explode("extracted_behavior_attributes.behavior_attributes").alias("a")).select("record_id", "a.name").where("name IS NOT NULL")
-    words = "feed.surface_sip feed.tilts_down fin.flicks_pectoral group.alone group.loose_shoal rest.under_cover swim.burst_stop swim.slow_glide".split()
-    vocabulary = spark.createDataFrame([(w, i, "behaviour: " + w) for i, w in enumerate(words)], "key string, pos int, definition string")
-    return traces.vocabulary_join(s, vocabulary, "B")
+    lists = traces.attribute_lists(table(spark, folder, "stage2_cot"))
+    seen = lists.select("record_id", "list_name", F.explode("extracted").alias("name"))
+
+    def labelled(side, words, kind, prefix):
+        vocabulary = spark.createDataFrame([(w, i, f"{kind}: {w}") for i, w in enumerate(words)], "key string, pos int, definition string")
+        return traces.vocabulary_join(seen.where(F.col("list_name") == side), vocabulary, prefix)
+
+    return labelled("appearance", APPEARANCE, "appearance", "A").unionByName(labelled("behavior", BEHAVIOUR, "behaviour", "B"))
 
 
 def queries():
