@@ -160,3 +160,34 @@ def test_reports(spark, tmp_path):
     reports.write_csv(df, str(tmp_path / "c"), ["v", "k"])
     reports.write_json_lines(df, str(tmp_path / "j"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["v", "k"] and spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_answers_lose_only_the_three_prefixes(spark):
+    from trackscope.functions import plugins
+
+    cases = {"answers vary": "answers vary", "The answer: x": "the answer: x", "Answer: X.": "x", "the answer is x": "x", "answer is: x": ": x", "<answer> Answer is Y，</answer>": "y，", "": "", " . ": ""}
+    rows = spark.createDataFrame(list(cases.items()), "text string, want string")
+    got = rows.select("text", answers.answer_for_reward(F.col("text")).alias("a"), answers.answer_reward(F.col("text"), F.col("text")).alias("r")).collect()
+    assert {r["text"]: r["a"] for r in got} == cases
+    assert {r["text"]: r["r"] for r in got} == {t: float(bool(a)) for t, a in cases.items()}
+    assert {t: plugins._plain(t) for t in cases} == cases
+    assert rows.select(answers.answer_reward(F.lit(None).cast("string"), F.lit(None).cast("string"))).first()[0] == 0.0
+
+
+def test_classes_by_alias_and_order(spark):
+    names = answers.ClassNames(["carp", "mud_carp"], [("common_carp", "carp"), ("common carp", "carp"), ("carp", "carp"), ("mud_carp", "mud_carp"), ("mud carp", "mud_carp")])
+    question = "Q\n(A) Common carp\n(D) Common-carp\n(B) mud carp\n(b) Carp\n(C) other"
+    cases = [("<ANSWER>(b)</ANSWER>", "carp"), ("(A)", "carp"), ("(C) mud carp", "carp"), ("(D)", None), ("Mud Carp", "mud_carp"), ("common_carp", "carp"), ("a mud carp", "carp"), ("nothing", None), (None, None)]
+    rows = spark.createDataFrame([(i, question, t) for i, (t, _) in enumerate(cases)], "i int, q string, t string")
+    got = {r["i"]: r["c"] for r in rows.select("i", answers.resolve_species(F.col("q"), F.col("t"), names).alias("c")).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(cases)}
+    assert answers.option_lines(["a", "b"]) == "(A) a\n(B) b"
+    assert [r[0] for r in rows.limit(1).select(answers.correct_label(F.lit("b"), ["a", "b"])).union(rows.limit(1).select(answers.correct_label(F.lit("z"), ["a"]))).collect()] == ["(B) b", "z"]
+
+
+def test_json_in_answers(spark):
+    texts = ["x ```json\n{\"a\": 1}\n``` {\"a\": 2}", "see {\"a\": {\"b\": 1}} end", "none", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.to_json(answers.json_in_text(F.col("t")))).collect()]
+    assert got == ['{"a":1}', '{"a":{"b":1}}', None, None]
+    judged = [tuple(r[0]) for r in spark.createDataFrame([('ok {"R_think": 0.5} {"R_think": 1}',), ("no",)], "t string").select(answers.judge_scores(F.col("t"))).collect()]
+    assert judged == [(0.5, 0.0), (0.0, 0.0)]

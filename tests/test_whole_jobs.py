@@ -73,7 +73,7 @@ def test_chat_samples_keep_every_turn(spark, folder, tmp_path):
     turns = [("system", "s"), ("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2")]
     rows = [(1, turns, ["v.mp4"]), (2, turns[1:3], None), (3, [turns[1], None, ("assistant", None), turns[0]], []), (4, None, None)]
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "sft_train.parquet"))
-    got = {r["sample_id"]: (r["turns"], [(m["role"], m["content"]) for m in json.loads(r["messages"])]) for r in trace_plans.queries()["chat_samples"](spark, str(tmp_path)).collect()}
+    got = {r["sample_id"]: (r["turns"], list(zip(r["roles"], r["contents"]))) for r in trace_plans.queries()["chat_samples"](spark, str(tmp_path)).collect()}
     assert got == {1: (5, turns), 2: (2, turns[1:3]), 3: (2, [turns[0], turns[1]]), 4: (0, [])}
 
 

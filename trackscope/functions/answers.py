@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 #: White space that is stripped from answers.
 BLANK = " \t\n\r\f\x0b"
 
+#: What may stand before an answer, the first that holds being dropped; and the marks dropped at its ends.
+ANSWER_PREFIXES = ("answer is", "answer:", "the answer is")
+ANSWER_ENDS = ".。 ,\n\t"
+PREFIX_PATTERN = rf"^(?:{'|'.join(ANSWER_PREFIXES)})\s*"
+
+#: An option line of a question, and an option named in an answer.
+OPTION_LINE, OPTION_NAMED = r"\(([A-Ja-j])\)\s*([^\n]+)", r"\(([A-Ja-j])\)"
+
 
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK))
@@ -33,9 +41,15 @@ def answer_or_rest(c: Column) -> Column:
 
 
 def answer_for_reward(c: Column) -> Column:
-    """The answer in lower case without a leading "the answer is" and without full stops and commas at its ends."""
+    """The answer in lower case without one of ``ANSWER_PREFIXES`` and without full stops and commas at its ends."""
     text = F.lower(F.when(has_tag(c, "answer"), tag_text(c, "answer")).otherwise(strip(c)))
-    return F.btrim(F.regexp_replace(text, r"^(?:the )?answer(?: is|:)?\s*", ""), F.lit(".。 ,\n\t"))
+    return F.btrim(F.regexp_replace(text, PREFIX_PATTERN, ""), F.lit(ANSWER_ENDS))
+
+
+def answer_reward(completion: Column, solution: Column) -> Column:
+    """1 where the completion's answer is not empty and equals the solution's, else 0; nulls give 0."""
+    given = answer_for_reward(completion)
+    return F.coalesce(((given != "") & (given == answer_for_reward(solution))).cast("double"), F.lit(0.0))
 
 
 def option_letter(c: Column) -> Column:
@@ -55,32 +69,71 @@ def is_correct_option(prediction: Column, truth: Column) -> Column:
     return F.coalesce(whole & ((option_letter(prediction) == option_letter(truth)) | (option_species(prediction) == option_species(truth))), F.lit(False))
 
 
-def options(question: Column) -> Column:
-    """array<struct<letter, species>> of the lines "(A) species" with letters A to J; a null question has none."""
-    letters = F.regexp_extract_all(question, F.lit(r"\(([A-Ja-j])\)\s*([^\n]+)"), F.lit(1))
-    species = F.regexp_extract_all(question, F.lit(r"\(([A-Ja-j])\)\s*([^\n]+)"), F.lit(2))
-    return F.coalesce(F.zip_with(letters, species, lambda a, b: F.struct(F.upper(a).alias("letter"), F.translate(F.lower(strip(b)), "- ", "__").alias("species"))), F.array().cast("array<struct<letter:string,species:string>>"))
+class ClassNames:
+    """The classes that texts may name: canonical names (with underscores), and an ordered table of aliases of them.
+
+    Without aliases each canonical name is also known with blanks for its underscores. Aliases are in lower case.
+    """
+
+    def __init__(self, canonical: list[str], aliases: list[tuple[str, str]] | None = None):
+        self.canonical = list(canonical)
+        self.aliases = list(aliases) if aliases is not None else [(alias, c) for c in canonical for alias in (c, c.replace("_", " "))]
+
+    def _looked_up(self, text: Column) -> Column:
+        if not self.aliases:
+            return F.lit(None).cast("string")
+        return F.try_element_at(F.create_map(*(F.lit(x) for pair in dict(reversed(self.aliases)).items() for x in pair)), text)
+
+    def normal(self, text: Column) -> Column:
+        """The class that a text is: by its canonical name, else by the alias it is, with or without underscores; null without one."""
+        low = F.lower(strip(text))
+        plain = F.translate(low, "- ", "__")
+        return F.coalesce(F.when(plain.isin(self.canonical), plain), self._looked_up(low), self._looked_up(F.replace(low, F.lit("_"), F.lit(" "))))
+
+    def held(self, text: Column) -> Column:
+        """The class of the first alias, in the table's order, that stands in the text."""
+        table = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(c).alias("name")) for a, c in self.aliases))
+        return F.get(F.filter(table, lambda x: F.contains(F.lower(text), x["alias"]))["name"], F.lit(0)) if self.aliases else F.lit(None).cast("string")
+
+
+def options(question: Column, names: ClassNames) -> Column:
+    """array<struct<letter, species>> of the lines "(A) species" with letters A to J whose text names a class; a null question has none."""
+    letters, texts = (F.regexp_extract_all(question, F.lit(OPTION_LINE), F.lit(i)) for i in (1, 2))
+    both = F.zip_with(letters, texts, lambda a, b: F.struct(F.upper(a).alias("letter"), names.normal(b).alias("species")))
+    return F.coalesce(F.filter(both, lambda o: o["species"].isNotNull()), F.array().cast("array<struct<letter:string,species:string>>"))
 
 
 def option_named(found: Column, letter: Column) -> Column:
     """The species of the last option with that letter, null without one."""
-    return F.element_at(F.filter(found, lambda o: o["letter"] == letter)["species"], -1)
+    return F.try_element_at(F.filter(found, lambda o: o["letter"] == letter)["species"], F.lit(-1))
 
 
-def resolve_species(question: Column, output: Column, classes: list[str]) -> Column:
-    """The class an output means: by its option's letter, by its whole answer, else the first of ``classes`` whose name it holds; null if none."""
+def resolve_species(question: Column, output: Column, names: ClassNames) -> Column:
+    """The class an output means: by its first option's letter, by its whole answer, else by the first alias that stands in it; null if none."""
     answer = answer_any_case(output)
-    letter = F.upper(F.regexp_extract(answer, r"\(([A-Ja-j])\)", 1))
-    same_letter = F.filter(options(question), lambda o: (o["letter"] == letter) & o["species"].isin(classes))
-    by_letter = F.get(F.slice(F.transform(same_letter, lambda o: o["species"]), F.greatest(F.size(same_letter), F.lit(1)), F.lit(1)), F.lit(0))
-    plain = F.translate(F.lower(answer), "- ", "__")
-    whole = F.when(plain.isin(classes), plain)
-    held = F.get(F.filter(F.array(*(F.lit(c) for c in classes)), lambda c: F.contains(F.lower(answer), F.replace(c, F.lit("_"), F.lit(" ")))), F.lit(0))
-    return F.coalesce(by_letter, whole, held)
+    by_letter = option_named(options(question, names), F.upper(F.regexp_extract(answer, OPTION_NAMED, 1)))
+    return F.coalesce(by_letter, names.normal(answer), names.held(answer))
+
+
+def option_lines(names: list[str]) -> str:
+    """The lines "(A) name", lettered in order."""
+    return "\n".join(f"({chr(ord('A') + i)}) {name}" for i, name in enumerate(names))
+
+
+def correct_label(name: Column, names: list[str]) -> Column:
+    """"(X) name" with the letter of the first option of that name; a name that is no option stands alone."""
+    at = F.array_position(F.array(*(F.lit(n) for n in names)), name)
+    return F.when(at > 0, F.concat(F.lit("("), F.char(at + 64), F.lit(") "), name)).otherwise(name)
+
+
+def evidence_line(item: Column) -> Column:
+    """"name: reason" of an evidence object (name, reason), the name alone without a reason."""
+    name = F.coalesce(item["name"], F.lit(""))
+    return F.when(F.coalesce(item["reason"], F.lit("")) == "", name).otherwise(F.concat(name, F.lit(": "), item["reason"]))
 
 
 def trace(evidence: Column, supporting: Column, exclusion: Column, uncertainty: Column, summary: Column) -> Column:
-    """The tagged text of an annotation; without supporting text the middle part is empty."""
+    """The tagged text of an annotation; ``evidence`` is a list of lines, nulls left out. Without supporting text the middle part is empty."""
     nothing = lambda c: F.coalesce(c, F.lit(""))
     lines = F.array_join(F.transform(F.filter(F.coalesce(evidence, F.array().cast("array<string>")), lambda e: e.isNotNull()), lambda e: F.concat(F.lit("- "), e)), "\n")
     think = F.when(lines == "", F.lit("Observations: (none)")).otherwise(F.concat(F.lit("Observations:\n"), lines))
@@ -95,8 +148,16 @@ def clean_json_fence(c: Column) -> Column:
 
 
 def json_in_text(c: Column) -> Column:
-    """The JSON object in free text as VARIANT: from the first ``{`` to the last ``}``; null if that is no JSON."""
-    return F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+    """The JSON in free text as VARIANT: that of the first fenced block, else from the first ``{`` to the last ``}``, else the whole; null if that is no JSON."""
+    fenced, braced = F.regexp_extract(c, r"(?s)```json(.*?)```", 1), F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    text = F.when(c.rlike(r"(?s)```json.*?```"), fenced).when(braced != "", braced).otherwise(c)
+    return F.try_parse_json(F.replace(strip(text), F.lit("–"), F.lit("-")))
+
+
+def judge_scores(c: Column) -> Column:
+    """struct<think, rethink> of a judge's answer: the shortest first ``{...}``; without one, or where it is no JSON, both are 0."""
+    found = F.from_json(F.regexp_extract(c, r"(?s)\{.*?\}", 0), "R_think double, R_rethink double")
+    return F.struct(F.coalesce(found["R_think"], F.lit(0.0)).alias("think"), F.coalesce(found["R_rethink"], F.lit(0.0)).alias("rethink"))
 
 
 def reward_mix(think: Column, rethink: Column, think_weight: float = 0.5, rethink_weight: float = 0.5) -> Column:

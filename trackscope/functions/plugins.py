@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
 
+from . import answers
+
 #: name -> function of (completions, solutions) to scores.
 REWARDS: dict[str, Callable[[pd.Series, pd.Series], pd.Series]] = {}
 
@@ -27,13 +29,13 @@ def _plain(text: str | None) -> str | None:
     if text is None:
         return None
     match = re.search(r"<answer>(.*?)</answer>", text, re.S)
-    return re.sub(r"^(?:the )?answer(?: is|:)?\s*", "", (match.group(1) if match else text).strip().lower()).strip(".。 ,\n\t")
+    return re.sub(answers.PREFIX_PATTERN, "", (match.group(1) if match else text).strip().lower()).strip(answers.ANSWER_ENDS)
 
 
 @reward("answer_accuracy")
 def answer_accuracy(completions: pd.Series, solutions: pd.Series) -> pd.Series:
-    """1 where the normalised answers are equal, else 0; nulls give 0."""
-    return pd.Series([float(a is not None and a == b) for a, b in zip(map(_plain, completions), map(_plain, solutions))])
+    """1 where the normalised answers are equal and not empty, else 0; nulls give 0."""
+    return pd.Series([float(bool(a) and a == b) for a, b in zip(map(_plain, completions), map(_plain, solutions))])
 
 
 def register_rewards(spark: SparkSession) -> None:
@@ -65,7 +67,7 @@ class QuestionOptions:
     """Rows of the options "(A) species" of a question."""
 
     def eval(self, question: str):
-        for letter, species in re.findall(r"\(([A-Ja-j])\)\s*([^\n]+)", question or ""):
+        for letter, species in re.findall(answers.OPTION_LINE, question or ""):
             yield letter.upper(), species.strip()
 
 

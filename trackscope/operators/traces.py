@@ -19,12 +19,13 @@ def format_summary(results: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ground_truth(results: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``results`` with ``truth``: the last benchmark row of the video path, else the item's own truth, else its answer.
+    """``results`` with ``truth``: the truth of the video path's last benchmark row that has one, else the item's own truth, else its answer.
 
-    An empty text found in the benchmark stands; an empty one of the item does not. ``benchmark``: video_path,
-    ground_truth, ord.
+    ``benchmark``: video_path, ground_truth, answer, ord; a row's truth is its ground_truth, where that is null its
+    answer. An empty text found in the benchmark stands; an empty one of the item does not.
     """
-    last = benchmark.where("ground_truth IS NOT NULL").groupBy("video_path").agg(F.max_by("ground_truth", "ord").alias("_found"))
+    own = F.coalesce("ground_truth", "answer")
+    last = benchmark.where(own.isNotNull()).groupBy("video_path").agg(F.max_by(own, "ord").alias("_found"))
     item = F.col("source_item")
     filled = lambda key: F.nullif(F.try_element_at(item, F.lit(key)), F.lit(""))
     return results.join(last, "video_path", "left").withColumn("truth", F.coalesce("_found", filled("ground_truth"), filled("answer"))).drop("_found")
@@ -48,8 +49,7 @@ def combined_reward(think: Column, rethink: Column, completion: Column, referenc
     """0.5 times the judge's mix plus the accuracy of the answer; the judge counts 0 where completion or reference has neither part."""
     tagged = lambda c: (answers.tag_text(F.coalesce(c, F.lit("")), "think") != "") | (answers.tag_text(F.coalesce(c, F.lit("")), "rethink") != "")
     judged = F.when(tagged(completion) & tagged(reference), answers.reward_mix(think, rethink)).otherwise(F.lit(0.0))
-    right = F.coalesce((answers.answer_for_reward(completion) == answers.answer_for_reward(solution)).cast("double"), F.lit(0.0))
-    return 0.5 * judged + right
+    return 0.5 * judged + answers.answer_reward(completion, solution)
 
 
 def attribute_lists(records: DataFrame) -> DataFrame:

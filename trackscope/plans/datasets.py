@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import plugins
 from ..operators import datasets
 from ..tables import table
+from .traces import rewarded_sql
 
 _NAME = r"regexp_extract(lower(trim(source)), '[^/\\]*$', 0)"
 _CLASS = r"translate(regexp_extract(lower(trim(source)), '([^/\\]+)[/\\][^/\\]+$', 1), '- ', '__')"
@@ -75,7 +76,6 @@ _SPLIT = f"WITH {_FILES}, d AS (SELECT DISTINCT class_name, path FROM f), s AS (
 
 def oracle_sql():
     specs = "sp AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{scope}', '{c}')" for e, known, unknown in EXPERIMENTS for scope, cs in (("known", known), ("unknown", unknown)) for c in cs) + ") v(experiment, scope, class_name))"
-    answer = lambda c: f"trim(regexp_replace(lower(trim(CASE WHEN regexp_matches({c}, '<answer>.*?</answer>', 's') THEN regexp_extract({c}, '<answer>(.*?)</answer>', 1, 's') ELSE {c} END, ' ' || chr(9) || chr(10) || chr(13))), '^(?:the )?answer(?: is|:)?\\s*', ''), '.。 ,' || chr(10) || chr(9))"
     pattern = r"'\(([A-Ja-j])\)\s*([^\n]+)'"
     return {
         "seeded_split": f"{_SPLIT} SELECT * FROM s",
@@ -91,7 +91,7 @@ def oracle_sql():
         "eta_stats": f"WITH {_HISTORY} SELECT epoch, round(avg(loss) OVER w, 6) AS mean_seconds, round(greatest(3000 - row_number() OVER (ORDER BY epoch), 0) * avg(loss) OVER w, 4) AS remaining FROM h WINDOW w AS (ORDER BY epoch ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)",
         "early_stop": f"WITH {_HISTORY}, b AS (SELECT *, min(loss) OVER (ORDER BY epoch) AS best, coalesce(loss < min(loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS better FROM h), i AS (SELECT *, sum(better) OVER (ORDER BY epoch) AS island FROM b), s AS (SELECT epoch, best, row_number() OVER (PARTITION BY island ORDER BY epoch) - 1 AS since FROM i) SELECT epoch, round(best, 9) AS best, since, since >= 200 AS stop FROM s",
         "round_robin_chunks": "SELECT (benchmark_index % 8)::INT AS worker, count(*) AS rows FROM res GROUP BY 1",
-        "pandas_reward": f"SELECT result_id, coalesce(({answer('model_raw_output')} = {answer('source_item[$k$ground_truth$k$]')})::INT::DOUBLE, 0) AS reward FROM res".replace("$k$", "'"),
+        "pandas_reward": f"SELECT result_id, {rewarded_sql('model_raw_output', 't')} AS reward FROM (SELECT *, source_item['ground_truth'] AS t FROM res)",
         "udtf_options": f"SELECT result_id, upper(unnest(regexp_extract_all(question, {pattern}, 1))) AS letter, trim(unnest(regexp_extract_all(question, {pattern}, 2))) AS species FROM res",
         "map_in_pandas_match": "SELECT result_id, coalesce(lower(true_class) = lower(predicted_class), false) AS correct FROM eval_results",
     }
