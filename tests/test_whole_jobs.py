@@ -1,6 +1,7 @@
 """Queries that do the whole job, against rows counted one by one."""
 
 import json
+import random
 from collections import Counter
 from math import floor
 
@@ -39,8 +40,47 @@ def test_masks_are_exact_pixels(spark, folder):
         shared = Counter((s, f, i, before[p]) for (s, f), seen in frames.items() for before in [frames.get((s, f - 1), {})] for p, i in seen.items() if p in before)
         iou = {k: n / (area[k[:3]] + area[(k[0], k[1] - 1, k[3])] - n) for k, n in shared.items()}
         assert {tuple(r)[:4]: round(r["iou"], 9) for r in tracks.mask_iou(masks).collect()} == {k: round(v, 9) for k, v in iou.items()}
-    found = {(r["frame_id"], r["instance_id"]): r["track_id"] for r in tracks.mask_associate(tracks.mask_rectangles(made)).where("sequence_name = 's'").collect()}
-    assert found[(2, 7)] == 1 and found[(2, 8)] > 8 and (1, 3) not in found
+
+
+BOXES = "sequence_name string, frame_id long, ord long, x1 double, y1 double, x2 double, y2 double, track_id int"
+
+
+def identities(rows, least):
+    """The loop that hands identities on, with masks as sets of pixels."""
+    got = {}
+    for sequence in {r[0] for r in rows}:
+        tracked, count = {}, 0
+        for frame in sorted({r[1] for r in rows if r[0] == sequence}):
+            held = {}
+            for r in sorted((r for r in rows if r[:2] == (sequence, frame)), key=lambda r: r[2]):
+                mask = {(x, y) for x in range(floor(r[3]), floor(r[5]) + 1) for y in range(floor(r[4]), floor(r[6]) + 1)}
+                identity = next((i for i, m in tracked.items() if len(mask & m) / len(mask | m) > least), None)
+                if identity is None:
+                    count += 1
+                    identity = count
+                held[identity] = mask
+                got[r[2]] = identity
+            tracked = held
+    return got
+
+
+def test_identities_last_over_many_frames(spark):
+    rng = random.Random(4)
+    rows = [("s", f * 3, f, 10.0 + f, 0.0, 40.0 + f, 20.0, 0) for f in range(30)]
+    rows += [("t", f, 1000 + 10 * f + k, *(float(v + rng.randint(-2, 2)) for v in (20 * (k // 2), 0, 20 * (k // 2) + 18, 15)), 0) for f in range(40) for k in range(rng.randint(0, 5))]
+    rows += [("u", f, 5000 + f, 0.0, 0.0, 5.0, 5.0, 0) for f in (0, 5000, 9000)]
+    frame = spark.createDataFrame([*rows, ("s", None, 9001, 0.0, 0.0, 1.0, 1.0, 0), ("s", 1, 9002, None, 0.0, 1.0, 1.0, 0), (None, 1, 9003, 0.0, 0.0, 1.0, 1.0, 0)], BOXES)
+    for least in (0.5, 0.8):
+        got = {r["ord"]: r["track_id"] for r in tracks.mask_associate(frame, least).collect()}
+        assert got == identities(rows, least)
+    assert {got[r[2]] for r in rows if r[0] == "s"} == {1} and {got[r[2]] for r in rows if r[0] == "u"} == {1}
+    assert tracks.mask_associate(frame.limit(0)).count() == 0
+
+
+def test_row_numbers_are_ranks(spark):
+    values = [(g, v) for g in "ab" for v in random.Random(g).sample(range(-9000, 30000), 700)] + [("a", None)]
+    got = {(r["g"], r["v"]): r["n"] for r in tracks.row_numbers(spark.createDataFrame(values, "g string, v long"), ["g"], "v", "n").collect()}
+    assert got == {(g, v): i + 1 for g in "ab" for i, v in enumerate(sorted(v for h, v in values if h == g and v is not None))}
 
 
 def stage2(spark, folder):

@@ -183,15 +183,98 @@ def mask_iou(mask: DataFrame, step: int = 1) -> DataFrame:
     return joined.select(*frame, "instance_id", "other_id", (F.col("shared") / (F.col("area") + F.col("other_area") - F.col("shared"))).alias("iou"))
 
 
-def mask_associate(mask: DataFrame, least: float = 0.5, step: int = 1) -> DataFrame:
-    """(sequence_name, frame_id, instance_id, track_id): the first mask before with more overlap than ``least``, else a new id.
+def _boxes_in_order(boxes: DataFrame, order: Column) -> DataFrame:
+    """Boxes of a sequence with ``_rank``, the number of their frame among the sequence's frames (from 1)."""
+    frames = boxes.select("sequence_name", "frame_id").distinct()
+    ranked = row_numbers(frames, ["sequence_name"], "frame_id", "_rank")
+    pixel = {"x1": F.floor("x1"), "y1": F.floor("y1"), "x2": F.floor("x2") + 1, "y2": F.floor("y2") + 1}
+    return boxes.select("sequence_name", "frame_id", order.alias("ord"), *(c.alias(n) for n, c in pixel.items())).join(ranked, ["sequence_name", "frame_id"])
 
-    New ids continue after the largest instance of the sequence, in the order of frame and instance.
+
+def row_numbers(rows: DataFrame, groups: list[str], order: str, name: str, width: int = 4096) -> DataFrame:
+    """``rows`` numbered from 1 in each group by ``order``, a whole number that is unique in its group.
+
+    No group is sorted in one task: rows are numbered within ranges of ``width`` values, and a range's first number
+    comes from the counts of the ranges before it. Null orders are left out.
     """
-    frame = ["sequence_name", "frame_id"]
-    found = mask_iou(mask, step).where(F.col("iou") > least).groupBy(*frame, "instance_id").agg(F.min("other_id").alias("track_id"))
-    every = mask.select(*frame, "instance_id").distinct().join(found, [*frame, "instance_id"], "left")
-    most = mask.groupBy("sequence_name").agg(F.max("instance_id").alias("_most"))
-    number = F.row_number().over(Window.partitionBy("sequence_name").orderBy("frame_id", "instance_id"))
-    fresh = every.where("track_id IS NULL").join(most, "sequence_name").withColumn("track_id", F.col("_most") + number).drop("_most")
-    return every.where("track_id IS NOT NULL").unionByName(fresh)
+    ranged = rows.where(F.col(order).isNotNull()).withColumn("_range", F.floor(F.col(order) / width))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(order))
+    return ranged.withColumn("_inside", inside).join(starts, [*groups, "_range"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
+
+
+def mask_candidates(boxes: DataFrame, least: float) -> DataFrame:
+    """(sequence_name, _rank, ord, other): boxes of a frame and those of the frame before it in the sequence whose masks, whole rectangles in pixels, overlap by more than ``least``."""
+    corners = ("x1", "y1", "x2", "y2")
+    before = boxes.select("sequence_name", (F.col("_rank") + 1).alias("_rank"), F.col("ord").alias("other"), *(F.col(c).alias("_" + c) for c in corners))
+    iou = geometry.overlap(geometry.box(), geometry.box(prefix="_"))
+    return boxes.join(before, ["sequence_name", "_rank"]).where(iou > least).select("sequence_name", "_rank", "ord", "other")
+
+
+def fold_identities(frames: list[tuple[list[int], dict[int, set[int]]]]) -> dict[int, int]:
+    """box -> the box that first bore its identity, over consecutive frames, each (its boxes in order, candidates in the frame before by box).
+
+    A box takes the identity of the first tracked mask among its candidates, else a new one. Of the boxes of a frame
+    with one identity the last bears it on, in the place of the first.
+    """
+    first: dict[int, int] = {}
+    tracked: dict[int, int] = {}
+    for boxes, near in frames:
+        held: dict[int, int] = {}
+        for box in boxes:
+            mine = near.get(box, ())
+            identity = next((i for i, bearer in tracked.items() if bearer in mine), box)
+            first[box] = identity
+            held[identity] = box
+        tracked = held
+    return first
+
+
+def mask_associate(boxes: DataFrame, least: float = 0.65, order: str = "ord") -> DataFrame:
+    """(sequence_name, frame_id, ord, track_id): identities handed on from frame to frame of each sequence.
+
+    In each frame, by ``order`` (unique in the table), a box takes the identity of the first mask tracked in the
+    sequence's frame before it whose overlap in pixels is above ``least``, else a new one; frames without boxes pass the
+    tracked masks on. Several boxes may take one identity: the last bears it on. Identities count from 1 in the order
+    of their first boxes. Boxes without corners, frame or order are left out; they have no pixels.
+
+    Frames that no candidate links to the frame before start a new run, so most boxes are settled by a join alone;
+    only runs of linked frames are folded, one at a time, each box as a number with its candidates.
+    """
+    from ..session import cut_lineage
+
+    known = boxes.dropna(subset=["sequence_name", "frame_id", order, "x1", "y1", "x2", "y2"])
+    ranked = cut_lineage(_boxes_in_order(known, F.col(order)))
+    near = cut_lineage(mask_candidates(ranked, least).groupBy("sequence_name", "_rank", "ord").agg(F.collect_set("other").alias("near")))
+    linked = near.select("sequence_name", "_rank").distinct()
+    # frames of runs: those linked backwards, numbered so that consecutive ones share the difference, and the frame before each run
+    islands = row_numbers(linked, ["sequence_name"], "_rank", "_i").select("sequence_name", "_rank", (F.col("_rank") - F.col("_i")).alias("_run"))
+    heads = islands.groupBy("sequence_name", "_run").agg((F.min("_rank") - 1).alias("_rank")).select("sequence_name", "_rank", "_run")
+    chained = ranked.join(islands.unionByName(heads), ["sequence_name", "_rank"]).join(near, ["sequence_name", "_rank", "ord"], "left").select("sequence_name", "_run", "_rank", "ord", "near")
+
+    def fold(rows):
+        import pandas as pd
+
+        frames: dict[int, tuple[list, dict]] = {}
+        for rank, box, mine in sorted(zip(rows["_rank"], rows["ord"], rows["near"]), key=lambda r: r[:2]):
+            held = frames.setdefault(rank, ([], {}))
+            held[0].append(box)
+            if mine is not None and len(mine):
+                held[1][box] = set(mine)
+        first = fold_identities([frames[r] for r in sorted(frames)])
+        return pd.DataFrame({"sequence_name": rows["sequence_name"].iloc[0], "ord": list(first), "root": list(first.values())})
+
+    roots = chained.groupBy("sequence_name", "_run").applyInPandas(fold, "sequence_name string, ord long, root long")
+    settled = cut_lineage(ranked.join(roots, ["sequence_name", "ord"], "left").withColumn("root", F.coalesce("root", "ord")))
+    # a new identity's number: the new ones of earlier frames, then those before it in its frame
+    fresh = settled.where("root = ord")
+    before = Window.partitionBy("sequence_name", "_part").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    per_frame = fresh.groupBy("sequence_name", "_rank").agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", F.floor(F.col("_rank") / 4096))
+    parts = per_frame.groupBy("sequence_name", "_part").agg(F.sum("_n").alias("_m"))
+    ahead = Window.partitionBy("sequence_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("sequence_name", "_part", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_a"))
+    starts = per_frame.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(offsets, ["sequence_name", "_part"]).select("sequence_name", "_rank", (F.col("_a") + F.col("_b")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("sequence_name", "_rank").orderBy("ord"))
+    numbered = fresh.withColumn("_place", place).join(starts, ["sequence_name", "_rank"]).select("sequence_name", F.col("ord").alias("root"), (F.col("_before") + F.col("_place")).alias("track_id"))
+    return settled.join(numbered, ["sequence_name", "root"]).select("sequence_name", "frame_id", "ord", "track_id")

@@ -54,7 +54,7 @@ def queries():
         "update_unmatched": with_video(lambda d, u: tracks.unmatched_updates(u, d)),
         "mask_area_bbox": on(lambda d: tracks.mask_boxes(masks(d))),
         "mask_iou": on(lambda d: tracks.mask_iou(masks(d)).withColumn("iou", F.round("iou", 6))),
-        "mask_associate": on(lambda d: tracks.mask_associate(masks(d))),
+        "mask_associate": on(lambda d: tracks.mask_associate(d.where("instance_id IS NOT NULL"))),
     }
 
 
@@ -68,10 +68,24 @@ _VALID = "x2 > x1 AND y2 > y1 AND NOT (x1 = 0 AND y1 = 0 AND x2 = 0 AND y2 = 0)"
 _WINDOWS = f"""{_WHOLE}, st AS (SELECT sequence_name, instance_id, CASE WHEN count(*) >= 5 THEN quantile_cont(x2 - x1, 0.8) ELSE max(x2 - x1) END AS pw, CASE WHEN count(*) >= 5 THEN quantile_cont(y2 - y1, 0.8) ELSE max(y2 - y1) END AS ph, max(x2 - x1) AS max_width, max(y2 - y1) AS max_height FROM whole WHERE {_VALID} GROUP BY ALL),
 pd AS (SELECT *, CASE WHEN greatest(pw, ph) <= 150 THEN 50 WHEN greatest(pw, ph) >= 500 THEN 0 ELSE trunc(50 * (1 - (greatest(pw, ph) - 150) / 350.0::DOUBLE)) END AS pad FROM st),
 win AS (SELECT sequence_name, instance_id, (floor((greatest(greatest(trunc(pw), trunc(max_width * 0.8::DOUBLE)), greatest(trunc(ph), trunc(max_height * 0.8::DOUBLE))) + 2 * pad + 1) / 2) * 2)::BIGINT AS side, max_width, max_height FROM pd)"""
-_PIX = """px AS (SELECT sequence_name, frame_id, y, x, arg_max(instance_id, ord) AS instance_id FROM (SELECT *, unnest(generate_series(floor(y1 / 64)::BIGINT, floor(y2 / 64)::BIGINT)) AS y FROM (SELECT *, unnest(generate_series(floor(x1 / 64)::BIGINT, floor(x2 / 64)::BIGINT)) AS x FROM det WHERE instance_id IS NOT NULL AND frame_id IS NOT NULL)) GROUP BY 1, 2, 3, 4),
-ar AS (SELECT sequence_name, frame_id, instance_id, count(*) AS area, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM px GROUP BY 1, 2, 3),
-sh AS (SELECT a.sequence_name, a.frame_id, a.instance_id, b.instance_id AS other_id, count(*) AS shared FROM px a JOIN px b ON a.sequence_name = b.sequence_name AND a.frame_id = b.frame_id + 1 AND a.x = b.x AND a.y = b.y GROUP BY 1, 2, 3, 4),
+_PIX = """mb AS (SELECT sequence_name, frame_id, instance_id, ord, floor(x1)::BIGINT AS x1, floor(y1)::BIGINT AS y1, floor(x2)::BIGINT + 1 AS x2, floor(y2)::BIGINT + 1 AS y2 FROM det WHERE instance_id IS NOT NULL AND frame_id IS NOT NULL AND x1 + y1 + x2 + y2 IS NOT NULL),
+xs AS (SELECT sequence_name, frame_id, e AS xa, lead(e) OVER (PARTITION BY sequence_name, frame_id ORDER BY e) AS xb FROM (SELECT DISTINCT sequence_name, frame_id, unnest([x1, x2]) AS e FROM mb)),
+ys AS (SELECT sequence_name, frame_id, e AS ya, lead(e) OVER (PARTITION BY sequence_name, frame_id ORDER BY e) AS yb FROM (SELECT DISTINCT sequence_name, frame_id, unnest([y1, y2]) AS e FROM mb)),
+px AS (SELECT mb.sequence_name, mb.frame_id, xa, ya, xb, yb, arg_max(instance_id, ord) AS instance_id FROM mb JOIN xs ON xs.sequence_name = mb.sequence_name AND xs.frame_id = mb.frame_id AND xa >= x1 AND xb <= x2 JOIN ys ON ys.sequence_name = mb.sequence_name AND ys.frame_id = mb.frame_id AND ya >= y1 AND yb <= y2 GROUP BY 1, 2, 3, 4, 5, 6),
+ar AS (SELECT sequence_name, frame_id, instance_id, sum((xb - xa) * (yb - ya))::BIGINT AS area, min(xa) AS x1, min(ya) AS y1, max(xb) - 1 AS x2, max(yb) - 1 AS y2 FROM px GROUP BY 1, 2, 3),
+sh AS (SELECT a.sequence_name, a.frame_id, a.instance_id, b.instance_id AS other_id, sum((least(a.xb, b.xb) - greatest(a.xa, b.xa)) * (least(a.yb, b.yb) - greatest(a.ya, b.ya))) AS shared FROM px a JOIN px b ON a.sequence_name = b.sequence_name AND a.frame_id = b.frame_id + 1 AND a.xa < b.xb AND b.xa < a.xb AND a.ya < b.yb AND b.ya < a.yb GROUP BY 1, 2, 3, 4),
 mi AS (SELECT sh.sequence_name, sh.frame_id, sh.instance_id, other_id, shared / (a.area + b.area - shared) AS iou FROM sh JOIN ar a ON a.sequence_name = sh.sequence_name AND a.frame_id = sh.frame_id AND a.instance_id = sh.instance_id JOIN ar b ON b.sequence_name = sh.sequence_name AND b.frame_id + 1 = sh.frame_id AND b.instance_id = sh.other_id)"""
+_INTER = "greatest(least(d.x2, t.x2) - greatest(d.x1, t.x1), 0) * greatest(least(d.y2, t.y2) - greatest(d.y1, t.y1), 0)"
+_MASK_IOU = f"{_INTER} / ((d.x2 - d.x1) * (d.y2 - d.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) - {_INTER})::DOUBLE"
+#: The frames of each sequence in turn, with the tracked masks as the state.
+_FOLD = f"""mb AS (SELECT sequence_name, frame_id, ord, floor(x1)::BIGINT AS x1, floor(y1)::BIGINT AS y1, floor(x2)::BIGINT + 1 AS x2, floor(y2)::BIGINT + 1 AS y2 FROM det WHERE instance_id IS NOT NULL AND frame_id IS NOT NULL AND x1 + y1 + x2 + y2 IS NOT NULL),
+fr AS (SELECT sequence_name, frame_id, row_number() OVER (PARTITION BY sequence_name ORDER BY frame_id) AS r, list({{'ord': ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY ord) AS ds FROM mb GROUP BY sequence_name, frame_id),
+fold AS (SELECT sequence_name, 0::BIGINT AS r, 0::BIGINT AS n, []::STRUCT(id BIGINT, x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)[] AS tr, []::STRUCT(ord BIGINT, id BIGINT)[] AS got, NULL::BIGINT AS frame_id FROM fr GROUP BY 1
+ UNION ALL SELECT sequence_name, r, n + len(list_filter(m, lambda x: x IS NULL)), list_transform(list_filter(range(1, len(ids) + 1), lambda i: list_position(ids, ids[i]) = i),
+  lambda i: struct_pack(id := ids[i], x1 := list_filter(who, lambda d: d.id = ids[i])[-1].x1, y1 := list_filter(who, lambda d: d.id = ids[i])[-1].y1, x2 := list_filter(who, lambda d: d.id = ids[i])[-1].x2, y2 := list_filter(who, lambda d: d.id = ids[i])[-1].y2)), list_transform(who, lambda d: struct_pack(ord := d.ord, id := d.id)), frame_id
+ FROM (SELECT *, list_transform(list_zip(ds, ids), lambda z: struct_pack(ord := z[1].ord, id := z[2], x1 := z[1].x1, y1 := z[1].y1, x2 := z[1].x2, y2 := z[1].y2)) AS who
+ FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda i: coalesce(m[i], n + len(list_filter(m[1:i], lambda x: x IS NULL)))) AS ids
+ FROM (SELECT fold.sequence_name, fr.r, fr.frame_id, n, ds, list_transform(ds, lambda d: list_filter(tr, lambda t: {_MASK_IOU} > 0.65)[1].id) AS m FROM fold JOIN fr ON fr.sequence_name = fold.sequence_name AND fr.r = fold.r + 1))))"""
 _LAST = f"{_DET}, {_UPD}, lu AS (SELECT sequence_name, instance_id, arg_max(class_name, ord) AS new FROM upd GROUP BY 1, 2)"
 
 
@@ -100,7 +114,6 @@ m AS (SELECT ord, side, greatest(0, least(greatest(cx, 0), 1920 - side))::BIGINT
         "update_unmatched": f"WITH {_DET}, {_UPD} SELECT DISTINCT sequence_name FROM upd WHERE sequence_name NOT IN (SELECT sequence_name FROM det)",
         "mask_area_bbox": f"WITH {_DET}, {_PIX} SELECT * FROM ar",
         "mask_iou": f"WITH {_DET}, {_PIX} SELECT sequence_name, frame_id, instance_id, other_id, round(iou, 6) AS iou FROM mi",
-        "mask_associate": f"""WITH {_DET}, {_PIX}, f AS (SELECT sequence_name, frame_id, instance_id, min(other_id) AS track_id FROM mi WHERE iou > 0.5 GROUP BY 1, 2, 3), e AS (SELECT ar.sequence_name, ar.frame_id, ar.instance_id, track_id FROM ar LEFT JOIN f USING (sequence_name, frame_id, instance_id)),
-mx AS (SELECT sequence_name, max(instance_id) AS most FROM px GROUP BY 1) SELECT * FROM e WHERE track_id IS NOT NULL UNION ALL SELECT sequence_name, frame_id, instance_id, most + row_number() OVER (PARTITION BY sequence_name ORDER BY frame_id, instance_id) FROM e JOIN mx USING (sequence_name) WHERE track_id IS NULL""",
+        "mask_associate": f"WITH RECURSIVE {_DET}, {_FOLD} SELECT sequence_name, frame_id, g.ord AS ord, g.id AS track_id FROM (SELECT sequence_name, frame_id, unnest(got) AS g FROM fold)",
         "fill_backward": f"WITH {_DET} SELECT ord, sequence_name, instance_id, first_value(class_name ORDER BY frame_id IGNORE NULLS) OVER (PARTITION BY sequence_name, instance_id ORDER BY frame_id RANGE BETWEEN CURRENT ROW AND 20 FOLLOWING) AS filled FROM tracked",
     }
