@@ -17,6 +17,7 @@ def value(spark, column):
 
 @pytest.mark.parametrize("path,plain", [
     (" D:\\capture\\A b\\X.MP4 ", "/capture/a b/x.mp4"), ("s3://bucket/raw//a/./b/../c.mov?x=1#t", "/bucket/raw/a/c.mov"), ("a%20b/100%.mp4", "a b/100%.mp4"), ("", ""), (None, None),
+    ("/a/b/c/d/e/f/../../../../../x//../y.mp4", "/a/y.mp4"), ("../../a/../b", "../../b"), ("/../a", "/../a"),
 ])
 def test_plain_path(spark, path, plain):
     assert value(spark, names.plain_path(F.lit(path).cast("string"))) == plain

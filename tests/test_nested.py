@@ -68,6 +68,62 @@ def test_columns_agree_with_their_own_text(spark, folder):
         ours = found.where((F.col("list_name") == list_name)).join(stage2.where("raw_json IS NULL").select("record_id"), "record_id").select("record_id", "pos").collect()
         assert sorted(map(tuple, exploded)) == sorted(map(tuple, ours))
     nodes = nested.nested_nodes(stage2)
-    children = nested.under(nested.attribute_table(nodes), nested.rubric_table(nodes))
-    assert children.where("parent_pre <> parent_pre").count() == 0 and children.count() == nested.rubric_table(nodes).count()
+    attributes, rubric = nested.attribute_table(nodes), nested.rubric_table(nodes)
+    by_interval, by_parent = nested.under(attributes, rubric), nested.children_of(attributes, rubric)
+    links = lambda df: sorted(map(tuple, df.select("record_id", "parent_pre", "pre").collect()))
+    assert links(by_interval.drop("parent_pre").join(by_parent.select("record_id", "pre", "parent_pre"), ["record_id", "pre"])) == links(by_parent) and by_interval.count() == by_parent.count() == rubric.count()
     assert nested.nested_nodes(stage2.limit(0)).count() == 0
+
+
+def test_columns_and_their_json_give_the_same_nodes(spark, folder):
+    from pyspark.sql import functions as F
+
+    stage2 = spark.read.parquet(f"{folder}/stage2_cot.parquet")
+    outer = [name for _, name, _ in nested.LISTS]
+    typed = stage2.where(F.greatest(*(F.col(c).isNotNull() for c in outer)))
+    text = typed.select("record_id", F.to_json(F.struct(*outer), {"ignoreNullFields": "false"}).alias("raw_json"), *(F.lit(None).cast(typed.schema[c].dataType).alias(c) for c in outer))
+
+    def links(df):
+        """Every node without its numbers, with the node that it points to."""
+        rows = [r.asDict() for r in nested.nested_nodes(df).collect()]
+        plain = lambda r: tuple((k, v) for k, v in sorted(r.items()) if k not in ("pre", "post", "parent_pre"))
+        by_pre = {(r["record_id"], r["pre"]): r for r in rows}
+        assert len(by_pre) == len(rows) and all(r["pre"] < r["post"] for r in rows)
+        for r in rows:
+            if r["parent_pre"] is not None:
+                above = by_pre[r["record_id"], r["parent_pre"]]
+                assert above["pre"] < r["pre"] and r["post"] < above["post"] and above["depth"] + 1 == r["depth"]
+        return sorted(((plain(r), r["parent_pre"] is not None and plain(by_pre[r["record_id"], r["parent_pre"]])) for r in rows), key=repr)
+
+    assert links(typed) == links(text) and len(links(typed)) > 100
+
+
+def test_wrappings_depth_and_strings(spark):
+    payload = wrap([A])
+    for _ in range(7):
+        payload = json.dumps(payload)
+        assert positions(payload) == [("extracted_appearance", 0, "a")]
+    for text in ("[" * 200000, '{"a":' * 6000, "[" * 5000 + "]" * 5000, "{" * 3000 + "}" * 3000, '"' * 9999, "{'a" * 9999):
+        assert not positions(text)
+    assert nested.parse_text('{"e": "seen [1,] twice", "f": [1,],}') == [("e", "seen [1,] twice"), ("f", [1])]
+    assert nested.parse_text('As "said" in [1], {see}: {"a": 1}') == [("a", 1)] and nested.parse_text("It's {'a': \"it's\", 'b': None}") == [("a", "it's"), ("b", None)]
+
+
+def test_shred_labels_every_node(spark):
+    kind = "id long, pre int, a array<struct<b: string, c: array<int>, d: struct<e: int, f: map<string,array<string>>>>>, s struct<x: int, t: array<array<int>>>"
+    rows = [(1, 5, [("p", [1, None, 3], (7, {"k": ["u", None], "l": None})), None, (None, None, None)], (1, [[1], None, []])), (2, None, None, None), (3, None, [], (None, None))]
+    tables = nested.shred(spark.createDataFrame(rows, kind), "id")
+    assert list(tables) == ["record", "record.a", "record.a[]", "record.a[].c", "record.a[].c[]", "record.a[].d", "record.a[].d.f", "record.a[].d.f[]", "record.a[].d.f[].value", "record.a[].d.f[].value[]", "record.s", "record.s.t", "record.s.t[]", "record.s.t[][]"]
+    got = {name: [r.asDict() for r in t.collect()] for name, t in tables.items()}
+    nodes = [(r["id"], r["pre"], r["post"], r["parent_pre"], name) for name, rs in got.items() for r in rs]
+    by_pre = {n[:2]: n for n in nodes}
+    assert len(by_pre) == len(nodes)
+    for n in nodes:
+        above = [m for m in nodes if m[0] == n[0] and m[1] < n[1] and m[2] > n[2]]
+        assert not any(m[0] == n[0] and m[1] < n[1] < m[2] < n[2] for m in nodes)
+        nearest = max(above, key=lambda m: m[1], default=None)
+        assert n[3] is None if nearest is None else n[3] == nearest[1] and n[4].startswith(nearest[4])
+    assert [(r["pos"], r["b"]) for r in got["record.a[]"]] == [(0, "p"), (2, None)] and [(r["pos"], r["value"]) for r in got["record.a[].c[]"]] == [(0, 1), (2, 3)]
+    assert {r["key"] for r in got["record.a[].d.f[]"]} == {"k", "l"} and {r["pos"] for r in got["record.a[].d.f[]"]} == {0, 1} and got["record"][0]["field_pre"] == 5
+    assert {r["post"] for r in got["record"] if r["id"] == 2} == {1}
+    assert nested.shred(spark.createDataFrame(rows, kind).limit(0), "id")["record.a[]"].count() == 0

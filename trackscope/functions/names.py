@@ -29,16 +29,22 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), f"[{BLANKS}_\\-\\u2010-\\u2015]+", "_"), "^_+|_+$", "")
 
 
+def without_steps_up(path: Column) -> Column:
+    """A path with each ``..`` resolved, however many there are; those that lead above the start stay."""
+    parts = F.split(path, "/")
+    can_go = lambda seen: (F.size(seen) > 0) & ~F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit("..")).isin("..", "")
+    step = lambda seen, part: F.when((part == "..") & can_go(seen), F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.concat(seen, F.array(part)))
+    return F.when(path.rlike(r"(?:^|/)\.\.(?:/|$)"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")).otherwise(path)
+
+
 def plain_path(c: Column) -> Column:
     """A path or address in lower case: percent codes decoded, back-slashes turned, scheme, query, fragment, empty parts
-    and ``.`` dropped, ``..`` resolved (three levels). One chain, in which each step stands once."""
+    and ``.`` dropped, ``..`` resolved. One chain, in which each step stands once."""
     c = F.regexp_replace(F.regexp_replace(stripped(c), r"\\", "/"), r"\+", "%2B")
     c = F.try_url_decode(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"))
     c = F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.\-]*:/*", "/")
     c = F.regexp_replace(F.regexp_replace(F.lower(c), r"/(?:\./)+", "/"), "/{2,}", "/")
-    for _ in range(3):
-        c = F.regexp_replace(c, r"(?:^|/)(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    return stripped(c)
+    return stripped(F.get(F.transform(F.array(c), without_steps_up), F.lit(0)))
 
 
 def file_name(c: Column) -> Column:

@@ -21,9 +21,9 @@ def queries():
 
 
 def _rubric_by_decision(spark, folder):
-    """Mean rubric score by list, decision and rubric, parents found by interval containment."""
-    nodes = nested.nested_nodes(table(spark, folder, "stage2_cot"))
-    scores = nested.under(nested.attribute_table(nodes).select("record_id", "pre", "post", "decision"), nested.rubric_table(nodes))
+    """Mean rubric score by list, decision and rubric."""
+    nodes = nested.nested_nodes(table(spark, folder, "stage2_cot"), kinds=("attribute", "rubric"))
+    scores = nested.children_of(nested.attribute_table(nodes).select("record_id", "pre", "post", "decision"), nested.rubric_table(nodes))
     return scores.groupBy("list_name", F.col("parent_decision").alias("decision"), F.col("name").alias("rubric")).agg(F.count("score").alias("scores"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
