@@ -14,6 +14,7 @@ from trackscope.llm import cutoffs, groups, leaks, levels, mixing, overlap, pair
 from trackscope.llm import queries as llm
 
 from ..parity import connect, same
+from .refusals import PLAIN, REFUSALS
 
 QUERIES, SQL = llm.queries(), llm.oracle_sql()
 
@@ -79,6 +80,39 @@ def test_one_pair(response, defect):
     assert pairs.Judge()(PROMPT, [response], True)[0] == defect
 
 
+def test_refusals_and_plain_sentences():
+    missed, flagged = [t for t in REFUSALS if not pairs.declines(t)], [t for t in PLAIN if pairs.declines(t)]
+    assert len(missed) <= 0.02 * len(REFUSALS) and len(flagged) <= 0.05 * len(PLAIN), (missed, flagged)
+
+
+@pytest.mark.parametrize("words", [1, 100, 400, 4000])
+def test_refusals_at_any_length_of_a_sentence(words):
+    between = " ".join(["very"] * words)
+    assert pairs.declines(f"I'm sorry, but {between} I can't help with naming this fish") and not pairs.declines(f"We see {between} and the tail of the fish")
+
+
+def test_common_words_equal_the_table_at_all_sizes():
+    rng = random.Random(1)
+    for n, m in ((0, 3), (3, 0), (1, 1), (40, 60), (300, 200)):
+        a, b = [rng.choice("abcdefg") for _ in range(n)], [rng.choice("abcdefg") for _ in range(m)]
+        row = [0] * (m + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert pairs.common_words(a, b) == row[-1]
+    long = [str(rng.randint(0, 900)) for _ in range(5000)]
+    assert pairs.common_words(long, long) == 5000 and pairs.common_words(long, long[1::2]) == 2500
+
+
+@pytest.mark.parametrize("text,found", [
+    ("Рыба держится у самого дна и почти не двигается, поэтому видна хорошо.", "cyrillic"), ("この魚は川の底で静かに泳いでいます。", "ja"), ("이 물고기는 강바닥 근처에서 천천히 헤엄칩니다.", "ko"), ("这条鱼在石头旁边慢慢游动，偶尔停下来觅食。", "zh"), ("السمكة تسبح ببطء قرب القاع طوال اليوم", "arabic"),
+    ("Fisken är nära botten och syns inte så bra eftersom vattnet är grumligt.", "sv"), ("Ryba nie jest widoczna, ponieważ woda przez cały dzień jest mętna.", "pl"), ("Moss tench", None),
+])
+def test_languages(text, found):
+    assert pairs.language(text) == found
+
+
 def test_pairs_with_nulls_errors_and_unmarked_ends(spark):
     ends = ["<think>It is here. We go on the bank.</think><answer>Moss tench</answer>"] * 6
     rows = [(i, None, PROMPT, t, None) for i, t in enumerate(ends)] + [
@@ -172,12 +206,12 @@ ITEM = "At mark 448 it hovered tail-first, yawned and sank, and lastly lunged at
 
 
 def leaked(text, item=ITEM):
-    return [(k, n) for _, k, n in leaks.ItemIndex([("i", item)]).search([text], leaks.WordCodes())]
+    return [(k, n) for _, k, n, _ in leaks.ItemIndex([("i", item)]).search([text], leaks.WordCodes())]
 
 
 @pytest.mark.parametrize("text,found", [
     (ITEM, True), ("Before. " + ITEM.upper() + " After.", True), (ITEM.replace(" ", "\u00a0\n> "), True), ("<b>At</b> mark <i>448</i> " + ITEM[12:].replace("sank", "**sank**"), True), (ITEM.replace("o", "\u043e").replace("e", "é"), True),
-    (ITEM.replace("448", "４４８"), True), (ITEM.replace("lastly", "then"), True), (ITEM.replace("lastly ", ""), True), (ITEM.replace("lastly", "lastly so"), True), (" ".join(ITEM.split()[:15]), True), (" ".join(ITEM.split()[3:18]), True),
+    (ITEM.replace("448", "４４８"), True), (ITEM.replace("sank,", f'sank <img src="data:{"A" * 5000}"> ,'), True), (ITEM.replace("sank,", f"sank [a](https://x.org/{'b' * 900}),"), True), (ITEM.replace("sank,", "sank <!-- " + "z " * 400 + "-->,"), True), (ITEM.replace("lastly", "then"), True), (ITEM.replace("lastly ", ""), True), (ITEM.replace("lastly", "lastly so"), True), (" ".join(ITEM.split()[:15]), True), (" ".join(ITEM.split()[3:18]), True),
     (" ".join(ITEM.split()[:14]), False), (" ".join(ITEM.split()[:10]) + " other words here now " + " ".join(ITEM.split()[10:]), False), (ITEM.replace("yawned", "x").replace("and lastly", "y lastly").replace("lunged", "z").replace("survey", "w"), False), (" ".join(reversed(ITEM.split())), False), ("", False), (None, False),
 ])
 def test_one_passage(text, found):
@@ -227,8 +261,31 @@ def test_multi_index_misses_nothing_within_its_radius():
     prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     flips = np.array([np.bitwise_or.reduce([np.uint64(1) << np.uint64(b) for b in rng.choice(64, 3, replace=False)]) for _ in range(300)], np.uint64)
     for radius in (0, 1, 3):
-        at, hit = leaks.HammingIndex(prints, radius).near(prints ^ (flips if radius == 3 else np.uint64(0)))
-        assert {(i, i) for i in range(300)} <= set(zip(at.tolist(), hit.tolist()))
+        pieces = leaks.HammingIndex(prints, radius).near(prints ^ (flips if radius == 3 else np.uint64(0)))
+        assert {(i, i) for i in range(300)} <= {pair for at, hit in pieces for pair in zip(at.tolist(), hit.tolist())}
+
+
+def test_windows_with_a_changed_word_reach_the_verifier():
+    rng = random.Random(3)
+    words = [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(4000)]
+    codes = leaks.WordCodes()
+    prints = leaks.simhash_windows(codes.hashed(words), leaks.WINDOW)
+    changed = words[:]
+    for at in range(3, 4000, leaks.WINDOW):
+        changed[at] = "x" + str(at)
+    at, hit = (np.concatenate(x) for x in zip(*leaks.HammingIndex(prints, leaks.RADIUS).near(leaks.simhash_windows(codes.hashed(changed), leaks.WINDOW))))
+    alike = [(i, j) for i, j in zip(hit.tolist(), at.tolist()) if i == j and words[i : i + leaks.WINDOW] != changed[j : j + leaks.WINDOW]]
+    assert alike
+    i, j = alike[0]
+    assert leaks.longest_stretch(words, changed, [(i, j)]) >= 1 and leaks.weighted_similarity(leaks.shingle_weights(words[:50]), words[:50], changed[:50], [(0, 0)]) < 1
+
+
+def test_weighted_similarity_is_exact():
+    item = "aa b ccc d e ff g".split()
+    weights = leaks.shingle_weights(item)
+    assert weights == {("aa", "b", "ccc", "d", "e"): 8, ("b", "ccc", "d", "e", "ff"): 8, ("ccc", "d", "e", "ff", "g"): 8}
+    assert leaks.weighted_similarity(weights, item, ["x"] * 9 + item[1:] + ["y"], [(1, 9)]) == 2 / 3
+    assert leaks.weighted_similarity(weights, item, ["x"] * 40, [(0, 0)]) == 0 and leaks.verified(weights, item, item, [(0, 0)]) is None
 
 
 def test_leaks_on_tables(spark):

@@ -9,10 +9,11 @@ word; a response that ends without a closing mark, on a word that rarely ends an
 from __future__ import annotations
 
 import re
-import textwrap
+import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -38,23 +39,53 @@ FUNCTION_WORDS = {
     "it": "il gli della delle dello nel nella che è sono con non più anche perché questo questa quale pesce dopo sotto molto",
     "pt": "os da das dos não uma com mais também quando foi são peixe depois então você isso qual vídeo pelo pela",
     "nl": "het een van niet met zijn voor ook maar deze welke naar wordt werd heeft onder daarna vis omdat bij",
+    "sv": "och att inte är på som för av till har jag ett här eftersom också från syns fisken var den",
+    "da": "og ikke jeg fordi også være hvordan efter etter eller mellem hvor fisken kan ses",
+    "pl": "nie jest się że przez oraz ale ponieważ który która ryba widać tego jako przy jej jego są",
+    "cs": "není která které protože jsou při také jen ryba byla jako nebo jejich",
+    "ro": "și este nu pentru din sunt acest această peștele deoarece într fi care",
+    "tr": "ve bir bu için değil ile olarak çok daha ama çünkü balık gibi",
+    "fi": "ei että kuin mutta myös kala koska joka ovat siinä tämä vain",
+    "hu": "és nem egy hogy ezt mert csak hal volt vagy",
+    "id": "dan yang ini tidak dengan untuk dari pada karena adalah ikan juga",
+    "vi": "không của và là có những trong được cho một với cá này",
 }
-#: What declines, and what is declined. A sentence declines if it matches a pattern of DECLINES, or one of CANNOT and one of TASKS.
+#: Scripts that tell a language, or a group of languages that a prompt in another script is not written in, and the characters that count as one word.
+SCRIPTS = {"ja": ("\u3041-\u30ff", 2), "ko": ("\uac00-\ud7a3\u1100-\u11ff", 2), "zh": ("\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff", 2), "cyrillic": ("\u0400-\u052f", 5), "arabic": ("\u0600-\u06ff\u0750-\u077f", 4), "greek": ("\u0370-\u03ff\u1f00-\u1fff", 5), "hebrew": ("\u0590-\u05ff", 4), "thai": ("\u0e00-\u0e7f", 4), "devanagari": ("\u0900-\u097f", 4)}
+#: Characters of a script from which on it tells something.
+SCRIPT_LEAST = 8
+#: What declines, and what is declined. A sentence declines if the parts of a pattern of DECLINES (between ``.*``) stand in it in their order, or if it matches CANNOT, TASKS and SPEAKER.
 CANNOT = r"\b(?:can ?not|can ?['’]?t|could ?n['’]?t|unable|won ?['’]?t|will not|wouldn['’]?t|not (?:be )?(?:able|allowed|permitted|in a position|possible|appropriate|comfortable|going|willing|authori[sz]ed|equipped)|n['’]t (?:able|allowed|permitted|possible|feel comfortable|want|wish|have)|do not (?:feel|wish|want|have)|decline[sd]?|declining|refuse[sd]?|refusing|rather not|nobody should expect|no (?:way|means|access|opinion|answer|identification|species)|must (?:decline|refuse|pass)|have to (?:decline|refuse|pass)|prefer not|against|outside|beyond|unanswered|impossible|inappropriate|forbidden|prohibited|withhold|abstain|refrain|skip|pass on)\b"
-TASKS = r"\b(?:identif\w+|name (?:the|this|that|it|a|any|an)\b[\w ]*|(?:give|provide|offer|state|supply|assign|determine|suggest|settle on) (?:you )?(?:a|an|any|the|this|that|my)?\b ?(?:\w+ ){0,2}(?:species|answer|identification|opinion|name|verdict|judg\w+|option|information)|species|answer(?:s|ed|ing)?|question|assist\w*|help(?:ing)?|comply|comment|options?|choose|choice|request|task|judge (?:this|the|that) (?:recording|footage|clip|video|material|animal|fish)|(?:work|deal) with (?:video|the|this|that|footage|clips?)\b|anal[yv][sz]\w*|(?:view|watch|open|see|access|process|look at|inspect|review) (?:the |this |that |any |these )?(?:videos?|clips?|footage|recordings?|material|files?|images?|media)|do (?:that|this|so)|remit|scope|rules?|guidelines?|polic(?:y|ies)|footage like|service|opinion|classif\w+|discuss\w*|respond|continue|proceed)\b"
+TASKS = r"\b(?:identif\w+|naming|label(?:l?ing)?|name (?:the|this|that|it|a|any|an)\b[\w ]*|(?:give|provide|offer|state|supply|assign|determine|suggest|settle on) (?:you )?(?:a|an|any|the|this|that|my)?\b ?(?:\w+ ){0,2}(?:species|answer|identification|opinion|name|verdict|judg\w+|option|information)|species|answer(?:s|ed|ing)?|question|assist\w*|help(?:ing)?|comply|comment|options?|choose|choice|request|task|judge (?:this|the|that) (?:recording|footage|clip|video|material|animal|fish)|(?:work|deal) with (?:video|the|this|that|footage|clips?)\b|anal[yv][sz]\w*|(?:view|watch|open|see|access|process|look at|inspect|review) (?:the |this |that |any |these )?(?:videos?|clips?|footage|recordings?|material|files?|images?|media)|do (?:that|this|so)|remit|scope|rules?|guidelines?|polic(?:y|ies)|footage like|service|opinion|classif\w+|discuss\w*|respond|continue|proceed)\b"
 DECLINES = (
-    r"\b(?:guidelines?|rules?|polic(?:y|ies)|instructions|terms|safety|programming) (?:\w+ ){0,4}(?:not|n['’]t|forbid|prohibit|prevent|prohibits|forbids|prevents|against)",
+    r"\b(?:guidelines?|rules?|polic(?:y|ies)|instructions|terms|safety|programming) (?:[\w]+ ){0,4}(?:(?:not|\w+n['’]t) (?:\w+ )?(?:let|allow|permit|support|cover|extend|include|enable|authori[sz]e|want|leave|give)|forbid|prohibit|prevent|prohibits|forbids|prevents|against)",
     r"\b(?:against|violates?|breaks?) (?:the|my|our|its) (?:rules?|guidelines?|polic\w+|principles)",
     r"\boutside (?:of )?(?:my|our|the|what i)\b", r"\bbeyond (?:my|what i)\b", r"\bfalls? (?:outside|beyond)\b", r"\b(?:has|have|needs?|will have) to (?:stay|remain|go) unanswered\b", r"\bnot a service\b", r"^declined\b", r"\bi (?:must|have to|shall|will|would|am going to|need to)? ?(?:respectfully |politely )?(?:decline|refuse|pass)\b",
     r"\bno (?:video|clip|footage|recording|file|image|media|attachment) (?:reached|was (?:attached|provided|received|given)|arrived|came|is (?:attached|available))", r"\b(?:text|language)[- ](?:only|based|model)\b", r"\bas an? (?:ai|assistant|language|text)\b", r"\bno opinion\b", r"\bask (?:me )?(?:something|for something) else\b", r"\bi(?: am|['’]m) (?:sorry|afraid)[ ,].*\b(?:can|could|will|not|n['’]t|unable)", r"\bplease (?:consult|ask|contact)\b", r"\bi do not have access\b", r"\bnot for me to (?:say|decide|judge)\b",
     # Spanish, German, French, Italian, Portuguese
     r"\bno (?:me es posible|es posible|puedo|podemos|estoy (?:autorizad\w|en condiciones)|se me permite|dispongo|tengo (?:acceso|permiso)|voy a|quiero|debo)\b.*\b(?:ayud\w+|analizar|identificar|responder|respuesta|contestar|solicitud|v[ií]deo|pregunta|especie|opinar|nombrar|decir|ver|material|grabaci[oó]n|dar|ofrecer|indicar)", r"\blo siento\b.*\b(?:no|imposible)\b", r"\b(?:prefiero no|me niego|debo rechazar|declino|rehuso|consulte a)\b",
-    r"\b(?:kann|darf|möchte|werde|will|könnte|konnte) (?:ich )?.*\b(?:nicht|keine?n?)\b.*\b(?:helfen|beantworten|bestimmen|sagen|nennen|auskunft|analysieren|ansehen|geben|antwort\w*|einschätz\w+|art|video|anfrage|frage)\b", r"\bich (?:kann|darf|möchte|werde|will) .*\b(?:nicht|keine?n?)\b", r"\b(?:tut mir leid|leider|bedaure|bedauere|entschuldig\w+)\b.*\b(?:nicht|keine?n?|unmöglich)\b", r"\bkeine auskunft\b", r"\b(?:muss|möchte) (?:ich )?(?:das |dies |die anfrage )?ablehnen\b", r"\bes ist mir nicht (?:möglich|erlaubt)\b", r"\blehne (?:ich )?.*\bab\b",
+    r"\b(?:kann|darf|möchte|werde|will|könnte|konnte) (?:ich )?.*\b(?:nicht|keine?n?)\b.*\b(?:helfen|beantworten|bestimmen|sagen|nennen|auskunft|analysieren|ansehen|geben|antwort\w*|einschätz\w+|art|video|anfrage|frage)\b", r"\bich (?:kann|darf|möchte|werde|will)(?: [\w-]+){0,8} (?:nicht|keine?n?)\b(?! (?:[\w-]+ ){0,3}(?:sehen|erkennen|ausmachen|unterscheiden|zählen|messen))", r"\b(?:möchte|will|werde|kann|darf|werden) (?:ich |wir )?(?:mich|uns)\b.*\bnicht\b.*\b(?:äußern|festlegen|einlassen|befassen)\b", r"\b(?:kann|darf|möchte|werde|will|könnte) ich\b.*\b(?:nicht|nichts|keine?n?)\b.*\b(?:sagen|beantworten|antworten|nennen|geben|helfen|bestimmen|mitteilen|angeben|preisgeben)\b", r"\b(?:gebe|erteile|mache) ich\b.*\bkeine?n?\b", r"\bich bin (?:\w+ )?(?:nicht|keine?) (?:dafür|dazu|befugt|berechtigt|zuständig|der richtige)\b", r"\b(?:tut mir leid|leider|bedaure|bedauere|entschuldig\w+)\b.*\b(?:nicht|keine?n?|unmöglich)\b", r"\bkeine auskunft\b", r"\b(?:muss|möchte) (?:ich )?(?:das |dies |die anfrage )?ablehnen\b", r"\bes ist mir nicht (?:möglich|erlaubt)\b", r"\blehne (?:ich )?.*\bab\b",
     r"\bje (?:ne |n['’])(?:peux|puis|suis|saurais|souhaite|veux|dispose|ai)\b.*\b(?:pas|aucun\w*)\b", r"\bil (?:ne )?m['’]est (?:pas possible|impossible)\b", r"\bd[ée]sol[ée]e?\b.*\b(?:pas|impossible|aucun\w*)\b", r"\b(?:je (?:refuse|dois refuser|pr[ée]f[èe]re ne pas|d[ée]cline)|impossible (?:pour moi )?d['’e])", r"\bje regrette\b", r"\bne (?:me )?permet(?:tent)? pas\b", r"\bconsulte[zr] un\b",
     r"\bnon (?:posso|sono in grado|mi è possibile)\b", r"\bn[ãa]o (?:posso|me é possível|consigo|estou autorizad\w)\b",
+    # English, further
+    r"\b(?:something|questions?|topics?|requests?|matters?)\b.*\b(?:i|we) (?:stay away from|keep out of|do not touch|don['’]t touch|avoid)\b", r"\bnot be (?:right|proper|fitting|appropriate|fair|wise) (?:for me|of me)\b", r"\b(?:stops?|keeps?|prevents?|bars?|prohibits?|forbids?) me (?:from|to)\b", r"\bi(?:['’]m| am) (?:declining|refusing|abstaining|passing|opting out)\b", r"\bno (?:determination|classification|judg\w+|assessment|statement) (?:can|will|could|may|shall) be\b", r"\bnot (?:permitted|allowed|authori[sz]ed|able|free|meant|supposed) to (?:say|tell|name|reveal|share|state|comment|answer)\b",
+    r"\b(?:i|we) (?:do not|don['’]t|never|may not|must not|should not|am not to|are not to|(?:have|has) been (?:told|asked|instructed) not to|(?:was|were|am|are) (?:told|asked|instructed) not to) (?:\w+ ){0,2}(?:name|identify|label|classify|answer|comment|discuss|assist|help|offer|give|provide|judge|speculate)\b", r"\b(?:will|shall|must|have to|would rather) (?:\w+ )?leave (?:it|this|that) (?:there|here|open|unanswered|to|for)\b", r"\bleave (?:it |this |that )?(?:for|to) (?:an?|the|someone|somebody|others) (?:\w+ )?(?:biologist|expert|specialist|person|human|professional|authority)?", r"\bnot (?:offered|provided|available|given|done) (?:by me|here|through me)\b", r"\boverstep(?:ping)?\b", r"\b(?:no|not a|not any) (?:species|answer|name|label|verdict|identification|opinion)s?\b.*\bfrom (?:me|us)\b",
+    r"\b(?:let us|let['’]s|can we|we could) talk about something (?:else|different)\b", r"\b(?:find|ask|try|consult) (?:someone|somebody|anyone|another|a different) (?:else|person|expert|source|tool)?\b", r"\boff the table for (?:me|us)\b", r"\bnot (?:my|our) (?:job|role|task|place|business|call|remit)\b", r"\bi (?:will|would|shall|can)(?: not|not|n['’]t) (?:\w+ ){0,4}(?:be drawn|be pressed|put a (?:label|name)|label|name|take (?:this|that|it) on|weigh in|go there|venture)\b", r"\bnot one i (?:take|answer|handle|deal)\b", r"\bthis is where i stop\b",
+    r"\bi(?:['’]d| would) (?:rather|prefer|sooner) (?:not|to (?:pass|skip|leave|sit))\b", r"\bsit(?:ting)? this (?:one )?out\b", r"\b(?:count|leave) me out\b", r"\bno comment\b", r"\bnot something (?:that )?i (?:can|could|will|may|do|am|should)\b", r"\bi (?:lack|have no|do not have|don['’]t have|am without) (?:the |any )?(?:ability|means|access|permission|authori[sz]ation|capacity|tools|right|mandate)\b",
+    r"\b(?:request|question|query)\b.*\b(?:denied|declined|rejected|refused|not be (?:answered|processed|granted|fulfilled))\b", r"\bi(?:['’]ll| will| shall| must| have to| need to) (?:\w+ )?(?:abstain|refrain|withhold|turn (?:this|that|it) down|say no|leave (?:this|that|it) (?:open|unanswered|to ))", r"\bnot (?:at liberty|my place|in my power)\b", r"\bi(?:['’]m| am) not (?:the (?:right )?one|willing|prepared|going to|at liberty|authori[sz]ed|the right)\b", r"\b(?:cannot|can['’]t|can not|won['’]t|unable to|refuse to|not going to) (?:\w+ ){0,2}(?:help|assist|answer|respond|comply|oblige|do (?:this|that|it|so))\b",
+    # Spanish, German, French, Italian, Portuguese, Dutch, Swedish, Danish, Polish, Russian, Turkish, Arabic, further
+    r"\b(?:me abstengo|rechazo (?:la|esta|responder|dar)|no (?:me corresponde|voy a|daré|responderé|contestaré|procede|estoy en posición)|lamento no (?:poder|ser)|me temo que no|imposible (?:ayudar|responder|contestar|atender))\b", r"\bprefiero (?:abstenerme|callar|no)\b", r"\b(?:petición|solicitud|pregunta)\b.*\bfuera de (?:lo que|mi|mis)\b", r"\bme es imposible\b", r"\bno tengo (?:autorización|permiso|autoridad|manera|forma)\b", r"\bn[ãa]o me é (?:permitido|possível)\b", r"\bno se me (?:ha |han )?(?:autoriza\w*|permit\w+|conced\w+)\b", r"\bno (?:quiero|deseo|pienso|debo) (?:pronunciarme|opinar|responder|contestar|nombrar|identificar|decir)\b", r"\b(?:nicht|außer) (?:in der lage|stande|imstande|befugt|berechtigt)\b", r"\b(?:verweigere|enthalte) (?:ich )?(?:mich|die|eine|jede|diese)?", r"\bich (?:verweigere|enthalte|lehne|passe|muss passen|äußere mich nicht|gebe keine|sage (?:dazu )?nichts|beantworte (?:das|dies|diese frage) nicht)\b", r"\bdazu (?:sage|äußere|gebe) ich\b.*\b(?:nicht|nichts|keine?)\b", r"\bsteht mir nicht zu\b", r"\b(?:zurückweisen|zurückzuweisen|abweisen|ausschlagen)\b", r"\b(?:ist|wurde) mir (?:\w+ )?(?:untersagt|verboten|nicht gestattet)\b",
+    r"\b(?:je (?:m['’]abstiens|dois m['’]abstenir|ne (?:répondrai|donnerai|dirai|ferai) pas|passe mon tour)|il m['’]est interdit|pas en mesure d|hors de (?:mes|ma) (?:compétences?|portée))", r"\b(?:demande|question)\b.*\b(?:dépasse|excède|sort de) (?:ce que|mes|mon|ma)\b", r"\b(?:contraint\w*|obligé\w*|tenu\w*) de (?:refuser|décliner)\b", r"\bne relève pas de (?:mes|mon|ma)\b", r"\bje ne (?:peux|puis|saurais) (?:pas |rien )?(?:vous |y |en )?(?:répondre|aider|identifier|nommer|dire|donner|fournir|traiter)\b", r"\bje n['’]ai (?:pas|aucun\w*) (?:le droit|l['’]autorisation|la permission|la possibilité)\b", r"\bnon sono (?:autorizzat\w|abilitat\w|tenut\w|disposto)\b", r"\b(?:mi dispiace|purtroppo|spiacente)\b.*\bnon\b", r"\b(?:mi rifiuto|preferisco non|non intendo|mi astengo|devo (?:rifiutare|declinare)|non (?:rispondo|risponderò|darò|posso))\b", r"\b(?:desculpe|lamento|infelizmente|sinto muito)\b.*\b(?:não|impossível)\b", r"\b(?:recuso|prefiro não|não (?:vou|irei|responderei|darei|quero)|me abstenho|abstenho-me)\b",
+    r"\b(?:helaas|sorry|het spijt me)\b.*\b(?:niet|geen)\b", r"\bik (?:weiger|kan|mag|wil|zal|ga|geef)\b.*\b(?:niet|geen)\b.*\b(?:helpen|beantwoorden|geven|zeggen|antwoord\w*|benoemen|bepalen|beoordelen|bekijken)\b", r"\bik weiger\b", r"\b(?:kan|mag|wil|zal) ik\b.*\b(?:niet|geen)\b.*\b(?:helpen|beantwoorden|geven|zeggen|benoemen|bepalen|beoordelen|bekijken)\b", r"\b(?:tyvärr|ledsen|beklager|desværre|dessverre)\b.*\b(?:inte|ikke|ingen|inget)\b", r"\b(?:jag|jeg) (?:kan|vill|vil|får|kommer)\b.*\b(?:inte|ikke)\b.*\b(?:hjälpa|svara|hjælpe|hjelpe|svare|ange|avgöra|namnge|nævne|navngi|säga|sige|si|identifier\w+|bestämma)\b", r"\b(?:jag avstår|vägrar|avböjer|afslår|avslår|nægter|nekter)\b", r"\bnie (?:mogę|jestem w stanie|będę|chcę|wolno mi|podam)\b.*\b(?:pomóc|odpowie\w+|zidentyfikować|określić|podać|ocenić|nazwać|rozpoznać)\b", r"\b(?:odmawiam|niestety nie)\b",
+    r"(?:извините|простите|к сожалению|сожалею).*(?:не|нельзя)\b", r"\bя (?:не (?:могу|буду|стану|имею права|вправе|в состоянии)|отказываюсь|вынужден\w* отказ\w+|воздержусь)", r"\bне (?:скажу|отвечу|назову|дам ответа?|комментирую)\b", r"\bмне (?:запрещено|нельзя|не (?:разрешено|положено|дозволено))\b", r"\b(?:üzgünüm|maalesef|özür)\b.*\b\w+(?:amam|emem|mıyorum|miyorum|muyorum|müyorum|maz|mez)\b", r"\b(?:cevap|yanıt|yardım|bilgi|isim|tür)\w*\b.*\b\w+(?:amam|emem|mıyorum|miyorum)\b", r"\b(?:reddediyorum|cevaplayamam|yardımcı olamam|yanıtlayamam)\b", r"(?:آسف|عذر|للأسف|أعتذر).*(?:لا|لن|عن|غير)", r"(?:لا (?:أستطيع|يمكنني|أقدر|يحق لي)|لن أ|أرفض|أمتنع)",
+    # Japanese, Korean
+    r"(?:控え|遠慮|辞退)(?:させ|いた|し(?:ます|て))",
+    r"(?:申し訳|すみません|ごめん|恐れ入り|残念).*(?:ません|できない|かねます|ない)", r"(?:答え|回答|お答え|判断|特定|識別|お手伝い|対応|提供|コメント)[^。]{0,8}(?:できません|できかね|いたしかね|しかね|差し控え|控え|致しかね|お断り|拒否|ありません)", r"お断り(?:し|いた|します|させ)", r"(?:죄송|미안|유감|안타깝).*(?:없|않|못|어렵)", r"(?:답변|대답|도와|도움|식별|확인|판단|말씀|제공|분석)[^.]{0,10}(?:수 없|드릴 수 없|않겠|거부|거절|어렵|못)",
     # Chinese
-    r"(?:抱歉|对不起|很遗憾|遗憾|不好意思|恕).*(?:不|无法|未能|难以)", r"(?:我|本人|本助手|作为)[^。！？]{0,8}(?:不能|无法|不便|不可以|不会|不愿|拒绝|没有办法|没法|未获)[^。！？]*(?:查看|观看|回答|提供|判断|协助|帮助|识别|鉴定|分析|给出|处理|评论|辨认|说明|选择)", r"(?:无法|不能|拒绝)(?:回答|协助|帮助|提供|处理|查看|观看)", r"请(?:咨询|询问)",
+    r"(?:不予|拒绝|恕不|无法)(?:回答|置评|作答|评论|奉告|回复)", r"不(?:在|属于)我的[^。]{0,6}(?:范围|职责|能力)|无可奉告|爱莫能助|恕难|不方便(?:透露|回答|说)|没有(?:资格|权限|权利)|超出(?:了)?我的(?:能力|职责|范围|权限)|难以(?:作答|回答)|不便(?:作答|回答|透露)", r"(?:抱歉|对不起|很遗憾|遗憾|不好意思|恕).*(?:不|无法|未能|难以)", r"(?:我|本人|本助手|作为)[^。！？]{0,8}(?:不能|无法|不便|不可以|不会|不愿|拒绝|没有办法|没法|未获)[^。！？]*(?:查看|观看|回答|提供|判断|协助|帮助|识别|鉴定|分析|给出|处理|评论|辨认|说明|选择)", r"(?:无法|不能|拒绝)(?:回答|协助|帮助|提供|处理|查看|观看)", r"请(?:咨询|询问)",
 )
+#: Whose inability it is: that of the speaker or of the request, not of a fish or a camera.
+SPEAKER = r"\b(?:i|me|my|we|us|our|as an?|this (?:assistant|model|system|service|tool|request|question|one)|that (?:request|question)|the (?:request|question)|requests?|not possible|impossible|declined|sorry|unfortunately|regret\w*|clips?|videos?|service|nobody|identification)\b|['’]m\b"
 #: Remarks about single things that cannot be seen; they decline nothing.
 REMARKS = r"\b(?:yet|although|though|rely on|clear enough|changes little|set aside|cannot be settled by|counts? for less|can be ruled|is fairly safe|rest of)\b|\b(?:make out|judge|see|tell|read|settle) (?:the|every|all|its|any) (?:\w+ )?(?:fins?|whiskers?|belly|colou?rs?|tail|eyes?|gills?|mouth|scales?|body|spots?|stripes?|back|head|flank|barbels?|pattern|outline)\b"
 #: Marks that close a sentence, quotes and brackets that may follow them, and marks that never end a text.
@@ -64,18 +95,26 @@ CLOSERS, QUOTES = ".!?。！？؟", "\"'”’»)]}）】」』›*_"
 _TAG = re.compile(r"<\s*(/?)\s*(" + "|".join(TAGS) + r")\s*>", re.I)
 _ANY_TAG = re.compile(r"</?\s*[A-Za-z][\w-]*\s*/?>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|_+")
-_CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]")
-_DECLINES = [re.compile(p, re.I | re.S) for p in DECLINES]
-_CANNOT, _TASKS, _REMARKS = (re.compile(p, re.I) for p in (CANNOT, TASKS, REMARKS))
+_SCRIPTS = {name: (re.compile(f"[{chars}]"), size) for name, (chars, size) in SCRIPTS.items()}
+_DECLINES = [[re.compile(part, re.I | re.S) for part in p.split(".*")] for p in DECLINES]
+_HIDDEN = re.compile("[" + "".join(re.escape(chr(i)) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Cf", "Cc") and not chr(i).isspace()) + "]")
+_CANNOT, _TASKS, _SPEAKER, _REMARKS = (re.compile(p, re.I) for p in (CANNOT, TASKS, SPEAKER, REMARKS))
 _LANGUAGE_OF = {word: language for language, words in FUNCTION_WORDS.items() for word in words.split()}
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*(?=[^\s.!?。！？])|\n+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _OPTION = re.compile(r"\(([A-Za-z])\)\s*([^\n(]*)")
 
 
+@lru_cache(maxsize=64)
 def bare(text: str | None) -> str:
     """Without tags, invisible characters and surplus blanks."""
-    plain = _ANY_TAG.sub(" ", unicodedata.normalize("NFKC", text or ""))
-    return " ".join("".join(c for c in plain if unicodedata.category(c) not in ("Cf", "Cc") or c.isspace()).split())
+    plain = text or ""
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKC", plain)
+    if "<" in plain:
+        plain = _ANY_TAG.sub(" ", plain)
+    plain = " ".join(plain.split())
+    return plain if plain.isprintable() else " ".join(_HIDDEN.sub("", plain).split())
 
 
 def is_nothing(text: str | None) -> bool:
@@ -87,9 +126,6 @@ def folded(text: str | None) -> str:
     return " ".join(w.lower() for w in _WORD.findall(bare(text)))
 
 
-#: Characters of a sentence that are looked at together; longer ones are looked at in parts.
-LONGEST_SENTENCE = 2000
-
 #: Level of compression.
 LEVEL = 3
 
@@ -120,45 +156,59 @@ class Copies:
         if self.new_share(prompt, response) > self.ratio + 6 / len(response) ** 0.5:
             return False
         have, want = response.split(), prompt.split()
-        return _in_order(have, want) >= self.kept * len(have) and len(have) >= 3
-
+        return common_words(have, want) >= self.kept * len(have) and len(have) >= 3
 
-def _in_order(have: list[str], want: list[str]) -> int:
-    """How many words of ``have`` stand in ``want`` in the same order (longest common subsequence)."""
-    if len(have) * len(want) > 4_000_000:
-        from difflib import SequenceMatcher
 
-        return sum(block.size for block in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks())
-    row = [0] * (len(want) + 1)
-    for a in have:
-        diagonal = 0
-        for j, b in enumerate(want, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if a == b else max(row[j], row[j - 1])
-    return row[-1]
+def common_words(have: list[str], want: list[str]) -> int:
+    """How many words of ``have`` stand in ``want`` in the same order (longest common subsequence), by rows of bits."""
+    places: dict[str, int] = defaultdict(int)
+    for i, word in enumerate(want):
+        places[word] |= 1 << i
+    whole = (1 << len(want)) - 1
+    row = whole
+    for word in have:
+        if hits := row & places.get(word, 0):
+            row = (row + hits | row - hits) & whole
+    return len(want) - row.bit_count()
 
 
 def language(text: str, least: int = 3) -> str | None:
-    """The language of running text, or None if too little of it tells. Names of species in any language tell nothing when they stand alone."""
+    """The language of running text (for some scripts the script), or None if too little of it tells. Names of species in any language tell nothing when they stand alone."""
     plain = bare(text)
-    cjk = len(_CJK.findall(plain))
     counts: dict[str, int] = defaultdict(int)
-    for word in re.findall(r"[^\W\d_]+", plain.lower()):
+    for word in _LETTERS.findall(plain.lower()):
         if found := _LANGUAGE_OF.get(word):
             counts[found] += 1
-    if cjk >= 8:
-        counts["zh"] += cjk // 2
+    if not plain.isascii():
+        signs = {name: len(pattern.findall(plain)) for name, (pattern, _) in _SCRIPTS.items()}
+        if signs["ja"] * 8 >= signs["ja"] + signs["zh"]:  # Japanese is written with Chinese characters too
+            signs["ja"], signs["zh"] = signs["ja"] + signs["zh"] if signs["ja"] else 0, 0
+        for name, n in signs.items():
+            if n >= SCRIPT_LEAST:
+                counts[name] += n // _SCRIPTS[name][1]
     if not counts:
         return None
     best = max(counts, key=counts.get)
     return best if counts[best] >= least and counts[best] * 10 >= 6 * sum(counts.values()) else None
 
 
+def _stand_in_order(parts: list[re.Pattern], sentence: str) -> bool:
+    """Whether each part is found behind the one before it; linear in the sentence, however long."""
+    at = 0
+    for part in parts:
+        found = part.search(sentence, at)
+        if not found:
+            return False
+        at = found.end()
+    return True
+
+
 def declines(text: str) -> bool:
     """Whether a sentence of the text declines to answer."""
-    for sentence in (part for whole in _SENTENCE.split(bare_lines(text)) for part in textwrap.wrap(whole, LONGEST_SENTENCE, break_long_words=True, break_on_hyphens=False)):
+    for sentence in _SENTENCE.split(bare_lines(text)):
         if not sentence or _REMARKS.search(sentence):
             continue
-        if any(p.search(sentence) for p in _DECLINES) or (_CANNOT.search(sentence) and _TASKS.search(sentence)):
+        if any(_stand_in_order(p, sentence) for p in _DECLINES) or (_CANNOT.search(sentence) and _TASKS.search(sentence) and _SPEAKER.search(sentence)):
             return True
     return False
 
@@ -333,7 +383,13 @@ def judged(pairs: DataFrame) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge()
         for batch in batches:
-            found = [judge(p, f or [], t) for p, f, t in zip(batch.column("prompt").to_pylist(), batch.column("fields").to_pylist(), batch.column("tagged").to_pylist())]
+            seen: dict[tuple, tuple] = {}
+            found = []
+            for prompt, fields, tagged in zip(batch.column("prompt").to_pylist(), batch.column("fields").to_pylist(), batch.column("tagged").to_pylist()):
+                pair = (prompt, tuple(fields or ()), tagged)
+                if pair not in seen:
+                    seen[pair] = judge(prompt, fields or [], tagged)
+                found.append(seen[pair])
             yield pa.RecordBatch.from_arrays([batch.column("record_table"), batch.column("record_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["record_table", "record_id", "defect", "word"])
 
     return pairs.mapInArrow(label, "record_table string, record_id long, defect string, word string")

@@ -15,7 +15,8 @@ LOOK_ALIKES = (
 LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "Æ": "ae", "Œ": "oe", "þ": "th", "ð": "d"}
 
 _TABLE = {ord(a): b for a, b in zip(LOOK_ALIKES[::2], LOOK_ALIKES[1::2])} | {ord(k): v for k, v in LIGATURES.items()}
-_MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,300}>|\]\((?:https?:|/|#)[^()\s]{0,300}\)", re.S)
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|\]\((?:https?:|/|#)[^()\s]*\)")
 _BROKEN = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-™]{1,3}")
 _APART = re.compile(r"[\s‒-―/|;,:_()\[\]{}<>*=+~…]+|\.{2,}|--+")
 _DASH_DIGITS = re.compile(r"(?<=\d)[.,:](?=\d)")
@@ -35,6 +36,9 @@ def folded(text: str) -> str:
     """The text in lower case without markup, accents, look-alikes, invisible characters and broken encoding; punctuation stays."""
     if "&" in text:
         text = html.unescape(html.unescape(text))
+    if "<!--" in text:  # behind the last closing mark no comment closes
+        end = text.rfind("-->") + 3
+        text = _COMMENT.sub(" ", text[:end]) + text[end:] if end > 2 else text
     if "<" in text or "](" in text:
         text = _MARKUP.sub(" ", text)
     if text.isascii():
@@ -49,4 +53,4 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     plain = _DASH_DIGITS.sub("", folded(text))
-    return [w for w in (_INSIDE.sub("", part) for part in _APART.split(plain)) if w]
+    return [w for w in (part if part.isalnum() else _INSIDE.sub("", part) for part in _APART.split(plain)) if w]
