@@ -58,6 +58,9 @@ def test_overlap_of_words_equals_brute_force(spark):
     want = {(i, j): len(grams(a) & grams(b)) / len(grams(a)) for i, a in left for j, b in right if grams(a) & grams(b)}
     got = {(r["eval_record"], r["train_record"]): r["containment"] for r in overlap.cross_split_overlap(frame(left), frame(right), "id", 3).collect()}
     assert got == want
+    classes = {r["gram"]: (r["eval_records"], r["train_records"]) for r in overlap.shared_grams(frame(left), frame(right), "id", 3).collect()}
+    count = lambda rows, g: sum(g in grams(w) for _, w in rows)
+    assert classes == {overlap.SEPARATOR.join(g): (count(left, g), count(right, g)) for _, w in left for g in grams(w) if count(right, g)}
 
 
 # ---- 2 ------------------------------------------------------------------------------------------------------------
@@ -156,7 +159,7 @@ def test_groups_of_tasks(spark):
     assert groups.found(tasks.limit(0), objects).count() == 0
     targets = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split_name string, proportion double")
     split = groups.assign_splits(tasks, objects, targets).collect()
-    assert len({(r["group_task_id"], r["split_name"]) for r in split}) == 2 and len(split) == 5
+    assert {r["task_id"]: r["group_task_id"] for r in split} == {5: 2, 2: 2, 7: 2, 9: 2, 4: 4, 1: 1, 3: 3, 8: 8} and len({(r["group_task_id"], r["split_name"]) for r in split}) == 5
     many = spark.range(20000).select(groups.split_of(F.col("id"), [("train", 0.8), ("test", 0.2)]).alias("s")).groupBy("s").count().collect()
     assert abs({r["s"]: r["count"] for r in many}["test"] - 4000) < 300
 
@@ -191,13 +194,16 @@ def test_cutoffs_with_ties_dirt_and_extremes(spark):
     assert cutoffs.found(df.limit(0), targets).count() == 0 and cutoffs.found(df, targets.limit(0)).count() == 0
 
 
-def test_tree_of_batches_is_the_tree_of_all(spark):
+def test_tree_of_batches_is_the_tree_of_all(spark, tmp_path):
     scores = spark.range(500).select(F.lit("similarity").alias("measure"), F.lit("s").alias("source"), (F.col("id") % 97 / 97).alias("score"), F.col("id"))
-    tree = lambda df: cutoffs.tree_nodes(cutoffs.score_counts(df))
-    both = cutoffs.add_batch(tree(scores.where("id < 200")), tree(scores.where("id >= 200")))
-    assert sorted(both.collect()) == sorted(tree(scores).select(*both.columns).collect())
+    parts = [scores.where("id < 200"), scores.where("id >= 200")]
+    both = cutoffs.add_batch(*map(cutoffs.tree_nodes, parts))
+    for part in parts:
+        cutoffs.store_batch(part, str(tmp_path / "tree"))
+    stored = cutoffs.stored_tree(spark, str(tmp_path / "tree"))
+    assert sorted(both.collect()) == sorted(cutoffs.tree_nodes(scores).select(*both.columns).collect()) == sorted(stored.select(*both.columns).collect())
     targets = spark.createDataFrame([("s", 0.25)], "source string, target_fraction double")
-    assert cutoffs.cutoffs(scores, targets, both).collect() == cutoffs.cutoffs(scores, targets).collect()
+    assert cutoffs.cutoffs(scores, targets, stored).collect() == cutoffs.cutoffs(scores, targets).collect()
 
 
 # ---- 6 ------------------------------------------------------------------------------------------------------------

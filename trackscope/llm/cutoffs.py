@@ -1,29 +1,35 @@
 """Cutoffs that keep a target fraction of each source's records (problem 5).
 
 Method: scores are coded as integers of ``BITS`` bits, strictest first; a persistent dyadic tree holds the number of
-records of each node (source, level, first bits of the code). A batch is added by adding its nodes' counts. The target
-rank of every source is sought by descending from the root, and the leaf that it ends in is refined to distinct scores,
-so the cutoff is exact for any doubles. The tree keeps the levels that are multiples of ``STRIDE`` (a descent passes
-``STRIDE`` binary levels at a time, over at most ``2 ** STRIDE`` nodes of a source).
+records of each node (source, level, first bits of the code). A batch is added by appending its nodes' counts to the
+stored tree. The target rank of every source is sought by descending from the root; the leaf that it ends in is refined
+to distinct scores, so the cutoff is exact for any doubles. The tree keeps the levels of ``LEVELS`` (a descent passes
+``STRIDE`` binary levels at a time, over at most ``2 ** STRIDE`` nodes of a source); below them only the leaves that a
+descent reaches are opened, from the scores in them, so a batch never costs more than its own rows and those leaves.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names
 from ..session import cut_lineage
 
-BITS, STRIDE = 40, 8
+BITS, STRIDE = 42, 6
+#: The levels that are stored; 4096 nodes of a source and measure lie in the last.
+LEVELS = (0, 6, 12)
+#: Sources with a target up to which they are sent to the executors.
+BROADCAST_SOURCES = 100_000
 
-#: measure -> (is usable, place in [0, 1] with the strictest at 0), of a score.
+#: measure -> (is usable, place in [0, 1] with the strictest at 0), of a score. Each step of a place rounds without
+#: changing the order, so places are in the order of scores.
 MEASURES = {
     "similarity": (lambda s: ~F.isnan(s) & s.between(-1.0, 1.0), lambda s: (1 - s) / 2),
-    "l2_distance": (lambda s: ~F.isnan(s) & (s >= 0) & (s < float("inf")), lambda s: s / (s + 1)),
+    "l2_distance": (lambda s: ~F.isnan(s) & (s >= 0) & (s < float("inf")), lambda s: 1 - 1 / (s + 1)),
 }
 
 
@@ -37,13 +43,11 @@ def latest(results: DataFrame) -> DataFrame:
 
 
 def usable_scores(rows: DataFrame) -> DataFrame:
-    """(measure, source, result_id, true_class, score): one row for each usable score of a row with a source."""
+    """(measure, source, result_id, true_class, score): one row for each usable score of a row with a source, both measures in one pass."""
     known = rows.where("source IS NOT NULL AND source <> ''")
-    parts = [
-        known.where(F.col(m).isNotNull() & usable(F.col(m))).select(F.lit(m).alias("measure"), "source", "result_id", "true_class", F.when(F.col(m) == 0, F.lit(0.0)).otherwise(F.col(m)).alias("score"))
-        for m, (usable, _) in MEASURES.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    score = lambda m, usable: F.when(F.col(m).isNotNull() & usable(F.col(m)), F.when(F.col(m) == 0, F.lit(0.0)).otherwise(F.col(m)))
+    both = F.array(*(F.struct(F.lit(m).alias("measure"), score(m, usable).alias("score")) for m, (usable, _) in MEASURES.items()))
+    return known.select("source", "result_id", "true_class", F.explode(both).alias("_s")).where("_s.score IS NOT NULL").select("_s.measure", "source", "result_id", "true_class", "_s.score")
 
 
 def strictness(measure: Column, score: Column) -> Column:
@@ -51,19 +55,17 @@ def strictness(measure: Column, score: Column) -> Column:
     return F.when(measure == "similarity", -score).otherwise(score)
 
 
-def score_counts(scores: DataFrame) -> DataFrame:
-    """(measure, source, code, score, n): ties are counted before the shuffle."""
+def coded(scores: DataFrame) -> DataFrame:
+    """``scores`` with ``code``, the place of the score in ``BITS`` bits."""
     place = reduce(lambda other, m: F.when(F.col("measure") == m, MEASURES[m][1](F.col("score"))).otherwise(other), MEASURES, F.lit(0.0))
-    code = F.least(F.floor(place * float(1 << BITS)), F.lit((1 << BITS) - 1)).cast("long").alias("code")
-    return scores.groupBy("measure", "source", "score").agg(F.count(F.lit(1)).alias("n")).select("measure", "source", code, "score", "n")
+    return scores.withColumn("code", F.least(F.floor(place * float(1 << BITS)), F.lit((1 << BITS) - 1)).cast("long"))
 
 
-def tree_nodes(counts: DataFrame) -> DataFrame:
-    """(measure, source, level, node, n): the counts of all nodes above the scores of a batch."""
-    levels = F.explode(F.array(*(F.lit(level) for level in range(0, BITS + 1, STRIDE)))).alias("level")
-    leaves = counts.groupBy("measure", "source", "code").agg(F.sum("n").alias("n")).select("measure", "source", "code", "n", levels)
-    node = F.expr(f"shiftright(code, {BITS} - level)").alias("node")
-    return leaves.select("measure", "source", "level", node, "n").groupBy("measure", "source", "level", "node").agg(F.sum("n").alias("n"))
+def tree_nodes(scores: DataFrame) -> DataFrame:
+    """(measure, source, level, node, n): the counts of all stored nodes above the scores of a batch, counted in each task before the shuffle."""
+    deepest = coded(scores).groupBy("measure", "source", F.shiftright("code", BITS - LEVELS[-1]).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
+    above = F.array(*(F.struct(F.lit(level).alias("level"), F.shiftright("leaf", LEVELS[-1] - level).alias("node")) for level in LEVELS))
+    return deepest.select("measure", "source", "n", F.inline(above)).groupBy("measure", "source", "level", "node").agg(F.sum("n").alias("n"))
 
 
 def add_batch(tree: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -71,6 +73,16 @@ def add_batch(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     return tree.unionByName(nodes).groupBy("measure", "source", "level", "node").agg(F.sum("n").alias("n"))
 
 
+def store_batch(scores: DataFrame, path: str) -> None:
+    """Appends the nodes of a batch of scores to the tree stored at ``path``; nothing that stands there is read."""
+    tree_nodes(scores).write.mode("append").parquet(path)
+
+
+def stored_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The tree of all batches stored at ``path``."""
+    return spark.read.parquet(path).groupBy("measure", "source", "level", "node").agg(F.sum("n").alias("n"))
+
+
 def target_ranks(tree: DataFrame, targets: DataFrame) -> DataFrame:
     """(measure, source, target_fraction, n, rank): how many of the strictest records of each source must be kept, one at least.
 
@@ -82,23 +94,42 @@ def target_ranks(tree: DataFrame, targets: DataFrame) -> DataFrame:
     return roots.join(wanted, "source").select("measure", "source", "target_fraction", "usable", rank.alias("rank"))
 
 
+def _step(place: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``place`` moved into the child that holds its rank; ``nodes``: measure, source, code (the parent), node, n, at most ``2 ** STRIDE`` for each row of ``place``."""
+    upto = F.sum("n").over(Window.partitionBy("measure", "source").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    under = place.join(nodes, ["measure", "source", "code"]).withColumn("upto", upto)
+    reached = under.where("upto >= inside AND upto - n < inside")
+    return reached.withColumn("inside", F.col("inside") - F.col("upto") + F.col("n")).withColumn("code", F.col("node")).drop("node", "n", "upto")
+
+
 def descend(tree: DataFrame, ranks: DataFrame) -> DataFrame:
-    """``ranks`` with ``code``, the leaf that holds the record of that rank, and ``inside``, its rank in the leaf."""
+    """``ranks`` with ``code``, the stored leaf that holds the record of that rank, and ``inside``, its rank in the leaf."""
     place = ranks.withColumn("code", F.lit(0).cast("long")).withColumn("inside", F.col("rank"))
-    by_source = Window.partitionBy("measure", "source")
-    for level in range(STRIDE, BITS + 1, STRIDE):
-        nodes = tree.where(F.col("level") == level).select("measure", "source", F.shiftright("node", STRIDE).alias("code"), "node", "n")
-        under = place.join(nodes, ["measure", "source", "code"]).withColumn("upto", F.sum("n").over(by_source.orderBy("node").rowsBetween(Window.unboundedPreceding, 0)))
-        place = under.where("upto >= inside AND upto - n < inside").withColumn("inside", F.col("inside") - F.col("upto") + F.col("n")).withColumn("code", F.col("node")).drop("node", "n", "upto")
+    for level in LEVELS[1:]:
+        place = _step(place, tree.where(F.col("level") == level).select("measure", "source", F.shiftright("node", STRIDE).alias("code"), "node", "n"))
     return place
 
 
-def refine(counts: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(measure, source, target_fraction, usable, rank, cutoff): the distinct score in the leaf at which the rank is reached."""
+def refine(scores: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(measure, source, target_fraction, usable, rank, cutoff): the distinct score at which the rank is reached.
+
+    Only scores in the reached leaves are read on; these are opened level by level, and the distinct scores of the last
+    one are put in order.
+    """
+    leaves = cut_lineage(leaves)
+    few = leaves.count() <= BROADCAST_SOURCES
+    small = lambda df: F.broadcast(df) if few else df
+    keys = ["measure", "source"]
+    at = lambda df, level: df.join(small(leaves if level == LEVELS[-1] else place).select(*keys, F.col("code").alias("_leaf")), keys).where(F.shiftright("code", BITS - level) == F.col("_leaf")).drop("_leaf")
+    inside, place = cut_lineage(at(coded(scores).select(*keys, "code", "score"), LEVELS[-1])), leaves
+    for level in range(LEVELS[-1] + STRIDE, BITS + 1, STRIDE):
+        nodes = at(inside, level - STRIDE).groupBy(*keys, F.shiftright("code", BITS - level).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        place = cut_lineage(_step(place, nodes.select(*keys, F.shiftright("node", STRIDE).alias("code"), "node", "n")))
+    counts = at(inside, BITS).groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
     order = strictness(F.col("measure"), F.col("score"))
-    window = Window.partitionBy("measure", "source").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = leaves.join(counts, ["measure", "source", "code"]).withColumn("upto", F.sum("n").over(window))
-    return inside.where("upto >= inside AND upto - n < inside").select("measure", "source", "target_fraction", "usable", "rank", F.col("score").alias("cutoff"))
+    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = place.join(counts, keys).withColumn("upto", F.sum("n").over(window))
+    return ordered.where("upto >= inside AND upto - n < inside").select(*keys, "target_fraction", "usable", "rank", F.col("score").alias("cutoff"))
 
 
 def cutoffs(scores: DataFrame, targets: DataFrame, tree: DataFrame | None = None) -> DataFrame:
@@ -106,14 +137,13 @@ def cutoffs(scores: DataFrame, targets: DataFrame, tree: DataFrame | None = None
 
     ``tree``: the stored tree of the same scores; without it the tree is counted here. An empty table gives no row.
     """
-    counts = cut_lineage(score_counts(scores))
-    tree = cut_lineage(tree_nodes(counts)) if tree is None else tree
-    return refine(counts, descend(tree, target_ranks(tree, targets)))
+    tree = cut_lineage(tree_nodes(scores)) if tree is None else tree
+    return refine(scores, descend(tree, target_ranks(tree, targets)))
 
 
 def kept(results: DataFrame, targets: DataFrame) -> DataFrame:
     """The usable scores that are as strict as their source's cutoff, ties at the cutoff included."""
-    scores = usable_scores(latest(results))
+    scores = cut_lineage(usable_scores(latest(results)).drop("true_class"))
     bounds = cut_lineage(cutoffs(scores, targets)).select("measure", "source", "cutoff")
     measure = F.col("measure")
     return scores.join(bounds, ["measure", "source"]).where(strictness(measure, F.col("score")) <= strictness(measure, F.col("cutoff")))
@@ -124,7 +154,7 @@ def cutoff_report(results: DataFrame, targets: DataFrame, class_thresholds: Data
 
     Today's cutoff of a row is that of its true class (in one spelling), else, and for null fields, that of ``default``.
     """
-    scores = usable_scores(latest(results))
+    scores = cut_lineage(usable_scores(latest(results)))
     bounds = cut_lineage(cutoffs(scores, targets))
     today = class_thresholds.select(names.slug(F.col("class_name")).alias("true_class"), F.col("similarity_threshold").alias("similarity"), F.col("l2_distance_threshold").alias("l2_distance"))
     fallback = today.where("true_class = 'default'").agg(F.max("similarity").alias("_similarity"), F.max("l2_distance").alias("_l2_distance"))

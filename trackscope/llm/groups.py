@@ -90,19 +90,21 @@ def video_components(objects: DataFrame) -> DataFrame:
     return components(star_links(read.where("video <> '' AND tag <> ''"), "video", "tag"))
 
 
-def task_groups(tasks: DataFrame, objects: DataFrame) -> DataFrame:
+def task_groups(tasks: DataFrame, objects: DataFrame, alone: bool = False) -> DataFrame:
     """(task_id, group_task_id): each task whose source names a video, with the smallest task_id of its group.
 
-    Tasks with a null id, a null or empty source or one that names no video are missing. A file planned twice is two
-    tasks of one group. The videos of one group need not all have tasks.
+    Tasks with a null id are missing; those with a null or empty source, or one that names no video, are missing too, or,
+    with ``alone``, groups of their own. A file planned twice is two tasks of one group. The videos of one group need
+    not all have tasks. Hot videos and a component that holds most videos are salted.
     """
     parsed = cut_lineage(tasks.where("task_id IS NOT NULL").select("task_id", task_video(F.col("source")).alias("video")))
     named = parsed.where("video <> ''")
     videos = named.groupBy("video").agg(F.min("task_id").alias("first_task"))
-    joined = videos.join(video_components(objects).withColumnRenamed("node", "video"), "video", "left").withColumn("component", F.coalesce("component", "video"))
+    joined = cut_lineage(videos.join(video_components(objects).withColumnRenamed("node", "video"), "video", "left").withColumn("component", F.coalesce("component", "video")))
     first = joined.groupBy("component").agg(F.min("first_task").alias("group_task_id"))
-    by_video = joined.join(first, "component").select("video", "group_task_id")
-    return salted_join(named, by_video, "video", F.col("task_id")).select("task_id", "group_task_id")
+    by_video = salted_join(joined, first, "component", F.col("video")).select("video", "group_task_id")
+    grouped = salted_join(named, by_video, "video", F.col("task_id")).select("task_id", "group_task_id")
+    return grouped.unionByName(parsed.where("video IS NULL OR video = ''").select("task_id", F.col("task_id").alias("group_task_id"))) if alone else grouped
 
 
 def split_of(group: Column, targets: list[tuple[str, float]], seed: int = 0) -> Column:
@@ -117,9 +119,9 @@ def split_of(group: Column, targets: list[tuple[str, float]], seed: int = 0) ->
 
 
 def assign_splits(tasks: DataFrame, objects: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """(task_id, group_task_id, split_name): tasks of one group get one split. ``targets`` is a fixed table of a few rows."""
+    """(task_id, group_task_id, split_name): tasks of one group get one split, tasks without a video by themselves. ``targets`` is a fixed table of a few rows."""
     wanted = [(r["split_name"], r["proportion"]) for r in targets.where("split_name IS NOT NULL AND proportion > 0").select("split_name", "proportion").collect()]
-    return task_groups(tasks, objects).withColumn("split_name", split_of(F.col("group_task_id"), wanted, seed))
+    return task_groups(tasks, objects, alone=True).withColumn("split_name", split_of(F.col("group_task_id"), wanted, seed))
 
 
 def split_report(tasks: DataFrame, objects: DataFrame, targets: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..session import cut_lineage
 from ..skew import salted_join
 
 #: Words that name a clip: three folders and the file.
@@ -54,15 +55,25 @@ def cross_split_overlap(evaluation: DataFrame, training: DataFrame, record: str,
     empty sequences give no row; a gram that a record holds twice counts once; other columns are not read.
     ``containment`` is shared / distinct grams of the evaluation record.
     """
-    with_hash = lambda df: df.where(F.col(record).isNotNull()).withColumn("_hash", F.xxhash64("gram"))
-    scan = with_hash(record_grams(training, record, n)).select("_hash", F.col(record).alias("train_record"), "gram")
-    sought = with_hash(record_grams(evaluation, record, n)).select("_hash", F.col(record).alias("eval_record"), F.col("gram").alias("_sought"))
+    scan = _hashed_grams(training, record, n).withColumnRenamed(record, "train_record")
+    sought = _hashed_grams(evaluation, record, n).select("_hash", F.col(record).alias("eval_record"), F.col("gram").alias("_sought"))
     hits = salted_join(scan, sought, "_hash", F.col("train_record")).where(F.col("gram") == F.col("_sought"))
     pairs = hits.groupBy("eval_record", "train_record").agg(F.count(F.lit(1)).alias("shared"))
     sizes = sought.groupBy("eval_record").agg(F.count(F.lit(1)).alias("_grams"))
     return pairs.join(sizes, "eval_record").select("eval_record", "train_record", "shared", (F.col("shared") / F.col("_grams")).alias("containment"))
 
 
+def _hashed_grams(sequences: DataFrame, record: str, n: int) -> DataFrame:
+    """(record, gram, _hash), cut once: the count of hot grams and the join both read it."""
+    return cut_lineage(record_grams(sequences.where(F.col(record).isNotNull()), record, n).withColumn("_hash", F.xxhash64("gram")))
+
+
+def shared_grams(evaluation: DataFrame, training: DataFrame, record: str, n: int) -> DataFrame:
+    """(gram, eval_records, train_records) of every n-gram on both sides: the classes behind the pairs, whose number is the product, without any pair."""
+    count = lambda df, name: record_grams(df.where(F.col(record).isNotNull()), record, n).groupBy("gram").agg(F.count(F.lit(1)).alias(name))
+    return count(evaluation, "eval_records").join(count(training, "train_records"), "gram")
+
+
 def training_records(sft_train: DataFrame, rl_train: DataFrame) -> DataFrame:
     columns = lambda df, split: df.select("sample_id", "videos", "source", F.lit(split).alias("split"))
     return columns(sft_train, "sft_train").unionByName(columns(rl_train, "rl_train"))
