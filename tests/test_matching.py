@@ -20,22 +20,22 @@ def test_first_pass_keeps_last_and_second_keeps_best(spark):
     truth = boxes(spark, (1, 1, 0, 0, 40, 40, 1))
     found = boxes(spark, (1, 10, 0, 0, 40, 40, 0.9), (1, 11, 0, 0, 40, 30, 0.8))
     groups = matching.matching_groups(truth, found, KEYS, {"all": 0.0})
-    assert matching.match_last(groups, KEYS).first()["scores"] == [0.8]
-    at = matching.match_best(groups, KEYS, F.array(F.lit(0.0), F.lit(0.85))).orderBy("idx").collect()
+    assert matching.match_last(groups).first()["scores"] == [0.8]
+    at = matching.match_best(groups, F.array(F.lit(0.0), F.lit(0.85))).orderBy("idx").collect()
     assert [(r["tp"], r["fp"], r["fn"]) for r in at] == [(1, 1, 0), (1, 0, 0)]
 
 
 def test_low_truth_is_ignored_in_easy_only(spark):
     truth, found = boxes(spark, (1, 1, 0, 0, 40, 15, 1)), boxes(spark, (1, 10, 0, 0, 40, 15, 0.9))
-    first = {r["difficulty"]: (r["eligible"], r["tp"]) for r in matching.match_last(matching.matching_groups(truth, found, KEYS), KEYS).collect()}
+    first = {r["difficulty"]: (r["eligible"], r["tp"]) for r in matching.match_last(matching.matching_groups(truth, found, KEYS)).collect()}
     assert first == {"easy": (0, 0), "moderate": (1, 1), "hard": (1, 1)}
 
 
 def test_score_zero_matches_in_second_pass_only(spark):
     truth, found = boxes(spark, (1, 1, 0, 0, 40, 40, 1)), boxes(spark, (1, 10, 0, 0, 40, 40, 0.0))
     groups = matching.matching_groups(truth, found, KEYS, {"all": 0.0})
-    assert matching.match_last(groups, KEYS).first()["tp"] == 0
-    assert matching.match_best(groups, KEYS, F.array(F.lit(0.0))).first()["tp"] == 1
+    assert matching.match_last(groups).first()["tp"] == 0
+    assert matching.match_best(groups, F.array(F.lit(0.0))).first()["tp"] == 1
 
 
 def sampled(m, n):
@@ -86,3 +86,50 @@ def test_overlap_guards(spark, second, iou):
 
     lits = lambda b: tuple(F.lit(float(x)) for x in b)
     assert spark.range(1).select(geometry.overlap(lits((0, 0, 10, 10)), lits(second))).first()[0] == iou
+
+
+def test_occlusion_and_truncation_set_flags(spark):
+    truth = boxes(spark, *((1, i, 100 * i, 0, 100 * i + 40, 40, 1) for i in range(5)))
+    found = boxes(spark, *((1, 10 + i, 100 * i, 0, 100 * i + 40, 40, 0.9) for i in range(5)))
+    marked = truth.withColumn("occlusion", F.when(F.col("ord") == 4, -1.0).otherwise(F.col("ord").cast("double"))).withColumn("truncation", F.when(F.col("ord") == 0, 0.12).otherwise(-1.0))
+    first = {r["difficulty"]: (r["eligible"], r["tp"]) for r in matching.match_last(matching.matching_groups(marked, found, KEYS)).collect()}
+    assert first == {"easy": (2, 2), "moderate": (2, 2), "hard": (3, 3)}
+
+
+def plain_matches(truth, found, least, threshold):
+    """The second pass box by box."""
+    height = lambda b: b[5] - b[3]
+
+    def iou(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        shared = w * h if w > 0 and h > 0 else 0.0
+        return shared / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - shared)
+
+    tp = fn = 0
+    used = set()
+    for t in truth:
+        best, most = None, 0.0
+        for k, p in enumerate(found):
+            if k in used or p[6] < threshold or not iou(t, p) > matching.MATCH_IOU:
+                continue
+            if height(p) >= least and iou(t, p) > most:
+                best, most = k, iou(t, p)
+            elif height(p) < least and best is None:
+                best = k
+        if best is None:
+            fn += height(t) >= least
+            continue
+        used.add(best)
+        tp += height(t) >= least and height(found[best]) >= least
+    return tp, sum(k not in used and p[6] >= threshold and height(p) >= least for k, p in enumerate(found)), fn
+
+
+def test_second_pass_equals_brute_force(spark):
+    rng = random.Random(9)
+    box = lambda i: (1, i, *(lambda x, y: (x, y, x + rng.randint(20, 60), y + rng.randint(8, 40)))(rng.randint(-40, 900), rng.randint(-20, 300)), rng.randint(0, 20) / 20)
+    truth, found = [box(i) for i in range(150)], [box(1000 + i) for i in range(260)]
+    groups = matching.matching_groups(boxes(spark, *truth), boxes(spark, *found), KEYS, {"low": 10.0, "high": 20.0})
+    at = {(r["difficulty"], r["threshold"]): (r["tp"], r["fp"], r["fn"]) for r in matching.match_best(groups, F.array(*(F.lit(t) for t in (0.5, 0.0, 0.9)))).collect()}
+    assert at == {(name, t): plain_matches(truth, found, least, t) for name, least in (("low", 10), ("high", 20)) for t in (0.0, 0.5, 0.9)}
+    pairs = {(r["truth_ord"], r["predicted_ord"]) for r in matching.iou_pairs(boxes(spark, *truth), boxes(spark, *found), KEYS).collect()}
+    assert len(pairs) > 50 and len(pairs) == matching.iou_pairs(boxes(spark, *truth), boxes(spark, *found), KEYS).count()

@@ -93,27 +93,34 @@ def _coarse(boxes):
     return boxes.withColumn("class_name", F.lit("fish"))
 
 
-def _groups(spark, folder, coarse=True):
-    t, p = truth_boxes(spark, folder), predicted_boxes(spark, folder)
-    return matching.matching_groups(_coarse(t), _coarse(p), KEYS) if coarse else matching.matching_groups(t, p, KEYS)
+def _pair(spark, folder, coarse):
+    pair = truth_boxes(spark, folder), predicted_boxes(spark, folder)
+    return tuple(map(_coarse, pair)) if coarse else pair
+
+
+def _groups(spark, folder, cut=False):
+    return matching.matching_groups(*_pair(spark, folder, True), KEYS, cut=cut)
 
 
 def _ap(spark, folder, coarse):
-    t, p = truth_boxes(spark, folder), predicted_boxes(spark, folder)
-    return matching.detection_ap(_coarse(t) if coarse else t, _coarse(p) if coarse else p, ["class_name"], KEYS)
+    return matching.detection_ap(*_pair(spark, folder, coarse), ["class_name"], KEYS)
 
 
 def _thresholds(spark, folder):
-    return matching.pr_thresholds(matching.match_last(_groups(spark, folder), KEYS), ["class_name"])
+    return matching.pr_thresholds(matching.match_last(_groups(spark, folder, True)), ["class_name"])
 
 
 def _curve(spark, folder):
-    curve = matching.pr_curve(_groups(spark, folder), KEYS, ["class_name"], _thresholds(spark, folder))
-    return matching.precision_envelope(curve, ["class_name"]).select("difficulty", "idx", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("envelope", 6).alias("envelope"))
+    return matching.detection_curve(*_pair(spark, folder, True), ["class_name"], KEYS)
+
+
+def _envelope(spark, folder):
+    curve = matching.precision_envelope(_curve(spark, folder), ["class_name"])
+    return curve.select("difficulty", "idx", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("envelope", 6).alias("envelope"))
 
 
 def _best(spark, folder):
-    at = matching.match_best(_groups(spark, folder), KEYS, F.array(F.lit(0.0), F.lit(0.3), F.lit(0.6)))
+    at = matching.match_best(_groups(spark, folder), F.array(F.lit(0.0), F.lit(0.3), F.lit(0.6)), ["class_name"])
     return at.groupBy("difficulty", "threshold").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
@@ -131,13 +138,15 @@ def queries():
         "frame_align_gt_range": align("gt_range"),
         "alignment_counts": both(lambda t, p: matching.alignment_counts(matching.align_frames(t, p))),
         "iou_pairs": both(lambda t, p: matching.iou_pairs(t, p, matching.FRAME).withColumn("iou", F.round("iou", 6))),
-        "greedy_match_last": lambda spark, folder: matching.match_last(_groups(spark, folder), KEYS).groupBy("difficulty").agg(F.sum("eligible").alias("eligible"), F.sum("tp").alias("tp"), F.round(F.sum(F.expr("aggregate(scores, 0D, (a, x) -> a + x)")), 6).alias("score_sum")),
+        "greedy_match_last": lambda spark, folder: matching.match_last(_groups(spark, folder)).groupBy("difficulty").agg(F.sum("eligible").alias("eligible"), F.sum("tp").alias("tp"), F.round(F.sum(F.expr("aggregate(scores, 0D, (a, x) -> a + x)")), 6).alias("score_sum")),
         "greedy_match_best": _best,
         "pr_thresholds": lambda spark, folder: _thresholds(spark, folder).select("difficulty", "idx", F.round("threshold", 9).alias("threshold")),
-        "precision_envelope": _curve,
+        "pr_curve": lambda spark, folder: _curve(spark, folder).select("difficulty", "idx", *(F.round(c, 6).alias(c) for c in ("threshold", "precision", "recall"))),
+        "precision_envelope": _envelope,
         "detection_ap_coarse": lambda spark, folder: _ap(spark, folder, True),
         "detection_ap_fine": lambda spark, folder: _ap(spark, folder, False),
-        "macro_ap": lambda spark, folder: _ap(spark, folder, False).groupBy("difficulty").agg(F.round(F.avg("ap11"), 5).alias("ap11"), F.round(F.avg("ap41"), 5).alias("ap41"), F.count(F.lit(1)).alias("classes")),
+        "macro_ap": lambda spark, folder: matching.macro_ap(_ap(spark, folder, False)),
+        "mean_ap": lambda spark, folder: matching.mean_ap(_ap(spark, folder, False), ["class_name"]),
         "frame_ap": _frame_ap,
     }
 
@@ -161,6 +170,8 @@ def oracle_sql():
         "precision_envelope": f"WITH RECURSIVE {curve_sql(coarse)} SELECT difficulty, idx, round(threshold, 6) AS threshold, tp, fp, fn, round(prec, 6) AS precision, round(max(prec) OVER (PARTITION BY difficulty ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS envelope FROM curve",
         "detection_ap_coarse": f"WITH RECURSIVE {curve_sql(coarse)} SELECT cls AS class_name, difficulty, ap11, ap41 FROM aps",
         "detection_ap_fine": f"WITH RECURSIVE {curve_sql(fine)} SELECT cls AS class_name, difficulty, ap11, ap41 FROM aps",
+        "pr_curve": f"WITH RECURSIVE {curve_sql(coarse)} SELECT difficulty, idx, round(threshold, 6) AS threshold, round(prec, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall FROM curve",
+        "mean_ap": f"WITH RECURSIVE {curve_sql(fine)} SELECT cls AS class_name, round(avg(ap11), 5) AS map11, round(avg(ap41), 5) AS map41 FROM aps GROUP BY 1",
         "macro_ap": f"WITH RECURSIVE {curve_sql(fine)} SELECT difficulty, round(avg(ap11), 5) AS ap11, round(avg(ap41), 5) AS ap41, count(*) AS classes FROM aps GROUP BY 1",
         "frame_ap": f"WITH RECURSIVE {curve_sql(per_frame)} SELECT split_part(cls, '|', 1) AS sequence_name, split_part(cls, '|', 2)::BIGINT AS frame_id, difficulty, ap11, ap41 FROM aps",
     }
