@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,12 @@ LEARNED = re.compile(r"(?:tion|sion|ment|ity|ism|ous|ical|ogy|ance|ence|ised|ize
 
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+")
 _LOG_START = re.compile(r"^\W*(?:f|fr|frame|img|ts|t|id|no)?\W*\d+\s*[;,|:\t]|^\W*(?:\d{4}-\d\d-\d\d|\d\d:\d\d)", re.I)
+_WORDS, _BEYOND_ASCII, _WORD_CHARACTER = re.compile(r"[a-z]+"), re.compile(r"[^\x00-\x7f]"), re.compile(r"\w")
 _TOKEN = re.compile(r"[a-z]+(?:['’-][a-z]+)*|\d+(?:[.,]\d+)*")
 
 
 def _sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if re.search(r"\w", s)]
+    return [s for s in _SENTENCE.split(text) if _WORD_CHARACTER.search(s)]
 
 
 def clean(text: str | None) -> str:
@@ -50,29 +52,73 @@ def clean(text: str | None) -> str:
     return "\n".join(" ".join(line.split()) for line in plaintext.folded(text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"))
 
 
-def is_log_line(line: str) -> bool:
+def is_log_line(line: str, words: int) -> bool:
     """Starts like an entry of a log, or is a few words between separators."""
-    return bool(_LOG_START.search(line)) or (sum(map(line.count, ";|\t")) >= 2 and len(_TOKEN.findall(line)) <= 12)
+    return bool(_LOG_START.search(line)) or (words <= 12 and sum(map(line.count, ";|\t")) >= 2)
+
+
+class Vocabulary:
+    """What each word contributes, looked up once: length, bucket and kinds. Forgotten when there are too many words."""
+
+    KINDS = ("alpha", "subordinator", "personal", "connector", "learned", "digit")
+
+    def __init__(self, most: int = 1 << 18):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.lengths, self.buckets, self.kinds = [], [], []
+        self.table = None
+
+    def _add(self, token: str) -> int:
+        alpha = token[0].isalpha()
+        self.lengths.append(len(token))
+        self.buckets.append(xxhash.xxh32_intdigest(token if alpha else "9") % BUCKETS)
+        self.kinds.append((alpha, token in SUBORDINATORS, token in PERSONAL, token in CONNECTORS, bool(LEARNED.search(token)), token[0].isdigit()))
+        self.table = None
+        return self.codes.setdefault(token, len(self.codes))
+
+    def look(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lengths, buckets, kinds as rows of 0 and 1) of the tokens."""
+        if len(self.codes) > self.most:
+            self.forget()
+        codes = self.codes
+        at = [codes[t] if t in codes else self._add(t) for t in tokens]
+        if self.table is None:
+            self.table = np.array(self.lengths), np.array(self.buckets), np.array(self.kinds, np.int64).reshape(-1, len(self.KINDS))
+        at = np.array(at, np.int64)
+        return tuple(column[at] for column in self.table)
+
+
+_VOCABULARY = Vocabulary()
+
+
+def _letters(text: str) -> tuple[int, int]:
+    """(letters, those from a to z) of a text in lower case."""
+    codes = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    latin = int(((codes >= 97) & (codes <= 122)).sum())
+    return latin + (0 if text.isascii() else sum(map(str.isalpha, _BEYOND_ASCII.findall(text)))), latin
 
 
 def is_prose(plain: str) -> bool:
     """Mainly English running prose of ``LEAST_WORDS`` words or more: neither a log nor a stub nor another language."""
     lines = [line for line in plain.split("\n") if line.strip()]
-    prose = [line for line in lines if not is_log_line(line)]
-    in_prose = sum(len(_TOKEN.findall(line)) for line in prose)
-    if in_prose < LEAST_WORDS or in_prose * 2 < sum(len(_TOKEN.findall(line)) for line in lines):
+    tokens = [_TOKEN.findall(line) for line in lines]
+    logs = [is_log_line(line, len(found)) for line, found in zip(lines, tokens)]
+    in_prose = sum(len(found) for found, log in zip(tokens, logs) if not log)
+    if in_prose < LEAST_WORDS or in_prose * 2 < sum(map(len, tokens)):
         return False
-    text = "\n".join(prose)
-    letters = sum(c.isalpha() for c in text)
-    latin = sum("a" <= c <= "z" for c in text)
-    if letters * 10 < 6 * len(text.replace(" ", "").replace("\n", "")) or latin * 2 < letters:
+    text = "\n".join(line for line, log in zip(lines, logs) if not log)
+    letters, latin = _letters(text)
+    if letters * 10 < 6 * (len(text) - text.count(" ") - text.count("\n")) or latin * 2 < letters:
         return False
     counts = {name: 0 for name in pairs.FUNCTION_WORDS}
-    for word in re.findall(r"[a-z]+", text):
+    for word in _WORDS.findall(text):
         if found := _LANGUAGE.get(word):
             counts[found] += 1
     if sum(counts.values()) < 2:  # terse style without function words
-        return sum(bool(LEARNED.search(t)) for t in _TOKEN.findall(text)) * 8 >= in_prose
+        return sum(bool(LEARNED.search(t)) for found, log in zip(tokens, logs) if not log for t in found) * 8 >= in_prose
     return counts["en"] * 2 >= sum(counts.values())
 
 
@@ -86,19 +132,20 @@ def features(plain: str) -> tuple[np.ndarray, np.ndarray]:
     sentences = [s for s in sentences if s]
     tokens = [t for s in sentences for t in s]
     n, m = max(len(tokens), 1), max(len(sentences), 1)
-    lengths = np.array([len(s) for s in sentences] or [0])
-    alpha = [t for t in tokens if t[0].isalpha()]
-    letters = np.array([len(t) for t in alpha] or [0])
-    rate = lambda chosen: sum(t in chosen for t in tokens) / n
+    sizes = sorted(len(s) for s in sentences) or [0]
+    mean = sum(sizes) / len(sizes)
+    spread = (sum((x - mean) ** 2 for x in sizes) / len(sizes)) ** 0.5
+    at, part = divmod(0.9 * (len(sizes) - 1), 1)
+    long = sizes[int(at)] + part * (sizes[min(int(at) + 1, len(sizes) - 1)] - sizes[int(at)])
+    lengths, buckets, kinds = _VOCABULARY.look(tokens)
+    alpha, subordinate, personal, connecting, learned, digits = kinds.sum(0).tolist() if len(tokens) else [0] * 6
+    letters = lengths[kinds[:, 0] > 0] if alpha else np.zeros(1)
     syntax = np.array([
-        np.log1p(lengths.mean()), lengths.std() / (lengths.mean() + 1), np.log1p(np.percentile(lengths, 90)), plain.count(",") / m, (plain.count(";") + plain.count(":")) / m, plain.count("(") / m,
-        plain.count("?") / m, plain.count("!") / m, rate(SUBORDINATORS), rate(PERSONAL), rate(CONNECTORS), letters.mean(), (letters >= 7).mean(), (letters >= 11).mean(), (letters <= 3).mean(),
-        sum(bool(LEARNED.search(t)) for t in alpha) / n, sum(t[0].isdigit() for t in tokens) / n, len(set(tokens)) / n**0.5,
+        np.log1p(mean), spread / (mean + 1), np.log1p(long), plain.count(",") / m, (plain.count(";") + plain.count(":")) / m, plain.count("(") / m,
+        plain.count("?") / m, plain.count("!") / m, subordinate / n, personal / n, connecting / n, letters.mean(), (letters >= 7).mean(), (letters >= 11).mean(), (letters <= 3).mean(),
+        learned / n, digits / n, len(set(tokens)) / n**0.5,
     ])
-    shares = np.zeros(BUCKETS)
-    for t in tokens:
-        shares[xxhash.xxh32_intdigest(t if t[0].isalpha() else "9") % BUCKETS] += 1 / n
-    return syntax, np.sqrt(shares)
+    return syntax, np.sqrt(np.bincount(buckets, minlength=BUCKETS) / n)
 
 
 @dataclass
@@ -122,7 +169,7 @@ class LevelModel:
     def band(self, score: float) -> str:
         return BANDS[int(np.searchsorted(self.cuts, score, "right"))]
 
-    @property
+    @cached_property
     def cuts(self) -> np.ndarray:
         """The scores between the levels: midway between the last knot below and the first above the grade between two levels."""
         cuts = []
@@ -205,12 +252,14 @@ def reading_levels(documents: DataFrame, samples: DataFrame, doc: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            places, scores = [], []
+            places, scores, seen = [], [], {}
             for i, t in enumerate(batch.column(1).to_pylist()):
-                plain = clean(t)
-                if is_prose(plain):
+                if t not in seen:
+                    plain = clean(t)
+                    seen[t] = m.score(plain) if is_prose(plain) else None
+                if seen[t] is not None:
                     places.append(i)
-                    scores.append(m.score(plain))
+                    scores.append(seen[t])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(places, pa.int64())), pa.array(scores, pa.float64()), pa.array([m.grade(s) for s in scores], pa.float64()), pa.array([m.band(s) for s in scores], pa.string())],
                 names=[doc, "score", "grade", "band"],

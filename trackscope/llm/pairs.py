@@ -97,6 +97,7 @@ _ANY_TAG = re.compile(r"</?\s*[A-Za-z][\w-]*\s*/?>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|_+")
 _SCRIPTS = {name: (re.compile(f"[{chars}]"), size) for name, (chars, size) in SCRIPTS.items()}
 _DECLINES = [[re.compile(part, re.I | re.S) for part in p.split(".*")] for p in DECLINES]
+_LATIN_DECLINES = [parts for p, parts in zip(DECLINES, _DECLINES) if re.search("[A-Za-z]", re.sub(r"\\.", "", p))]
 _HIDDEN = re.compile("[" + "".join(re.escape(chr(i)) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Cf", "Cc") and not chr(i).isspace()) + "]")
 _CANNOT, _TASKS, _SPEAKER, _REMARKS = (re.compile(p, re.I) for p in (CANNOT, TASKS, SPEAKER, REMARKS))
 _LANGUAGE_OF = {word: language for language, words in FUNCTION_WORDS.items() for word in words.split()}
@@ -123,7 +124,7 @@ def is_nothing(text: str | None) -> bool:
 
 
 def folded(text: str | None) -> str:
-    return " ".join(w.lower() for w in _WORD.findall(bare(text)))
+    return " ".join(_WORD.findall(bare(text))).lower()
 
 
 #: Level of compression.
@@ -205,12 +206,15 @@ def _stand_in_order(parts: list[re.Pattern], sentence: str) -> bool:
 
 def declines(text: str) -> bool:
     """Whether a sentence of the text declines to answer."""
-    for sentence in _SENTENCE.split(bare_lines(text)):
-        if not sentence or _REMARKS.search(sentence):
-            continue
-        if any(_stand_in_order(p, sentence) for p in _DECLINES) or (_CANNOT.search(sentence) and _TASKS.search(sentence) and _SPEAKER.search(sentence)):
-            return True
-    return False
+    return any(sentence and _declines(sentence) for sentence in _SENTENCE.split(bare_lines(text)))
+
+
+@lru_cache(maxsize=1 << 14)
+def _declines(sentence: str) -> bool:
+    if _REMARKS.search(sentence):
+        return False
+    patterns = _LATIN_DECLINES if sentence.isascii() else _DECLINES
+    return any(_stand_in_order(p, sentence) for p in patterns) or bool(_CANNOT.search(sentence) and _TASKS.search(sentence) and _SPEAKER.search(sentence))
 
 
 def bare_lines(text: str) -> str:
