@@ -68,7 +68,33 @@ def test_frame_files(spark, tmp_path):
     (folder / "000001.json").write_text(json.dumps({"labels": {"1": {"instance_id": 1, "class_name": "carp", "x1": 0, "y1": 0, "x2": 1, "y2": 1, "logit": 0.5}}}))
     (folder / "000002.json").write_text(json.dumps({"labels": []}))
     (folder / "metadata.json").write_text(json.dumps({"labels": {"1": {}}}))
-    assert [(r["sequence_name"], r["frame_key"]) for r in annotations.read_frame_files(spark, str(tmp_path / "legacy")).collect()] == [("seq", "000001")]
+    (folder / "prediction.json").write_text(json.dumps({"labels": {"1": {}}}))
+    assert sorted((r["sequence_name"], r["frame_key"]) for r in annotations.read_frame_files(spark, str(tmp_path / "legacy")).collect()) == [("seq", "000001"), ("seq", "metadata")]
+    files = listings.list_files(spark, str(tmp_path))
+    assert [r["files"] for r in annotations.frame_file_folders(files).collect()] == [3] and annotations.aggregated_files(files).first()["path"].endswith("seq/prediction.json")
+
+
+def test_one_sequence_and_truth(spark, tmp_path):
+    label = {"instance_id": 4, "class_name": "carp", "x1": 1, "y1": 2, "x2": 3, "y2": 4}
+    frames = {"1": {"labels": {"4": label}}}
+    for name in ("data", "single", "twice", "text", "none"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "data/prediction.json").write_text(json.dumps({"videos": {"g/a": {"frames": frames}, "b": {"frames": frames}}}))
+    (tmp_path / "data/annotations.json").write_text(json.dumps({"videos": {"old": {"frames": frames}}}))
+    (tmp_path / "single/prediction.json").write_text(json.dumps({"frames": frames}))
+    (tmp_path / "twice/prediction.json").write_text(json.dumps({"videos": {"g/a": {"frames": frames}, "h/a": {"frames": frames}}}))
+    (tmp_path / "text/v.txt").write_text("1,7,3,10,20,5,6,0.9,-1,-1\n")
+    (tmp_path / "text/prediction.json").write_text("{}")
+    names = lambda df: sorted(r["sequence_name"] for r in df.collect())
+    path = lambda name: str(tmp_path / name)
+    assert names(annotations.read_annotations(spark, path("data"))) == ["b", "g/a"] and names(annotations.read_annotations(spark, path("single"))) == ["single"]
+    assert names(annotations.read_sequence(spark, path("data"), "b")) == ["b"] and names(annotations.read_sequence(spark, path("data"))) == [] and names(annotations.read_sequence(spark, path("single"))) == ["single"]
+    assert names(annotations.read_truth(spark, path("data"), {})) == ["a", "b"] and names(annotations.read_truth(spark, path("text"), {"3": "carp"})) == ["v"]
+    for name in ("twice", "none"):
+        with pytest.raises(annotations.TruthError):
+            annotations.read_truth(spark, path(name), {})
+    asked = spark.createDataFrame([("b",), ("zz",)], "sequence_name string")
+    assert {tuple(r) for r in annotations.frame_counts(annotations.read_annotations(spark, path("data")), asked).collect()} == {("b", 1), ("zz", 0)}
 
 
 def test_label_text(spark, tmp_path):
@@ -77,25 +103,45 @@ def test_label_text(spark, tmp_path):
     (raw / "v.txt").write_text("1,7,3,10,20,5,6,0.9,-1,-1\n1,7,9,0,0,1,1,1,-1,-1\n2,7,3,1\n1,7,3,10.5,20.5,5,6,0.8,-1,-1\nx,7,3,1,1,1,1,1\n")
     strict = labels.read_raw_labels(spark, str(raw), {"3": "carp"}).collect()
     assert [(r["x2"], r["y2"], r["score"]) for r in strict] == [(15.0, 26.0, 0.9), (15.5, 26.5, 0.8)]
-    assert [(r["x1"], r["y1"], r["x2"]) for r in labels.read_lenient_labels(spark, str(raw)).collect()] == [(10, 20, 16)]
-    lines = labels.track_lines(spark.createDataFrame([("s", 3, 1, "fish", 1.0, 2.0, 3.0, 4.0, 0.25)], "sequence_name string, frame_id long, track_id long, class_name string, x1 double, y1 double, x2 double, y2 double, score double"), True)
-    labels.write_track_lines(lines, str(tmp_path / "lines"))
-    back = labels.read_tracks(spark, str(tmp_path / "lines/sequence_name=s"), True).first()
-    assert (back["frame_id"], back["x2"], back["score"]) == (3, 3.0, 0.25)
-    with pytest.raises(Exception, match="unknown class"):
-        labels.read_tracks(spark, str(tmp_path / "lines/sequence_name=s"), True, {"carp": "fish"}).collect()
+    assert [(r["x1"], r["y1"], r["x2"]) for r in labels.read_lenient_labels(spark, str(raw), {"3": "carp"}).collect()] == [(10, 20, 16)]
+    assert labels.read_lenient_labels(spark, str(raw), {"4": "carp"}).count() == 0
+    boxes = spark.createDataFrame([("a b", 3, 1, "carp", 1.0, 2.0, 3.0, 4.5, 0.25)], "sequence_name string, frame_id long, track_id long, class_name string, x1 double, y1 double, x2 double, y2 double, score double")
+    assert labels.track_lines(boxes, True).first()["value"] == "3 1 Car -1 -1 -1 1.0 2.0 3.0 4.5 -1 -1 -1 -1 -1 -1 -1 0.25"
+    assert labels.track_lines(boxes, False).first()["value"] == "3 1 Car -1 -1 -1 1.000000 2.000000 3.000000 4.500000 -1 -1 -1 -1000 -1000 -1000 -10 0.250000"
+    for predicted in (True, False):
+        labels.write_lines(labels.track_lines(boxes, predicted), str(tmp_path / f"lines{predicted}"))
+        back = labels.read_tracks(spark, str(tmp_path / f"lines{predicted}"), predicted).first()
+        assert (back["sequence_name"], back["frame_id"], back["class_name"], back["y2"], back["score"], back["occlusion"]) == ("a b", 3, "Fish", 4.5, 0.25, -1.0) and back["location"][0] == (-1.0 if predicted else -1000.0)
+    (raw / "t.txt").write_text("1 2 Carp 0 1 -1 0 0 1 1 -1 -1 -1 -1 -1 -1 -10\n")
+    assert [(r["class_name"], r["score"], r["occlusion"]) for r in labels.read_tracks(spark, str(raw / "t.txt"), False).collect()] == [("Fish", 1.0, 1.0)]
+    with pytest.raises(Exception, match="unsupported class Carp"):
+        labels.read_tracks(spark, str(raw / "t.txt"), True).collect()
 
 
 def test_listings(spark, tmp_path):
-    for p in ("video/g/a.MP4", "video/b.mp4", "f/x/1.jpg", "f/x/2.PNG", "f/y/1.webp"):
+    for p in ("in/g/a.MP4", "in/b.mpeg", "in/f/1.jpg", "in/f/deep/2.PNG", "in/h/k/1.png", "in/h/k/l/1.png", "in/w/1.webp", "cls/b/1.JPG", "cls/a.txt", "cls/c/2.webp", "cls/c/3.bmp", "cls/.x/1.jpg"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(b"12345")
-    files = listings.list_files(spark, str(tmp_path))
-    assert files.count() == 5 and [r["kind"] for r in listings.discover_videos(files).collect()].count("frames") == 2
-    assert {(r["class_name"], r["class_idx"]) for r in listings.class_folders(files).collect()} == {("x", 0), ("y", 1)}
-    assert listings.class_folders(files, any_case=False).count() == 2 and listings.class_folders(files, most=1).count() == 2
-    layout = value(spark, listings.video_layout(F.lit("/d/video/g/a.mp4")))
-    assert (layout["video_name"], layout["group"]) == ("a", "g") and value(spark, listings.video_layout(F.lit("/d/video/b.mp4")))["group"] is None
+    files, root = listings.list_files(spark, str(tmp_path)), str(tmp_path)
+    assert files.count() == 11  # hidden folders are not listed
+    assert [(r["relative"], r["kind"]) for r in listings.discover_videos(files, root + "/in").collect()] == [("b.mpeg", "video"), ("f", "frames"), ("g/a.MP4", "video"), ("h/k", "frames")]
+    inside = files.where(F.contains("path", F.lit("/cls/")))
+    assert {(r["class_name"], r["class_idx"]) for r in listings.class_folders(inside, root + "/cls").collect()} == {("b", 1), ("c", 2)}
+    assert listings.class_folders(inside, root + "/cls", any_case=False).count() == 1 and listings.class_folders(inside, root + "/cls", endings=listings.EXPERIMENT_PICTURES).count() == 3
+    assert listings.watchlist(inside, root + "/cls") == ["b", "c"]
+    with pytest.raises(FileNotFoundError):
+        listings.watchlist(inside, root + "/none")
+    pairs = {(r["name"], r["left_path"] is None, r["right_path"] is None) for r in listings.paired_files(files.where(F.contains("path", F.lit("/in/h/k/1"))), files.where(F.contains("path", F.lit("/in/f/1"))), "1").collect()}
+    assert pairs == {("1.png", False, True), ("1.jpg", True, False)}
+    (tmp_path / "in/a.mov").write_bytes(b"1")
+    asked = spark.createDataFrame([("a",), ("2",), ("none",)], "video_id string")
+    assert {r["video_id"]: r["path"] and r["path"].split("/in/")[-1] for r in listings.locate_videos(asked, listings.list_files(spark, root + "/in"), root + "/in").collect()} == {"a": "a.mov", "2": "f/deep/2.PNG", "none": None}
+    layout = value(spark, listings.video_layout(F.lit("/d/video/g/a.v1.mp4")))
+    assert tuple(layout) == ("a.v1", "g/a.v1", "g") and tuple(value(spark, listings.video_layout(F.lit("/d/video/b.x")))) == ("b.x", "b.x", None)
+    for name, doc in {"c1/a": {"video_id": "v", "fish_type": "t", "rethink_annotation": {"summary": "s"}}, "c1/b": {"error": "x", "rethink_annotation": {"summary": "s"}}, "c2/c": {"video_id": "w", "rethink_annotation": {}}, "c2/d/e": {"video_id": "u", "rethink_annotation": {"summary": "s"}}}.items():
+        (tmp_path / f"res/{name}.json").parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"res/{name}.json").write_text(json.dumps(doc))
+    assert [(r["fish_code"], r["video_id"], r["annotation"]) for r in listings.read_species_results(spark, root + "/res").collect()] == [("c1", "v", '{"summary":"s"}')]
     (tmp_path / "t.json").write_text(json.dumps({"default": {"similarity_threshold": 0.9, "l2_distance_threshold": 0.1}, "classes": {"a": {"similarity_threshold": 0.5}}}))
     assert {tuple(r) for r in listings.read_thresholds(spark, str(tmp_path / "t.json")).collect()} == {("a", 0.5, 0.1), ("default", 0.9, 0.1)}
     (tmp_path / "r.json").write_text(json.dumps({"results": [{"benchmark_index": 0, "video_path": "v", "source_item": {"answer": "x"}}]}))
@@ -157,7 +203,7 @@ def test_stream_counts_and_repeats(spark, folder, tmp_path):
 
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0), ("bb", None)], "k string, v double")
-    assert reports.text_table(df) == "k   v\na   1.000\nbb  N/A"
+    assert reports.text_table(df) == "k   v\na   1.000\nbb  N/A" and reports.text_table(df, 1) == "k  v\na  1.000\nand 1 more rows"
     reports.write_csv(df, str(tmp_path / "c"), ["v", "k"])
     reports.write_json_lines(df, str(tmp_path / "j"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["v", "k"] and spark.read.json(str(tmp_path / "j")).count() == 2

@@ -52,3 +52,9 @@ def centered_crop(center_x: Column, center_y: Column, side: Column, width: int,
     first = lambda center, most: F.greatest(F.lit(0), F.least(F.greatest((center - side / 2).cast("int"), F.lit(0)), F.lit(most) - side))
     x1, y1 = first(center_x, width), first(center_y, height)
     return {"x1": x1.cast("long"), "y1": y1.cast("long"), "x2": F.least(F.lit(width), x1 + side).cast("long"), "y2": F.least(F.lit(height), y1 + side).cast("long")}
+
+
+def free_crop_side(width: Column, height: Column, padding: int) -> tuple[Column, Column]:
+    """Width and height of a crop that follows its own box: cut to whole pixels, padded on both sides, four paddings at least, even."""
+    side = lambda c: even_up(F.greatest(c.cast("int") + 2 * padding, F.lit(4 * padding)))
+    return side(width), side(height)

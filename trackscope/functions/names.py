@@ -61,3 +61,41 @@ def file_stem(c: Column, endings: str) -> Column:
 def without_copy_marks(c: Column) -> Column:
     """A slug without the marks of copies and encodings at its end; numbered pieces (``_s02``) stay."""
     return F.regexp_replace(c, rf"(?:_?\(\d+\)|_(?:{COPY_MARKS}))+$", "")
+
+
+def instance_video(path: Column) -> Column:
+    """struct<video_name, instance_id> of ``<name>_<digits>.mp4`` (the name as long as can be, any case), null for other files."""
+    name = F.element_at(F.split(path, "/"), -1)
+    pattern = r"(?i)^(.+)_(\d+)\.mp4$"
+    return F.when(name.rlike(pattern), F.struct(F.regexp_extract(name, pattern, 1).alias("video_name"), F.regexp_extract(name, pattern, 2).try_cast("bigint").alias("instance_id")))
+
+
+def crop_file(name: Column, video: Column) -> Column:
+    """struct<instance_id, frame_id> of ``<video>_<instance>_<frame>.webp`` of that video, null for other files."""
+    rest = F.substr(name, F.length(video) + 1)
+    fits = name.startswith(video) & rest.rlike(r"^_\d+_\d+\.webp$")
+    part = lambda i: F.regexp_extract(rest, r"^_(\d+)_(\d+)\.webp$", i).try_cast("bigint")
+    return F.when(fits, F.struct(part(1).alias("instance_id"), part(2).alias("frame_id")))
+
+
+def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """``text`` with each first text of ``pairs`` replaced by the second, one pair after the other."""
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def class_label(name: Column, default: str = "") -> Column:
+    """A class as it is shown: blanks for underscores, each word with a capital."""
+    return F.coalesce(F.nullif(F.initcap(F.replace(name, F.lit("_"), F.lit(" "))), F.lit("")), F.lit(default))
+
+
+def distinct_items(items: Column) -> Column:
+    """The items without white space around them, blanks and nulls left out, each at its first place."""
+    return F.array_distinct(F.filter(F.transform(items, stripped), lambda x: x.isNotNull() & (x != "")))
+
+
+def bin_bounds(text: Column) -> Column:
+    """struct<low, high> of the text of a bin, its first two numbers."""
+    found = F.regexp_extract_all(text, F.lit(r"([+-]?\d+(?:\.\d+)?)(?=[^\d.]|$)"), F.lit(1))
+    return F.when(F.size(found) >= 2, F.struct(F.get(found, F.lit(0)).try_cast("double").alias("low"), F.abs(F.get(found, F.lit(1)).try_cast("double")).alias("high")))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geometry
+from ..functions import answers, geometry
+from ..functions.names import instance_video
 
 TRACK = ["sequence_name", "instance_id"]
 
@@ -75,11 +76,15 @@ def keyframe_windows(boxes: DataFrame, step: int = 10) -> DataFrame:
     return boxes.groupBy("sequence_name", (F.floor(F.col("frame_id") / step) * step).alias("key_frame")).agg(F.count(F.lit(1)).alias("boxes"), F.countDistinct("frame_id").alias("frames"))
 
 
-def fill(boxes: DataFrame, value: str, backward_span: int | None = None) -> DataFrame:
-    """(ord, track, filled): a missing value is the last known before it in its track, or, with a span, the first known in the following frames."""
+def fill(boxes: DataFrame, value: str, backward_span: int | None = None, forward_span: int | None = None) -> DataFrame:
+    """(ord, track, filled): a missing value is the last known before it in its track (within ``forward_span`` frames, if given), or, with ``backward_span``, the first known in so many following frames."""
     order = Window.partitionBy(*TRACK).orderBy("frame_id", "ord")
     if backward_span is None:
-        filled = F.last(value, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        before = order.rowsBetween(Window.unboundedPreceding, 0)
+        filled = F.last(value, True).over(before)
+        if forward_span is not None:
+            seen = F.last(F.when(F.col(value).isNotNull(), F.col("frame_id")), True).over(before)
+            filled = F.when(F.col("frame_id") - seen <= forward_span, filled)
     else:
         filled = F.first(value, True).over(Window.partitionBy(*TRACK).orderBy("frame_id").rangeBetween(0, backward_span))
     return boxes.select("ord", *TRACK, filled.alias("filled"))
@@ -111,6 +116,57 @@ def frame_range(boxes: DataFrame, ranges: DataFrame) -> DataFrame:
     return boxes.join(ranges.select("sequence_name", "a", "b"), "sequence_name", "left").where("a IS NULL OR frame_id BETWEEN a AND b").drop("a", "b")
 
 
+def allowed_frames(boxes: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Boxes in the frames of ``allowed`` (sequence_name, frame_id); a sequence that is missing there keeps none."""
+    return boxes.join(allowed.select("sequence_name", "frame_id").distinct(), ["sequence_name", "frame_id"], "left_semi")
+
+
+def sampled_frames(frames: DataFrame, most: int) -> DataFrame:
+    """Frames (sequence_name, idx from 0) of a clip as they are uploaded: all of them up to ``most``, else every (n div most)-th, at most ``most``."""
+    counts = frames.groupBy("sequence_name").agg(F.count(F.lit(1)).alias("_n"))
+    step = F.greatest(F.floor(F.col("_n") / most), F.lit(1))
+    return frames.join(counts, "sequence_name").where((F.col("_n") <= most) | ((F.col("idx") % step == 0) & (F.col("idx") / step < most))).drop("_n")
+
+
+def conversion_summary(boxes: DataFrame) -> DataFrame:
+    """(boxes, files, non_empty_files): files are sequences; those without an instance in any row are empty."""
+    per = boxes.groupBy("sequence_name").agg(F.count("instance_id").alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("boxes"), F.count(F.lit(1)).alias("files"), F.count_if(F.col("n") > 0).alias("non_empty_files"))
+
+
+def result_updates(results: DataFrame, names) -> DataFrame:
+    """(ord, sequence_name, instance_id, class_name): what each result says of an instance's video; nulls where its path names none or its output no class. ``names``: answers.ClassNames."""
+    video = instance_video(F.col("video_path"))
+    return results.select(F.col("result_id").alias("ord"), video["video_name"].alias("sequence_name"), video["instance_id"].alias("instance_id"), answers.resolve_species(F.col("question"), F.coalesce("model_raw_output", F.lit("")), names).alias("class_name"))
+
+
+def load_statistics(updates: DataFrame) -> DataFrame:
+    """(results_loaded, valid_predictions, skipped_results, conflicts) of ``result_updates``."""
+    valid = F.col("sequence_name").isNotNull() & F.col("class_name").isNotNull()
+    counts = updates.agg(F.count(F.lit(1)).alias("results_loaded"), F.count_if(valid).alias("valid_predictions"), F.count_if(~valid).alias("skipped_results"))
+    return counts.crossJoin(update_conflicts(updates.where(valid)).agg(F.coalesce(F.sum("conflicts"), F.lit(0)).alias("conflicts")))
+
+
+class NothingParsed(ValueError):
+    """Results of which none names an instance's video and a class."""
+
+
+def run_update(boxes: DataFrame, results: DataFrame, names) -> tuple[DataFrame, DataFrame]:
+    """(boxes with updated classes, one row of statistics: sequences, frames and labels updated, update videos without a sequence). Raises ``NothingParsed`` where no result can be used."""
+    updates = result_updates(results, names).where("sequence_name IS NOT NULL AND class_name IS NOT NULL")
+    if not updates.head(1):
+        raise NothingParsed("no result names an instance's video and a class")
+    updated = update_labels(boxes, updates)
+    return updated, update_statistics(updated).crossJoin(unmatched_updates(updates, boxes).agg(F.count(F.lit(1)).alias("unmatched_videos")))
+
+
+def update_statistics(updated: DataFrame) -> DataFrame:
+    """(updated_sequences, updated_frames, updated_labels) of ``update_labels``."""
+    changed = updated.where("updated")
+    frames = changed.groupBy("sequence_name", "frame_id").agg(F.count(F.lit(1)).alias("n"))
+    return frames.agg(F.countDistinct("sequence_name").alias("updated_sequences"), F.count(F.lit(1)).alias("updated_frames"), F.coalesce(F.sum("n"), F.lit(0)).alias("updated_labels"))
+
+
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row for each key, the last by ``order``; aggregated before the shuffle, so a hot key costs no more."""
     rest = [c for c in rows.columns if c not in keys]

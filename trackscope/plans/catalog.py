@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boxes, datasets, filters, nested, traces, tracks
+from . import boxes, datasets, files, filters, nested, traces, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (boxes, tracks, filters, traces, datasets, nested)
+_MODULES = (boxes, tracks, files, filters, traces, datasets, nested)
 
 
 def queries() -> dict[str, Query]:

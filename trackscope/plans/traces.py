@@ -131,10 +131,18 @@ def _species(c):
     return f"CASE WHEN regexp_matches(lower(trim({c}, {_B})), '\\([a-z]\\)') THEN trim(regexp_extract(lower(trim({c}, {_B})), '\\(([a-z])\\)\\s*(.*)', 2), {_B}) ELSE lower(trim({c}, {_B})) END"
 
 
+def resolved_sql(empty: bool = False) -> str:
+    """CTEs up to ``rs`` (result_id, species), the class that each output of res means; with ``empty`` a null output is an empty text."""
+    pattern = r"'\(([A-Ja-j])\)\s*([^\n]+)'"
+    answer = _any("coalesce(model_raw_output, '')" if empty else "model_raw_output")
+    table = [{"alias": x, "name": n} for x, n in NAMES.aliases]
+    return f"""op AS (SELECT result_id, row_number() OVER (PARTITION BY result_id ORDER BY place)::INT - 1 AS pos, letter, species FROM (SELECT result_id, place, letter, {_class_of('species')} AS species FROM (SELECT result_id, unnest(range(len(regexp_extract_all(question, {pattern}, 1)))) AS place, upper(unnest(regexp_extract_all(question, {pattern}, 1))) AS letter, unnest(regexp_extract_all(question, {pattern}, 2)) AS species FROM res)) WHERE species IS NOT NULL),
+an AS (SELECT result_id, {answer} AS answer FROM res), bl AS (SELECT an.result_id, arg_max(species, pos) AS by_letter FROM an JOIN op ON op.result_id = an.result_id AND op.letter = upper(regexp_extract(answer, '\\(([A-Ja-j])\\)', 1)) GROUP BY 1),
+rs AS (SELECT result_id, coalesce(by_letter, {_class_of('answer')}, list_filter({table}, lambda x: contains(lower(answer), x.alias))[1].name) AS species FROM an LEFT JOIN bl USING (result_id))"""
+
+
 def oracle_sql():
     o = "model_raw_output"
-    pattern = r"'\(([A-Ja-j])\)\s*([^\n]+)'"
-    opts = f"op AS (SELECT result_id, row_number() OVER (PARTITION BY result_id ORDER BY place)::INT - 1 AS pos, letter, species FROM (SELECT result_id, place, letter, {_class_of('species')} AS species FROM (SELECT result_id, unnest(range(len(regexp_extract_all(question, {pattern}, 1)))) AS place, upper(unnest(regexp_extract_all(question, {pattern}, 1))) AS letter, unnest(regexp_extract_all(question, {pattern}, 2)) AS species FROM res)) WHERE species IS NOT NULL)"
     truth = "bm AS (SELECT video_path, arg_max(gt, result_id) AS found FROM (SELECT *, coalesce(source_item['ground_truth'], source_item['answer']) AS gt FROM res) WHERE gt IS NOT NULL GROUP BY 1), tr AS (SELECT r.*, coalesce(found, nullif(source_item['ground_truth'], ''), nullif(source_item['answer'], '')) AS truth FROM res r LEFT JOIN bm USING (video_path))"
     right = f"{_letter('truth')} <> '' AND {_species('truth')} <> '' AND ({_letter('prediction')} = {_letter('truth')} OR {_species('prediction')} = {_species('truth')})"
     scored = f"WITH {truth}, sc AS (SELECT lower(truth) AS species, coalesce({right}, false) AS ok FROM tr WHERE prediction NOT IN ('', 'ERROR') AND truth <> ''), ps AS (SELECT species, count(*) AS n, count(*) FILTER (ok) AS ok FROM sc GROUP BY 1)"
@@ -152,9 +160,8 @@ def oracle_sql():
         "extract_answer_for_reward": f"SELECT result_id, {_for_reward(o)} AS answer FROM res",
         "check_format": f"SELECT result_id, {', '.join(f'coalesce({_has(o, t)}, false) AS has_{t}' for t in tags)} FROM res",
         "format_summary": f"SELECT checkpoint, count(*) AS total, {', '.join(f'count(*) FILTER ({_has(o, t)}) AS has_{t}' for t in tags)}, count(*) FILTER ({' AND '.join(_has(o, t) for t in tags)}) AS format_ok, count(*) FILTER (error <> '') AS errors FROM res GROUP BY 1",
-        "parse_options": f"WITH {opts} SELECT * FROM op",
-        "resolve_class": f"""WITH {opts}, an AS (SELECT result_id, {_any(o)} AS answer FROM res), bl AS (SELECT an.result_id, arg_max(species, pos) AS by_letter FROM an JOIN op ON op.result_id = an.result_id AND op.letter = upper(regexp_extract(answer, '\\(([A-Ja-j])\\)', 1)) GROUP BY 1)
-SELECT result_id, coalesce(by_letter, {_class_of('answer')}, list_filter({[{"alias": x, "name": n} for x, n in NAMES.aliases]}, lambda x: contains(lower(answer), x.alias))[1].name) AS species FROM an LEFT JOIN bl USING (result_id)""",
+        "parse_options": f"WITH {resolved_sql()} SELECT * FROM op",
+        "resolve_class": f"WITH {resolved_sql()} SELECT result_id, species FROM rs",
         "ground_truth_lookup": f"WITH {truth} SELECT result_id, truth FROM tr",
         "mc_accuracy": f"{scored} SELECT (SELECT count(*) FROM res) AS total, coalesce(sum(n), 0)::BIGINT AS scored, coalesce(sum(ok), 0)::BIGINT AS correct, round(sum(ok) / (SELECT count(*) FROM res), 6) AS micro, round(avg(ok / n), 6) AS macro FROM ps",
         "mc_accuracy_species": f"{scored} SELECT * FROM ps",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tracks
 from ..tables import table
+from .traces import NAMES, resolved_sql
 
 
 def det(spark, folder):
@@ -24,6 +25,11 @@ def updates(spark, folder):
     return rows.where("sequence_name <> '' AND instance_id IS NOT NULL")
 
 
+def results(spark, folder):
+    """What the inference results say of instances' videos."""
+    return tracks.result_updates(table(spark, folder, "res"), NAMES)
+
+
 def queries():
     on = lambda f, source=det: lambda spark, folder: f(source(spark, folder))
     first_frames = lambda d: d.groupBy("sequence_name").agg(F.min("frame_id").alias("a"), (F.min("frame_id") + 400).alias("b")).where("sequence_name < 'n'")
@@ -34,7 +40,10 @@ def queries():
         "scan_detections_flat": on(lambda d: d),
         "filter_boxes": on(lambda d: tracks.filter_boxes(d).select("ord", "sequence_name", "frame_id")),
         "semi_join_gt_sequences": with_video(lambda d, u: d.join(u.select("sequence_name").distinct(), "sequence_name", "left_semi").groupBy("sequence_name").agg(F.count(F.lit(1)).alias("boxes"))),
-        "coverage_anti": with_video(lambda d, u: d.select("sequence_name").distinct().join(u.select("sequence_name").distinct(), "sequence_name", "left_anti")),
+        "coverage_anti": on(lambda d: d.select("sequence_name").distinct().join(d.where("class_name = 'moss_tench'").select("sequence_name").distinct(), "sequence_name", "left_anti")),
+        "allowed_frames": with_video(lambda d, u: tracks.allowed_frames(d, d.where("class_name = 'moss_tench'")).groupBy("sequence_name").agg(F.count(F.lit(1)).alias("boxes"))),
+        "conversion_summary": on(tracks.conversion_summary),
+        "normalize_names": on(lambda d: d.groupBy("class_name").agg(F.count(F.lit(1)).alias("rows")), lambda spark, folder: table(spark, folder, "object_info").select(tracks.class_name(F.col("class_name")).alias("class_name"))),
         "frame_range_filter": on(lambda d: tracks.frame_range(d, first_frames(d)).groupBy("sequence_name").agg(F.count(F.lit(1)).alias("boxes"), F.max("frame_id").alias("last_frame"))),
         "category_counts_rollup": on(tracks.category_counts),
         "seqmap": on(tracks.sequence_map),
@@ -51,7 +60,11 @@ def queries():
         "duplicate_boxes": on(lambda d: d.groupBy("sequence_name", "frame_id", "instance_id", "x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")),
         "update_labels_join": with_video(lambda d, u: tracks.update_labels(d.where("instance_id IS NOT NULL"), u).select("ord", "class_name", "updated")),
         "update_conflicts": lambda spark, folder: tracks.update_conflicts(updates(spark, folder)),
-        "update_unmatched": with_video(lambda d, u: tracks.unmatched_updates(u, d)),
+        "instance_videos": lambda spark, folder: results(spark, folder).where("sequence_name IS NOT NULL"),
+        "update_load_stats": lambda spark, folder: tracks.load_statistics(results(spark, folder)),
+        "update_stats": with_video(lambda d, u: tracks.update_statistics(tracks.update_labels(d.where("instance_id IS NOT NULL"), u))),
+        "update_unmatched": lambda spark, folder: tracks.unmatched_updates(results(spark, folder).where("sequence_name IS NOT NULL AND class_name IS NOT NULL"), det(spark, folder)),
+        "fill_forward_bounded": on(lambda d: tracks.fill(d, "class_name", forward_span=10), tracked),
         "mask_area_bbox": on(lambda d: tracks.mask_boxes(masks(d))),
         "mask_iou": on(lambda d: tracks.mask_iou(masks(d)).withColumn("iou", F.round("iou", 6))),
         "mask_associate": on(lambda d: tracks.mask_associate(d.where("instance_id IS NOT NULL"))),
@@ -61,6 +74,7 @@ def queries():
 _CLASS = "rtrim(translate(lower(trim(class_name)), '- ', '__'), '.')"
 _DET = f"""det AS (SELECT object_id AS ord, regexp_extract(sequence_name, '[^/]*$') AS sequence_name, frame_id, instance_id, {_CLASS} AS class_name, least(x1, x2) AS x1, least(y1, y2) AS y1, greatest(x1, x2) AS x2, greatest(y1, y2) AS y2, coalesce(logit, 0.0) AS score FROM object_info),
 tracked AS (SELECT * FROM det WHERE instance_id IS NOT NULL)"""
+DETECTIONS_SQL = _DET
 _UPD = r"""upd AS (SELECT * FROM (SELECT task_id AS ord, translate(regexp_extract(lower(source), '([^/\\]+)[/\\]([^/\\]+)_(\d+)_\d+\.\w+\s*$', 2), '- ', '__') AS sequence_name,
  try_cast(regexp_extract(lower(source), '([^/\\]+)[/\\]([^/\\]+)_(\d+)_\d+\.\w+\s*$', 3) AS BIGINT) AS instance_id, translate(regexp_extract(lower(source), '([^/\\]+)[/\\]([^/\\]+)_(\d+)_\d+\.\w+\s*$', 1), '- ', '__') AS class_name FROM file_tasks) WHERE sequence_name <> '' AND instance_id IS NOT NULL)"""
 _WHOLE = "whole AS (SELECT ord, sequence_name, instance_id, trunc(x1)::INT AS x1, trunc(y1)::INT AS y1, trunc(x2)::INT AS x2, trunc(y2)::INT AS y2 FROM tracked)"
@@ -86,6 +100,7 @@ fold AS (SELECT sequence_name, 0::BIGINT AS r, 0::BIGINT AS n, []::STRUCT(id BIG
  FROM (SELECT *, list_transform(list_zip(ds, ids), lambda z: struct_pack(ord := z[1].ord, id := z[2], x1 := z[1].x1, y1 := z[1].y1, x2 := z[1].x2, y2 := z[1].y2)) AS who
  FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda i: coalesce(m[i], n + len(list_filter(m[1:i], lambda x: x IS NULL)))) AS ids
  FROM (SELECT fold.sequence_name, fr.r, fr.frame_id, n, ds, list_transform(ds, lambda d: list_filter(tr, lambda t: {_MASK_IOU} > 0.65)[1].id) AS m FROM fold JOIN fr ON fr.sequence_name = fold.sequence_name AND fr.r = fold.r + 1))))"""
+_RESULTS = f"{resolved_sql(empty=True)}, ru AS (SELECT result_id AS ord, CASE WHEN hit THEN regexp_extract(name, '(.+)_([0-9]+)\\.mp4$', 1, 'i') END AS sequence_name, CASE WHEN hit THEN try_cast(regexp_extract(name, '(.+)_([0-9]+)\\.mp4$', 2, 'i') AS BIGINT) END AS instance_id, species AS class_name FROM (SELECT result_id, string_split(video_path, '/')[-1] AS name, regexp_matches(string_split(video_path, '/')[-1], '^.+_[0-9]+\\.mp4$', 'i') AS hit FROM res) JOIN rs USING (result_id))"
 _LAST = f"{_DET}, {_UPD}, lu AS (SELECT sequence_name, instance_id, arg_max(class_name, ord) AS new FROM upd GROUP BY 1, 2)"
 
 
@@ -94,7 +109,10 @@ def oracle_sql():
         "scan_detections_flat": f"WITH {_DET} SELECT * FROM det",
         "filter_boxes": f"WITH {_DET} SELECT ord, sequence_name, frame_id FROM det WHERE score >= 0.30 AND {_VALID} AND least(x2 - x1, y2 - y1) >= 20",
         "semi_join_gt_sequences": f"WITH {_DET}, {_UPD} SELECT sequence_name, count(*) AS boxes FROM det WHERE sequence_name IN (SELECT sequence_name FROM upd) GROUP BY 1",
-        "coverage_anti": f"WITH {_DET}, {_UPD} SELECT DISTINCT sequence_name FROM det WHERE sequence_name NOT IN (SELECT sequence_name FROM upd)",
+        "coverage_anti": f"WITH {_DET} SELECT sequence_name FROM det GROUP BY 1 HAVING count(*) FILTER (class_name = 'moss_tench') = 0",
+        "allowed_frames": f"WITH {_DET} SELECT sequence_name, count(*) AS boxes FROM det WHERE (sequence_name, frame_id) IN (SELECT (sequence_name, frame_id) FROM det WHERE class_name = 'moss_tench' AND frame_id IS NOT NULL) GROUP BY 1",
+        "conversion_summary": f"WITH {_DET} SELECT sum(n)::BIGINT AS boxes, count(*) AS files, count(*) FILTER (n > 0) AS non_empty_files FROM (SELECT sequence_name, count(instance_id) AS n FROM det GROUP BY 1)",
+        "normalize_names": f"SELECT {_CLASS} AS class_name, count(*) AS rows FROM object_info GROUP BY 1",
         "frame_range_filter": f"WITH {_DET}, r AS (SELECT sequence_name, min(frame_id) AS a, min(frame_id) + 400 AS b FROM det GROUP BY 1 HAVING sequence_name < 'n') SELECT sequence_name, count(*) AS boxes, max(frame_id) AS last_frame FROM det LEFT JOIN r USING (sequence_name) WHERE a IS NULL OR frame_id BETWEEN a AND b GROUP BY 1",
         "category_counts_rollup": f"WITH {_DET} SELECT sequence_name, class_name, count(*) AS boxes FROM det WHERE class_name IS NOT NULL GROUP BY ROLLUP (sequence_name, class_name)",
         "seqmap": f"WITH {_DET} SELECT sequence_name, min(frame_id) AS first_frame, max(frame_id) + 1 AS end_frame FROM det GROUP BY 1",
@@ -111,7 +129,11 @@ m AS (SELECT ord, side, greatest(0, least(greatest(cx, 0), 1920 - side))::BIGINT
         "duplicate_boxes": f"WITH {_DET} SELECT sequence_name, frame_id, instance_id, x1, y1, x2, y2, count(*) AS copies FROM det GROUP BY ALL HAVING count(*) > 1",
         "update_labels_join": f"WITH {_LAST} SELECT ord, coalesce(new, class_name) AS class_name, new IS NOT NULL AND new IS DISTINCT FROM class_name AS updated FROM tracked LEFT JOIN lu USING (sequence_name, instance_id)",
         "update_conflicts": f"WITH {_UPD} SELECT sequence_name, instance_id, count(*) AS updates, count(*) FILTER (before <> class_name) AS conflicts FROM (SELECT *, lag(class_name) OVER (PARTITION BY sequence_name, instance_id ORDER BY ord) AS before FROM upd) GROUP BY 1, 2",
-        "update_unmatched": f"WITH {_DET}, {_UPD} SELECT DISTINCT sequence_name FROM upd WHERE sequence_name NOT IN (SELECT sequence_name FROM det)",
+        "instance_videos": f"WITH {_RESULTS} SELECT ord, sequence_name, instance_id, class_name FROM ru WHERE sequence_name IS NOT NULL",
+        "update_load_stats": f"WITH {_RESULTS}, v AS (SELECT *, lag(class_name) OVER (PARTITION BY sequence_name, instance_id ORDER BY ord) AS before FROM ru WHERE sequence_name IS NOT NULL AND class_name IS NOT NULL) SELECT (SELECT count(*) FROM ru) AS results_loaded, count(*) AS valid_predictions, (SELECT count(*) FROM ru) - count(*) AS skipped_results, count(*) FILTER (before <> class_name) AS conflicts FROM v",
+        "update_stats": f"WITH {_LAST}, c AS (SELECT sequence_name, frame_id FROM tracked JOIN lu USING (sequence_name, instance_id) WHERE new IS DISTINCT FROM class_name) SELECT count(DISTINCT sequence_name) AS updated_sequences, (SELECT count(*) FROM (SELECT DISTINCT sequence_name, frame_id FROM c)) AS updated_frames, count(*) AS updated_labels FROM c",
+        "update_unmatched": f"WITH {_DET}, {_RESULTS} SELECT DISTINCT sequence_name FROM ru WHERE sequence_name IS NOT NULL AND class_name IS NOT NULL AND sequence_name NOT IN (SELECT sequence_name FROM det WHERE sequence_name IS NOT NULL)",
+        "fill_forward_bounded": f"WITH {_DET} SELECT ord, sequence_name, instance_id, CASE WHEN frame_id - last_value(CASE WHEN class_name IS NOT NULL THEN frame_id END IGNORE NULLS) OVER w <= 10 THEN last_value(class_name IGNORE NULLS) OVER w END AS filled FROM tracked WINDOW w AS (PARTITION BY sequence_name, instance_id ORDER BY frame_id, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
         "mask_area_bbox": f"WITH {_DET}, {_PIX} SELECT * FROM ar",
         "mask_iou": f"WITH {_DET}, {_PIX} SELECT sequence_name, frame_id, instance_id, other_id, round(iou, 6) AS iou FROM mi",
         "mask_associate": f"WITH RECURSIVE {_DET}, {_FOLD} SELECT sequence_name, frame_id, g.ord AS ord, g.id AS track_id FROM (SELECT sequence_name, frame_id, unnest(got) AS g FROM fold)",

@@ -16,8 +16,15 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def text_table(df: DataFrame, rows: int = 1000) -> str:
-    """A summary (at most ``rows`` rows, meant for the eye) as fixed-width text; nulls are N/A, numbers have three decimals."""
+    """A summary as fixed-width text; nulls are N/A, numbers have three decimals. It is meant for the eye: behind ``rows`` rows a line says how many more there are."""
     show = lambda v: "N/A" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = [df.columns, *([show(v) for v in row] for row in df.limit(rows).collect())]
     widths = [max(len(line[i]) for line in lines) for i in range(len(df.columns))]
-    return "\n".join("  ".join(cell.ljust(w) for cell, w in zip(line, widths)).rstrip() for line in lines)
+    left = df.count() - rows if len(lines) > rows else 0
+    more = [f"and {left} more rows"] if left else []
+    return "\n".join(["  ".join(cell.ljust(w) for cell, w in zip(line, widths)).rstrip() for line in lines] + more)
+
+
+def export_counts(details: DataFrame) -> DataFrame:
+    """(row_count, non_empty_sequence_count) of an export."""
+    return details.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("sequence_name").alias("non_empty_sequence_count"))
