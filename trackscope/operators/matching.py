@@ -71,6 +71,11 @@ def alignment_counts(aligned: DataFrame) -> DataFrame:
     )
 
 
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by keys over all shuffle partitions. What follows grows (boxes to pairs, rows to folds), so partitions that look small before it must not be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _in_cells(boxes: DataFrame) -> DataFrame:
     """A row for each grid cell that a box touches; boxes without extent touch none."""
     cell = lambda c: F.least(F.greatest(F.floor(F.col(c) / CELL), F.lit(0)), F.lit(CELLS - 1))
@@ -84,7 +89,7 @@ def overlapping(truth: DataFrame, predicted: DataFrame, keys: list[str], at_leas
     The join goes by keys and grid cell, so that only boxes near each other meet in a crowded frame; a pair counts in
     the cell of the first corner of its intersection.
     """
-    side = lambda boxes, prefix: _in_cells(boxes).select(*keys, "_cx", "_cy", *(F.col(c).alias(prefix + c) for c in boxes.columns if c not in keys))
+    side = lambda boxes, prefix: _spread(_in_cells(boxes).select(*keys, "_cx", "_cy", *(F.col(c).alias(prefix + c) for c in boxes.columns if c not in keys)), [*keys, "_cx", "_cy"])
     cell = lambda c: F.least(F.greatest(F.floor(F.greatest("t_" + c, "p_" + c) / CELL), F.lit(0)), F.lit(CELLS - 1))
     iou = geometry.overlap(geometry.box(prefix="t_"), geometry.box(prefix="p_"))
     meeting = side(truth, "t_").join(side(predicted, "p_"), [*keys, "_cx", "_cy"]).where((F.col("_cx") == cell("x1")) & (F.col("_cy") == cell("y1")))
@@ -152,71 +157,86 @@ def matching_groups(truth: DataFrame, predicted: DataFrame, keys: list[str], dif
     ]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     eligible = F.array(*(F.count_if(F.col("tmask").bitwiseAND(F.lit(1 << i)) == 0) for i in range(len(levels))))
-    rows = every.groupBy(*keys).agg(F.count("tmask").alias("_truths"), eligible.alias("eligible"), F.collect_list("p").alias("plain"), F.collect_list("c").alias("candidates")).where("_truths > 0").drop("_truths")
+    rows = _spread(every, keys).groupBy(*keys).agg(F.count("tmask").alias("_truths"), eligible.alias("eligible"), F.collect_list("p").alias("plain"), F.collect_list("c").alias("candidates")).where("_truths > 0").drop("_truths")
     return Groups(cut_lineage(rows) if cut else rows, keys, [names for _, names in levels])
 
 
-def _hang_together(candidates: list[dict]) -> list[list[dict]]:
+#: Fields of a candidate, in the order of its tuple.
+T, TM, P, PM, IOU, SCORE = range(6)
+
+
+def _tuples(column: pa.Array) -> list[list[tuple]]:
+    """The lists of structs of an Arrow column as lists of tuples; nulls as empty lists."""
+    ends = column.offsets.to_pylist()
+    rows = list(zip(*(field.to_pylist() for field in column.flatten().flatten())))
+    return [rows[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
+
+
+def _hang_together(candidates: list[tuple]) -> list[list[tuple]]:
     """Candidates in parts that share neither a truth nor a prediction."""
     parent: dict = {}
 
     def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
+        while (above := parent.setdefault(x, x)) != x:
+            parent[x] = parent[above]
+            x = above
         return x
 
     for c in candidates:
-        parent[root(("t", c["t"]))] = root(("p", c["p"]))
+        parent[root((0, c[T]))] = root((1, c[P]))
     parts: dict = {}
     for c in candidates:
-        parts.setdefault(root(("t", c["t"])), []).append(c)
+        parts.setdefault(root((0, c[T])), []).append(c)
     return list(parts.values())
 
 
-def _by_truth(part: list[dict], order) -> list[tuple[int, list[dict]]]:
+def _by_truth(candidates: list[tuple], order) -> list[tuple[int, list[tuple]]]:
     """(mask, candidates by ``order``) of each truth, in the order of the truths."""
     truths: dict = {}
-    for c in sorted(part, key=lambda c: (c["t"], *order(c))):
-        truths.setdefault(c["t"], (c["tm"], []))[1].append(c)
+    for c in sorted(candidates, key=order):
+        truths.setdefault(c[T], (c[TM], []))[1].append(c)
     return list(truths.values())
 
 
-def take_last(candidates: list[dict], bit: int) -> list[float]:
+def take_last(candidates: list[tuple], bit: int) -> list[float]:
     """First pass: each truth takes the last unused prediction with a score above 0; the scores of pairs in which both have flag 0."""
     scores, used = [], set()
-    for mask, near in _by_truth([c for c in candidates if c["score"] is not None and c["score"] > 0], lambda c: (-c["p"],)):
-        c = next((c for c in near if c["p"] not in used), None)
-        if c is not None:
-            used.add(c["p"])
-            if not (mask | c["pm"]) & bit:
-                scores.append(c["score"])
+    for mask, near in _by_truth([c for c in candidates if c[SCORE] is not None and c[SCORE] > 0], lambda c: (c[T], -c[P])):
+        for c in near:
+            if c[P] not in used:
+                used.add(c[P])
+                if not (mask | c[PM]) & bit:
+                    scores.append(c[SCORE])
+                break
     return scores
 
 
-def take_best(candidates: list[dict], bit: int, thresholds: list[float]) -> list[tuple[int, int, int]]:
+def take_best(candidates: list[tuple], bit: int, thresholds: list[float]) -> list[tuple[int, int, int]]:
     """Second pass at each threshold (rising): (true, missed among truths with a candidate, used predictions with flag 0).
 
     A truth takes the unused prediction with the largest overlap, one with flag 1 only if there is no other.
     """
     totals = [[0, 0, 0] for _ in thresholds]
     for part in _hang_together(candidates):
-        truths = [(mask & bit, [(c["score"], c["p"], c["pm"] & bit) for c in near]) for mask, near in _by_truth(part, lambda c: (c["pm"] & bit, 0.0 if c["pm"] & bit else -c["iou"], c["p"]))]
-        scores = sorted(c["score"] for c in part if c["score"] is not None)
+        ordered = _by_truth(part, lambda c: (c[T], 1, 0.0, c[P]) if c[PM] & bit else (c[T], 0, -c[IOU], c[P]))
+        truths = [(mask & bit, [(c[SCORE], c[P], c[PM] & bit) for c in near if c[SCORE] is not None]) for mask, near in ordered]
+        scores = sorted(c[SCORE] for c in part if c[SCORE] is not None)
+        plain_truths = sum(not flag for flag, _ in truths)
         last, outcome = -1, (0, 0, 0)
         for total, threshold in zip(totals, thresholds):
             left = bisect_left(scores, threshold)
             if left != last:
-                last, used, true, missed, plain = left, set(), 0, 0, 0
+                truths = [(flag, kept) for flag, near in truths if (kept := [c for c in near if c[0] >= threshold])]
+                last, used, true, hit, plain = left, set(), 0, 0, 0
                 for flag, near in truths:
-                    for score, p, p_flag in near:
-                        if score is not None and score >= threshold and p not in used:
+                    for _, p, p_flag in near:
+                        if p not in used:
                             used.add(p)
                             plain += not p_flag
+                            hit += not flag
                             true += not (flag or p_flag)
                             break
-                    else:
-                        missed += not flag
-                outcome = (true, missed, plain)
+                outcome = (true, plain_truths - hit, plain)
             for k in range(3):
                 total[k] += outcome[k]
     return [tuple(t) for t in totals]
@@ -232,7 +252,7 @@ def _first_pass(groups: Groups) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [take_last(c, 1 << level) for c in batch.column(width + 1).to_pylist() for level in range(levels)]
+            found = [take_last(c, 1 << level) for c in _tuples(batch.column(width + 1)) for level in range(levels)]
             at = pa.array([i for i in range(batch.num_rows) for _ in range(levels)], pa.int64())
             eligible = [n for row in batch.column(width).to_pylist() for n in row]
             yield pa.RecordBatch.from_arrays(
@@ -264,14 +284,14 @@ def match_best(groups: Groups, thresholds: Column | DataFrame, by: list[str] | N
         for batch in batches:
             sums: dict[tuple, list] = {}
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(width))))
-            for key, eligible, plain, candidates, lists in zip(keys, *(batch.column(width + k).to_pylist() for k in range(4))):
+            for key, eligible, plain, candidates, lists in zip(keys, batch.column(width).to_pylist(), _tuples(batch.column(width + 1)), _tuples(batch.column(width + 2)), batch.column(width + 3).to_pylist()):
                 for level in range(levels):
                     if lists[level] is None:
                         continue
                     bit, rising = 1 << level, sorted(range(len(lists[level])), key=lists[level].__getitem__)
                     order = [lists[level][i] for i in rising]
-                    scores = sorted(p["score"] for p in plain if not p["pm"] & bit and p["score"] is not None)
-                    alone = eligible[level] - len({c["t"] for c in candidates if not c["tm"] & bit})
+                    scores = sorted(score for mask, score in plain if not mask & bit and score is not None)
+                    alone = eligible[level] - len({c[T] for c in candidates if not c[TM] & bit})
                     total = sums.setdefault((*key, level), [[0, 0, 0, t] for t in lists[level]])
                     for i, threshold, (true, missed, used) in zip(rising, order, take_best(candidates, bit, order)):
                         row = total[i]
