@@ -6,23 +6,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 
 def hash_order(*parts: Column) -> Column:
     """A seeded order that any engine can repeat: the md5 of the parts' text."""
     return F.md5(F.concat_ws("|", *parts))
 
 
-def seeded_split(files: DataFrame, class_name: str, path: str, seed: int = 42, train: float = 0.9) -> DataFrame:
-    """``files`` with ``split_name``: of each class the first ``train`` by hash order, one at least; the rest val, one at least where there are two.
+#: Leading digits of a hash by which a class is cut into ranges, 16 ranges a digit.
+RANGE_DIGITS = 3
+
 
-    Ties of equal paths are told apart by nothing, so paths are taken once. A class is ranked by itself; the number of
-    its training files is known from its count.
+def hash_ranks(files: DataFrame, class_name: str, path: str, seed: int) -> DataFrame:
+    """(class, path, _rank from 1, _n): distinct files numbered in their class by ``hash_order``, and the class's files.
+
+    A class is never sorted in one task: files are numbered within ranges of their hash, and a range's first number
+    comes from the counts of the ranges before it.
     """
-    order = Window.partitionBy(class_name).orderBy(hash_order(F.lit(str(seed)), F.col(path)), path)
-    counts = F.count(F.lit(1)).over(Window.partitionBy(class_name))
-    most = F.when(counts > 1, counts - 1).otherwise(counts)
-    first = F.least(F.greatest(F.floor(counts * train).cast("long"), F.lit(1)), most)
-    return files.select(class_name, path).distinct().withColumn("split_name", F.when(F.row_number().over(order) <= first, F.lit("train")).otherwise(F.lit("val")))
+    rows = files.select(class_name, path).distinct().withColumn("_h", hash_order(F.lit(str(seed)), F.col(path))).withColumn("_range", F.substr("_h", F.lit(1), F.lit(RANGE_DIGITS)))
+    by_class = Window.partitionBy(class_name)
+    counts = rows.groupBy(class_name, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.select(class_name, "_range", (F.sum("_c").over(by_class.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_start"), F.sum("_c").over(by_class).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(class_name, "_range").orderBy("_h", path))
+    return rows.withColumn("_inside", inside).join(starts, [class_name, "_range"]).select(class_name, path, (F.col("_start") + F.col("_inside")).alias("_rank"), "_n")
+
+
+def seeded_split(files: DataFrame, class_name: str, path: str, seed: int = 42, train: float = 0.9) -> DataFrame:
+    """(class, path, split_name): of each class the first ``train`` by hash order, one at least; the rest val, one at least where there are two. Equal paths are taken once."""
+    most = F.when(F.col("_n") > 1, F.col("_n") - 1).otherwise(F.col("_n"))
+    first = F.least(F.greatest(F.floor(F.col("_n") * train).cast("long"), F.lit(1)), most)
+    return hash_ranks(files, class_name, path, seed).select(class_name, path, F.when(F.col("_rank") <= first, F.lit("train")).otherwise(F.lit("val")).alias("split_name"))
 
 
 def per_class_cap(files: DataFrame, class_name: str, path: str, most: int, seed: int | None = None) -> DataFrame:
@@ -42,10 +56,24 @@ def collision_names(files: DataFrame, class_name: str, name: str) -> DataFrame:
     return rows.withColumn("target", F.when(F.col("_k") > 1, numbered).otherwise(plain)).drop("_k", "_first")
 
 
+def path_ranks(files: DataFrame, class_name: str, path: str) -> DataFrame:
+    """(class, path, _rank from 1, _n): distinct files numbered in their class by path, and the class's files.
+
+    Files are cut into ranges of class and path, as many as there are shuffle partitions, and the ranges written down, so
+    that both passes see the same ones: no class is sorted in one task.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(files.select(class_name, path).distinct().repartitionByRange(parts, class_name, path).withColumn("_range", F.spark_partition_id()))
+    by_class = Window.partitionBy(class_name)
+    counts = rows.groupBy(class_name, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.select(class_name, "_range", (F.sum("_c").over(by_class.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_start"), F.sum("_c").over(by_class).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(class_name, "_range").orderBy(path))
+    return rows.withColumn("_inside", inside).join(starts, [class_name, "_range"]).select(class_name, path, (F.col("_start") + F.col("_inside")).alias("_rank"), "_n")
+
+
 def class_pairs(files: DataFrame, class_name: str, path: str, seed: int = 42) -> DataFrame:
     """(class, path, pair): each file with a different one of its class, at a distance drawn from its hash; classes with one file are left out."""
-    order = Window.partitionBy(class_name).orderBy(path)
-    ranked = files.select(class_name, path).distinct().withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(class_name))).where("_n > 1")
+    ranked = path_ranks(files, class_name, path).where("_n > 1").withColumn("_r", F.col("_rank") - 1)
     draw = F.conv(F.substr(hash_order(F.lit(str(seed)), F.col(path)), F.lit(1), F.lit(7)), 16, 10).cast("long")
     sought = (F.col("_r") + 1 + draw % (F.col("_n") - 1)) % F.col("_n")
     other = ranked.select(class_name, F.col("_r").alias("_s"), F.col(path).alias("pair"))
