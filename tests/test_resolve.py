@@ -71,3 +71,24 @@ def test_update_run(spark):
     assert {r["ord"]: (r["class_name"], r["updated"]) for r in updated.collect()} == {1: ("moss_tench", True), 2: ("moss_tench", False), 3: ("a", False)} and tuple(stats.first()) == (1, 1, 1, 1)
     with pytest.raises(tracks.NothingParsed):
         tracks.run_update(boxes, table.where("result_id > 3"), known)
+
+
+def test_asked_and_recorded_answers(spark):
+    from trackscope.functions import plugins
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, prompt string").coalesce(1)
+    calls = []
+
+    def flaky(prompts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return [p.upper() for p in prompts]
+
+    def broken(prompts):
+        raise OSError
+
+    assert {r["id"]: r["said"] for r in plugins.asked(rows, "prompt", "said", flaky).collect()} == {1: "A", 2: None, 3: "B"}
+    assert {r["said"] for r in plugins.asked(rows, "prompt", "said", broken).collect()} == {None} and plugins.asked(rows.limit(0), "prompt", "said", broken).count() == 0
+    table = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z")], "prompt string, answer string")
+    assert {r["id"]: r["said"] for r in plugins.recorded(rows, "prompt", "said", table).collect()} == {1: "y", 2: None, 3: None}

@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import answers
 
@@ -62,6 +64,39 @@ def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(each, schema)
 
 
+def asked(df: DataFrame, prompt: str, answer: str, client: Callable[[list[str]], list[str | None]], retries: int = 3, wait: Callable[[int], None] | None = None) -> DataFrame:
+    """``df`` with ``answer``, what a judge or model says to ``prompt``.
+
+    ``client`` takes the prompts of a batch and gives an answer for each; it is called on the executors, where the rows
+    lie. A call that raises is tried ``retries`` times, with ``wait(attempt)`` before the next; then its answers are
+    null. Null prompts are not sent. Other columns stay.
+    """
+    names = df.columns
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sent = batch[prompt].notna().to_numpy()
+            answers_ = [None] * len(batch)
+            for attempt in range(retries if sent.any() else 0):
+                try:
+                    said = client(batch.loc[sent, prompt].tolist())
+                    for place, text in zip(sent.nonzero()[0], said, strict=True):
+                        answers_[place] = text
+                    break
+                except Exception:  # noqa: BLE001 - whatever a client raises is a failed call
+                    if wait and attempt + 1 < retries:
+                        wait(attempt)
+            yield batch[names].assign(**{answer: pd.Series(answers_, index=batch.index, dtype=object)})
+
+    return df.mapInPandas(each, StructType([*df.schema.fields, StructField(answer, StringType())]))
+
+
+def recorded(df: DataFrame, prompt: str, answer: str, table: DataFrame) -> DataFrame:
+    """``df`` with ``answer`` from a table of recorded answers (prompt, answer), the greatest of several; null without one."""
+    known = table.where(F.col("prompt").isNotNull()).groupBy(F.col("prompt").alias("_p")).agg(F.max("answer").alias(answer))
+    return df.drop(answer).join(known, F.col(prompt) == F.col("_p"), "left").drop("_p")
+
+
 @udtf(returnType="letter string, species string")
 class QuestionOptions:
     """Rows of the options "(A) species" of a question."""

@@ -97,6 +97,17 @@ def confidence_bins(decisions: DataFrame) -> DataFrame:
     return rows.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.lower("predicted_class") == F.lower("true_class")).alias("correct")).withColumn("accuracy", F.round(F.col("correct") / F.col("total"), 6))
 
 
+def calibration(decisions: DataFrame) -> DataFrame:
+    """(midpoint, accuracy, total) of each confidence bin with a decision in it."""
+    return confidence_bins(decisions).select(F.round((F.col("bin") + 0.5) / 10, 6).alias("midpoint"), "accuracy", "total")
+
+
+def similarity_means(decisions: DataFrame) -> DataFrame:
+    """(right, mean, n) of finite similarities in [-1, 1], by correctness."""
+    rows = decisions.where(F.col("similarity").between(-1, 1) & ~F.isnan("similarity"))
+    return rows.groupBy(F.coalesce(F.lower("predicted_class") == F.lower("true_class"), F.lit(False)).alias("right")).agg(F.round(F.avg("similarity"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
 def similarity_histogram(decisions: DataFrame, bins: int = 20) -> DataFrame:
     """(bin, right, n): equal bins over the range of finite similarities in [-1, 1], by correctness; the last holds the largest."""
     rows = decisions.where(F.col("similarity").between(-1, 1) & ~F.isnan("similarity"))

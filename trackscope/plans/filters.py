@@ -63,6 +63,8 @@ def queries():
         "confusion_pivot": on(lambda d: metrics.confusion_pivot(d, IN_SCOPE)),
         "top_confused": on(metrics.top_confused),
         "confidence_bins": on(metrics.confidence_bins),
+        "calibration": on(metrics.calibration),
+        "similarity_means": on(metrics.similarity_means),
         "similarity_histogram": on(metrics.similarity_histogram),
         "unknown_distribution": on(metrics.unknown_distribution),
         "class_centers": lambda spark, folder: vectors.class_centers(_vectors(spark, folder), "label", "unit").select("label", F.col("pos").cast("int").alias("pos"), F.round("center", 6).alias("center")),
@@ -118,6 +120,8 @@ def oracle_sql():
         "confusion_pivot": f"{_D} SELECT true_class, {cells} FROM d WHERE true_class IN {scope} GROUP BY 1",
         "top_confused": f"{_D}, {grid} SELECT true_class, predicted_class, n FROM cf WHERE true_class <> predicted_class AND n > 0 ORDER BY n DESC, 1, 2 LIMIT 10",
         "confidence_bins": f"{_D} SELECT floor(least(greatest(similarity, 0), 0.999999::DOUBLE) * 10)::INT AS bin, count(*) AS total, count(*) FILTER (ok) AS correct, round(avg(ok::INT), 6) AS accuracy FROM k WHERE similarity IS NOT NULL AND NOT isnan(similarity) GROUP BY 1",
+        "calibration": f"{_D} SELECT round((b + 0.5::DOUBLE) / 10, 6) AS midpoint, round(avg(ok::INT), 6) AS accuracy, count(*) AS total FROM (SELECT *, floor(least(greatest(similarity, 0), 0.999999::DOUBLE) * 10) AS b FROM k WHERE similarity IS NOT NULL AND NOT isnan(similarity)) GROUP BY b",
+        "similarity_means": f"{_D} SELECT ok AS right, round(avg(similarity), 6) AS mean, count(*) AS n FROM k WHERE similarity BETWEEN -1 AND 1 GROUP BY 1",
         "similarity_histogram": f"{_D}, z AS (SELECT * FROM k WHERE similarity BETWEEN -1 AND 1), r AS (SELECT min(similarity) AS a, max(similarity) AS b FROM z) SELECT least(floor((similarity - a) / (b - a) * 20), 19)::INT AS bin, ok AS right, count(*) AS n FROM z, r GROUP BY 1, 2",
         "unknown_distribution": f"{_D} SELECT true_class, count(*) AS n FROM d WHERE predicted_class = 'unknown' GROUP BY 1",
         "class_centers": f"WITH {_V}, {ctr} SELECT label, pos::INT AS pos, round(center, 6) AS center FROM ct",
