@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import names
 from ..tables import table
 from . import cutoffs, groups, leaks, levels, mixing, overlap, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _over(operator: Callable[..., DataFrame], *names: str) -> Query:
-    return lambda spark, folder: operator(*(table(spark, folder, name) for name in names))
+def _over(operator: Callable[..., DataFrame], *tables: str) -> Query:
+    return lambda spark, folder: operator(*(table(spark, folder, name) for name in tables))
 
 
 def queries() -> dict[str, Query]:
@@ -49,8 +50,40 @@ ranked AS (SELECT usable.*, target_fraction, count(*) OVER (PARTITION BY measure
 kept AS (SELECT * FROM ranked WHERE place <= greatest(ceil(target_fraction * usable_rows), 1))"""
 
 
+_BLANKS = r"\s" + "".join("-".join(r"\x{" + code + "}" for code in codes.split("-")) for codes in names.BLANK_CODES.split())
+
+
+def _plain_path_sql(path: str) -> str:
+    """A path in one spelling, step by step as ``names.plain_path`` says; steps up are resolved three times, more than the tables need."""
+    c = f"regexp_replace({path}, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')"
+    c = f"url_decode(replace(replace({c}, '\\', '/'), '+', '%2B'))"
+    c = f"regexp_replace(regexp_replace({c}, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*:/*', '/')"
+    c = f"regexp_replace(regexp_replace(lower({c}), '/(?:\\./)+', '/', 'g'), '/{{2,}}', '/', 'g')"
+    for _ in range(3):
+        c = f"regexp_replace({c}, '/[^/.][^/]*/\\.\\.(/|$)', '\\1')"
+    return f"regexp_replace({c}, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')"
+
+
+def _clip_sql(plain: str) -> str:
+    """The clip that a path names, '' for none."""
+    c = f"regexp_extract({plain}, '(?:[^/]+/){{3}}[^/]+$')"
+    c = f"regexp_replace({c}, '(?:\\.(?:{'|'.join(names.VIDEO_ENDINGS.split())}))+$', '')"
+    c = f"regexp_replace(regexp_replace({c}, '[{_BLANKS}_\\x{{2010}}-\\x{{2015}}-]+', '_', 'g'), '^_+|_+$', '', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '_*/_*', '/', 'g'), '/copy_of_', '/', 'g')"
+    return f"regexp_replace({c}, '(?:_?\\(\\d+\\)|_(?:{names.COPY_MARKS}))+$', '')"
+
+
+_CLIPS = f"""WITH samples AS (SELECT 'val' AS split, sample_id, source, videos FROM val UNION ALL SELECT 'sft_train', sample_id, source, videos FROM sft_train UNION ALL SELECT 'rl_train', sample_id, source, videos FROM rl_train),
+clips AS (SELECT DISTINCT split, sample_id, clip FROM (SELECT split, sample_id, {_clip_sql('plain')} AS clip FROM (SELECT split, sample_id, {_plain_path_sql('v')} AS plain FROM (SELECT split, sample_id, unnest(videos) AS v FROM samples))) WHERE clip <> ''),
+pairs AS (SELECT a.sample_id AS eval_record, b.sample_id AS train_record, count(*) AS shared FROM clips a JOIN clips b ON a.clip = b.clip AND a.split = 'val' AND b.split <> 'val' GROUP BY 1, 2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"{_CLIPS} SELECT least(eval_record, train_record) AS id_a, greatest(eval_record, train_record) AS id_b FROM pairs",
+        "p1_report": f"""{_CLIPS}, sizes AS (SELECT sample_id AS eval_record, count(*) AS clips FROM clips WHERE split = 'val' GROUP BY 1)
+SELECT split, {_SLUG.format('source')} AS source, count(*) AS pairs, count(DISTINCT eval_record) AS eval_records, count(DISTINCT train_record) AS train_records, count(DISTINCT eval_record) FILTER (shared = clips) AS contained_records
+FROM pairs JOIN sizes USING (eval_record) JOIN samples ON samples.sample_id = train_record GROUP BY 1, 2""",
         "p5_found": f"{_LATEST} SELECT measure, result_id FROM kept",
         "p5_report": f"""{_LATEST},
 today AS (SELECT {_SLUG.format("class_name")} AS class_name, similarity_threshold, l2_distance_threshold FROM class_thresholds),
