@@ -353,19 +353,19 @@ def precision_envelope(curve: DataFrame, by: list[str]) -> DataFrame:
     return curve.withColumn("envelope", F.max("precision").over(onwards))
 
 
-def average_precision(curve: DataFrame, by: list[str], known: DataFrame) -> DataFrame:
-    """(by, difficulty, ap11, ap41) in percent for all of ``known`` (by, difficulty); without a curve 0."""
+def average_precision(curve: DataFrame, by: list[str], known: DataFrame, rounded: bool = True) -> DataFrame:
+    """(by, difficulty, ap11, ap41) in percent, to six places if ``rounded``, for all of ``known`` (by, difficulty); without a curve 0."""
     ap = precision_envelope(curve, by).groupBy(*by, "difficulty").agg((F.sum("envelope") / POINTS * 100).alias("ap41"), (F.sum(F.when(F.col("idx") % 4 == 0, F.col("envelope"))) / 11 * 100).alias("ap11"))
-    return known.join(ap, [*by, "difficulty"], "left").select(*by, "difficulty", *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("ap11", "ap41")))
+    return known.join(ap, [*by, "difficulty"], "left").select(*by, "difficulty", *((F.round(F.coalesce(c, F.lit(0.0)), 6) if rounded else F.coalesce(c, F.lit(0.0))).alias(c) for c in ("ap11", "ap41")))
 
 
-def detection_ap(truth: DataFrame, predicted: DataFrame, by: list[str], keys: list[str] | None = None) -> DataFrame:
+def detection_ap(truth: DataFrame, predicted: DataFrame, by: list[str], keys: list[str] | None = None, rounded: bool = True) -> DataFrame:
     """(by, difficulty, ap11, ap41): both passes over the frames with truth (of the class, where ``by`` names the class)."""
     groups = matching_groups(truth, predicted, keys or list(dict.fromkeys([*FRAME, *by])))
     first = cut_lineage(_first_pass(groups))
     thresholds = cut_lineage(pr_thresholds(first, by, "level"))
     known = groups.named(first.select(*by, "level").distinct())
-    return average_precision(pr_curve(groups, by, thresholds), by, known)
+    return average_precision(pr_curve(groups, by, thresholds), by, known, rounded)
 
 
 def detection_curve(truth: DataFrame, predicted: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
@@ -375,8 +375,8 @@ def detection_curve(truth: DataFrame, predicted: DataFrame, by: list[str], keys:
 
 
 def mean_ap(ap: DataFrame, by: list[str]) -> DataFrame:
-    """(by, map11, map41): the means over the difficulties."""
-    return ap.groupBy(*by).agg(F.round(F.avg("ap11"), 5).alias("map11"), F.round(F.avg("ap41"), 5).alias("map41"))
+    """(by, map11, map41): the means over the difficulties of ``ap``, which should not be rounded before."""
+    return ap.groupBy(*by).agg(F.round(F.avg("ap11"), 6).alias("map11"), F.round(F.avg("ap41"), 6).alias("map41"))
 
 
 def macro_ap(ap: DataFrame, names: list[str] | None = None) -> DataFrame:

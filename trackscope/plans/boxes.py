@@ -102,8 +102,8 @@ def _groups(spark, folder, cut=False):
     return matching.matching_groups(*_pair(spark, folder, True), KEYS, cut=cut)
 
 
-def _ap(spark, folder, coarse):
-    return matching.detection_ap(*_pair(spark, folder, coarse), ["class_name"], KEYS)
+def _ap(spark, folder, coarse, rounded=True):
+    return matching.detection_ap(*_pair(spark, folder, coarse), ["class_name"], KEYS, rounded)
 
 
 def _thresholds(spark, folder):
@@ -146,7 +146,7 @@ def queries():
         "detection_ap_coarse": lambda spark, folder: _ap(spark, folder, True),
         "detection_ap_fine": lambda spark, folder: _ap(spark, folder, False),
         "macro_ap": lambda spark, folder: matching.macro_ap(_ap(spark, folder, False)),
-        "mean_ap": lambda spark, folder: matching.mean_ap(_ap(spark, folder, False), ["class_name"]),
+        "mean_ap": lambda spark, folder: matching.mean_ap(_ap(spark, folder, False, False), ["class_name"]),
         "frame_ap": _frame_ap,
     }
 
@@ -171,7 +171,7 @@ def oracle_sql():
         "detection_ap_coarse": f"WITH RECURSIVE {curve_sql(coarse)} SELECT cls AS class_name, difficulty, ap11, ap41 FROM aps",
         "detection_ap_fine": f"WITH RECURSIVE {curve_sql(fine)} SELECT cls AS class_name, difficulty, ap11, ap41 FROM aps",
         "pr_curve": f"WITH RECURSIVE {curve_sql(coarse)} SELECT difficulty, idx, round(threshold, 6) AS threshold, round(prec, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall FROM curve",
-        "mean_ap": f"WITH RECURSIVE {curve_sql(fine)} SELECT cls AS class_name, round(avg(ap11), 5) AS map11, round(avg(ap41), 5) AS map41 FROM aps GROUP BY 1",
+        "mean_ap": f"WITH RECURSIVE {curve_sql(fine)} SELECT n.cls AS class_name, round(avg(coalesce(ap11, 0)), 6) AS map11, round(avg(coalesce(ap41, 0)), 6) AS map41 FROM n LEFT JOIN ap USING (cls, difficulty) GROUP BY 1",
         "macro_ap": f"WITH RECURSIVE {curve_sql(fine)} SELECT difficulty, round(avg(ap11), 5) AS ap11, round(avg(ap41), 5) AS ap41, count(*) AS classes FROM aps GROUP BY 1",
         "frame_ap": f"WITH RECURSIVE {curve_sql(per_frame)} SELECT split_part(cls, '|', 1) AS sequence_name, split_part(cls, '|', 2)::BIGINT AS frame_id, difficulty, ap11, ap41 FROM aps",
     }
