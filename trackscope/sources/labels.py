@@ -14,6 +14,9 @@ EVALUATED, WRITTEN, IGNORED = "Fish", "Car", "DontCare"
 #: The fields of track lines that are not known, between class and box and behind the box.
 UNKNOWN_BEFORE, UNKNOWN_TRUTH, UNKNOWN_PREDICTED = "-1 -1 -1", "-1 -1 -1 -1000 -1000 -1000 -10", "-1 -1 -1 -1 -1 -1 -1"
 
+#: The names under which evaluators look for the sequence map.
+SEQUENCE_MAPS = ("evaluate_tracking.seqmap.training", "evaluate_tracking.seqmap.testing")
+
 
 def _sequence(path: Column) -> Column:
     """The folder ``sequence_name=...`` of a partitioned table, else the file's name without its ending."""
@@ -100,5 +103,5 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def write_sequence_maps(lines: DataFrame, folder: str) -> None:
     """The same lines under both names that evaluators look for."""
-    for name in ("evaluate_tracking.seqmap.training", "evaluate_tracking.seqmap.testing"):
+    for name in SEQUENCE_MAPS:
         lines.coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
