@@ -133,3 +133,9 @@ def test_second_pass_equals_brute_force(spark):
     assert at == {(name, t): plain_matches(truth, found, least, t) for name, least in (("low", 10), ("high", 20)) for t in (0.0, 0.5, 0.9)}
     pairs = {(r["truth_ord"], r["predicted_ord"]) for r in matching.iou_pairs(boxes(spark, *truth), boxes(spark, *found), KEYS).collect()}
     assert len(pairs) > 50 and len(pairs) == matching.iou_pairs(boxes(spark, *truth), boxes(spark, *found), KEYS).count()
+
+
+def test_groups_hold_boxes_and_not_their_pairs(spark):
+    truth, found = boxes(spark, *((1, i, 0, 0, 40, 40, 1) for i in range(90))), boxes(spark, *((1, 1000 + i, 0, 0, 40, 40, 0.9) for i in range(70)))
+    row = matching.matching_groups(truth, found, KEYS).rows.first()
+    assert sum(len(v) for v in row if isinstance(v, list)) == 6 * 90 + 7 * 70

@@ -1,17 +1,16 @@
 """Alignment of frames, greedy matching of boxes, and average precision.
 
-Overlaps are found by a join on frame and grid cell in the JVM. The greedy assignment is a fold over the truths of a
-frame with the set of predictions used so far, at up to 41 thresholds; as higher-order functions it is interpreted row by
-row and took six times as long as in Arrow batches, so it runs there, on the candidates alone, once for each group of
-candidates that hang together and each set of them that a threshold leaves.
+Pairs of boxes are found by a join on frame and grid cell in the JVM. The greedy assignments take the boxes of a frame
+as lists in Arrow batches and compute overlaps there (``greedy``): pairs grow with the square of the boxes in a frame, so
+that lists of candidates would outgrow the boxes that they come from.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry
 from ..session import cut_lineage
+from . import greedy
 from .ranks import values_at_ranks
 
 
@@ -126,7 +126,7 @@ def _mask(boxes: DataFrame, levels: list[tuple[Level, list[str]]]) -> Column:
 
 @dataclass(frozen=True)
 class Groups:
-    """Frames (and classes) with truth, ready to be matched: ``rows`` has keys, ``eligible`` (truths with flag 0 by level), ``plain`` (mask and score of each prediction) and ``candidates``."""
+    """Frames (and classes) with truth, ready to be matched: ``rows`` has keys and the boxes of both sides, a list for each field (``t_...``, ``p_...``)."""
 
     rows: DataFrame
     keys: list[str]
@@ -138,108 +138,52 @@ class Groups:
         return df.withColumn("difficulty", F.explode(F.get(table, F.col("level")))).drop("level")
 
 
+#: The lists of a group's row.
+T_LISTS = [f"t_{c}" for c in (*BOX_FIELDS[:5], "mask")]
+LISTS = [*T_LISTS, *(f"p_{c}" for c in (*BOX_FIELDS, "mask"))]
+
+
 def matching_groups(truth: DataFrame, predicted: DataFrame, keys: list[str], difficulties: dict[str, Level | float] | None = None, cut: bool = True) -> Groups:
-    """The groups of truth and predictions. Overlaps are computed once for all difficulties, thresholds and passes (with ``cut`` they are written).
+    """The groups of truth and predictions, for all difficulties, thresholds and passes (with ``cut`` they are written).
 
     A group is one frame (and class), so its lists stay small. ``truth`` may have ``occlusion`` and ``truncation``;
     difficulties that no column tells apart are matched once. Rows with null corners overlap nothing.
     """
     levels = _levels(truth, difficulties)
-    rated = lambda boxes, mask: boxes.select(*keys, *BOX_FIELDS, mask.alias("mask"))
-    t, p = rated(truth, _mask(truth, levels)), rated(predicted, _mask(predicted.drop("occlusion", "truncation"), levels))
-    null = F.lit(None)
-    candidate = F.struct(F.col("t_ord").alias("t"), F.col("t_mask").alias("tm"), F.col("p_ord").alias("p"), F.col("p_mask").alias("pm"), "iou", F.col("p_score").alias("score"))
-    kind = "struct<t:bigint,tm:int,p:bigint,pm:int,iou:double,score:double>"
-    parts = [
-        t.select(*keys, F.col("mask").alias("tmask"), null.cast("struct<pm:int,score:double>").alias("p"), null.cast(kind).alias("c")),
-        p.select(*keys, null.cast("int").alias("tmask"), F.struct(F.col("mask").alias("pm"), "score").alias("p"), null.cast(kind).alias("c")),
-        overlapping(t, p, keys).select(*keys, null.cast("int").alias("tmask"), null.cast("struct<pm:int,score:double>").alias("p"), candidate.cast(kind).alias("c")),
-    ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    eligible = F.array(*(F.count_if(F.col("tmask").bitwiseAND(F.lit(1 << i)) == 0) for i in range(len(levels))))
-    rows = _spread(every, keys).groupBy(*keys).agg(F.count("tmask").alias("_truths"), eligible.alias("eligible"), F.collect_list("p").alias("plain"), F.collect_list("c").alias("candidates")).where("_truths > 0").drop("_truths")
+    box = [F.col("ord").cast("bigint").alias("ord"), *(F.col(c).cast("double").alias(c) for c in BOX_FIELDS[1:5])]
+    t = truth.select(*keys, F.struct(*box, _mask(truth, levels).alias("mask")).alias("t"))
+    p = predicted.select(*keys, F.struct(*box, F.col("score").cast("double").alias("score"), _mask(predicted.drop("occlusion", "truncation"), levels).alias("mask")).alias("p"))
+    rows = _spread(t.unionByName(p, True), keys).groupBy(*keys).agg(F.collect_list("t").alias("t"), F.collect_list("p").alias("p")).where(F.size("t") > 0)
+    rows = rows.select(*keys, *(F.col(c[0])[c[2:]].alias(c) for c in LISTS))
     return Groups(cut_lineage(rows) if cut else rows, keys, [names for _, names in levels])
 
 
-#: Fields of a candidate, in the order of its tuple.
-T, TM, P, PM, IOU, SCORE = range(6)
-
-
-def _tuples(column: pa.Array) -> list[list[tuple]]:
-    """The lists of structs of an Arrow column as lists of tuples; nulls as empty lists."""
-    ends = column.offsets.to_pylist()
-    rows = list(zip(*(field.to_pylist() for field in column.flatten().flatten())))
-    return [rows[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
-
-
-def _hang_together(candidates: list[tuple]) -> list[list[tuple]]:
-    """Candidates in parts that share neither a truth nor a prediction."""
-    parent: dict = {}
-
-    def root(x):
-        while (above := parent.setdefault(x, x)) != x:
-            parent[x] = parent[above]
-            x = above
-        return x
-
-    for c in candidates:
-        parent[root((0, c[T]))] = root((1, c[P]))
-    parts: dict = {}
-    for c in candidates:
-        parts.setdefault(root((0, c[T])), []).append(c)
-    return list(parts.values())
-
-
-def _by_truth(candidates: list[tuple], order) -> list[tuple[int, list[tuple]]]:
-    """(mask, candidates by ``order``) of each truth, in the order of the truths."""
-    truths: dict = {}
-    for c in sorted(candidates, key=order):
-        truths.setdefault(c[T], (c[TM], []))[1].append(c)
-    return list(truths.values())
-
-
-def take_last(candidates: list[tuple], bit: int) -> list[float]:
-    """First pass: each truth takes the last unused prediction with a score above 0; the scores of pairs in which both have flag 0."""
-    scores, used = [], set()
-    for mask, near in _by_truth([c for c in candidates if c[SCORE] is not None and c[SCORE] > 0], lambda c: (c[T], -c[P])):
-        for c in near:
-            if c[P] not in used:
-                used.add(c[P])
-                if not (mask | c[PM]) & bit:
-                    scores.append(c[SCORE])
-                break
-    return scores
-
-
-def take_best(candidates: list[tuple], bit: int, thresholds: list[float]) -> list[tuple[int, int, int]]:
-    """Second pass at each threshold (rising): (true, missed among truths with a candidate, used predictions with flag 0).
-
-    A truth takes the unused prediction with the largest overlap, one with flag 1 only if there is no other.
-    """
-    totals = [[0, 0, 0] for _ in thresholds]
-    for part in _hang_together(candidates):
-        ordered = _by_truth(part, lambda c: (c[T], 1, 0.0, c[P]) if c[PM] & bit else (c[T], 0, -c[IOU], c[P]))
-        truths = [(mask & bit, [(c[SCORE], c[P], c[PM] & bit) for c in near if c[SCORE] is not None]) for mask, near in ordered]
-        scores = sorted(c[SCORE] for c in part if c[SCORE] is not None)
-        plain_truths = sum(not flag for flag, _ in truths)
-        last, outcome = -1, (0, 0, 0)
-        for total, threshold in zip(totals, thresholds):
-            left = bisect_left(scores, threshold)
-            if left != last:
-                truths = [(flag, kept) for flag, near in truths if (kept := [c for c in near if c[0] >= threshold])]
-                last, used, true, hit, plain = left, set(), 0, 0, 0
-                for flag, near in truths:
-                    for _, p, p_flag in near:
-                        if p not in used:
-                            used.add(p)
-                            plain += not p_flag
-                            hit += not flag
-                            true += not (flag or p_flag)
-                            break
-                outcome = (true, plain_truths - hit, plain)
-            for k in range(3):
-                total[k] += outcome[k]
-    return [tuple(t) for t in totals]
+def _lists(column: pa.Array) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Ends of the lists of an Arrow column, their values, and which of these are not null."""
+    values = column.values
+    known = np.asarray(values.is_valid())
+    filled = values.fill_null(float("nan") if pa.types.is_floating(values.type) else 0) if values.null_count else values
+    return column.offsets.to_pylist(), filled.to_numpy(zero_copy_only=False), known
+
+
+def _frames(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[greedy.Boxes, greedy.Boxes] | None]:
+    """Truth and predictions of each row. Keys with a null match nothing (None)."""
+    lists = {c: _lists(batch.column(c)) for c in LISTS}
+    unkeyed = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        unkeyed |= np.asarray(batch.column(k).is_null())
+    for i in range(batch.num_rows):
+        if unkeyed[i]:
+            yield None
+            continue
+        sides = []
+        for side in "tp":
+            ends = lists[side + "_ord"][0]
+            cut = slice(ends[i], ends[i + 1])
+            corners = np.stack([lists[f"{side}_{c}"][1][cut] for c in BOX_FIELDS[1:5]])
+            scores = [lists["p_score"][k][cut] for k in (1, 2)] if side == "p" else []
+            sides.append(greedy.Boxes.of(lists[side + "_ord"][1][cut], corners, lists[side + "_mask"][1][cut], *scores))
+        yield tuple(sides)
 
 
 def match_last(groups: Groups) -> DataFrame:
@@ -248,20 +192,27 @@ def match_last(groups: Groups) -> DataFrame:
 
 
 def _first_pass(groups: Groups) -> DataFrame:
-    levels, keys, width = len(groups.names), list(groups.keys), len(groups.keys)
+    levels, keys = len(groups.names), list(groups.keys)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [take_last(c, 1 << level) for c in _tuples(batch.column(width + 1)) for level in range(levels)]
-            at = pa.array([i for i in range(batch.num_rows) for _ in range(levels)], pa.int64())
-            eligible = [n for row in batch.column(width).to_pylist() for n in row]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(at) for k in range(width)), pa.array(list(range(levels)) * batch.num_rows, pa.int32()), pa.array(eligible, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.float64()))],
-                names=[*keys, "level", "eligible", "tp", "scores"],
-            )
+            eligible, found, none = [], [], np.empty(0)
+            ends, masks, _ = _lists(batch.column("t_mask"))
+            for i, sides in enumerate(_frames(batch, keys)):
+                if sides:
+                    truth, near = sides
+                    t, p = greedy.take_last(truth, near, MATCH_IOU)
+                    both, scores = truth.mask[t] | near.mask[p], near.score[p]
+                for level in range(levels):
+                    eligible.append(np.count_nonzero(masks[ends[i] : ends[i + 1]] & 1 << level == 0))
+                    found.append(scores[both & 1 << level == 0] if sides else none)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), levels))
+            sizes = [len(s) for s in found]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([none, *found]), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), pa.array(list(range(levels)) * batch.num_rows, pa.int32()), pa.array(eligible, pa.int64()), pa.array(sizes, pa.int64()), lists], names=[*keys, "level", "eligible", "tp", "scores"])
 
     kinds = ", ".join(f"`{k}` {groups.rows.schema[k].dataType.simpleString()}" for k in groups.keys)
-    return groups.rows.select(*groups.keys, "eligible", "candidates").mapInArrow(fold, f"{kinds}, level int, eligible long, tp long, scores array<double>")
+    return groups.rows.select(*groups.keys, *LISTS).mapInArrow(fold, f"{kinds}, level int, eligible long, tp long, scores array<double>")
 
 
 def match_best(groups: Groups, thresholds: Column | DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -272,39 +223,35 @@ def match_best(groups: Groups, thresholds: Column | DataFrame, by: list[str] | N
     Predictions below the threshold are left out; unused ones with flag 0 are false. A threshold has its place (``idx``)
     in the array, whose order is free.
     """
-    by, levels = by or groups.keys, len(groups.names)
+    by, keys, levels = by or groups.keys, list(groups.keys), len(groups.names)
     if isinstance(thresholds, Column):
         rows = groups.rows.withColumn("_th", F.array(*[thresholds.cast("array<double>")] * levels))
     else:
         lists = thresholds.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("level", "thresholds"))).alias("_m"))
+        # A row for each class: by a shuffle all frames of a class would go to one task.
+        lists = lists if set(FRAME) <= set(by) else F.broadcast(lists)
         rows = groups.rows.join(lists, by).withColumn("_th", F.array(*(F.try_element_at("_m", F.lit(i)) for i in range(levels))))
-    width = len(by)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple, list] = {}
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(width))))
-            for key, eligible, plain, candidates, lists in zip(keys, batch.column(width).to_pylist(), _tuples(batch.column(width + 1)), _tuples(batch.column(width + 2)), batch.column(width + 3).to_pylist()):
-                for level in range(levels):
-                    if lists[level] is None:
-                        continue
-                    bit, rising = 1 << level, sorted(range(len(lists[level])), key=lists[level].__getitem__)
-                    order = [lists[level][i] for i in rising]
-                    scores = sorted(score for mask, score in plain if not mask & bit and score is not None)
-                    alone = eligible[level] - len({c[T] for c in candidates if not c[TM] & bit})
-                    total = sums.setdefault((*key, level), [[0, 0, 0, t] for t in lists[level]])
-                    for i, threshold, (true, missed, used) in zip(rising, order, take_best(candidates, bit, order)):
-                        row = total[i]
-                        row[0] += true
-                        row[1] += len(scores) - bisect_left(scores, threshold) - used
-                        row[2] += missed + alone
-            flat = [(*key, i, t, tp, fp, fn) for key, rows in sums.items() for i, (tp, fp, fn, t) in enumerate(rows)]
-            columns = list(zip(*flat)) or [()] * (width + 6)
-            kinds = [*(batch.schema.field(k).type for k in range(width)), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            sums: dict[tuple, tuple[np.ndarray, list[float]]] = {}
+            names = zip(*(batch.column(k).to_pylist() for k in by))
+            for key, asked, sides in zip(names, batch.column("_th").to_pylist(), _frames(batch, keys)):
+                asked = {level: np.array(th, float) for level, th in enumerate(asked) if th is not None}
+                rising = {level: np.argsort(th, kind="stable") for level, th in asked.items()}
+                for start in range(0, max(map(len, asked.values()), default=0), greedy.BITS):
+                    part = {level: order[start : start + greedy.BITS] for level, order in rising.items() if len(order) > start}
+                    counts = greedy.take_best(*sides, {1 << level: asked[level][order] for level, order in part.items()}, MATCH_IOU) if sides else {}
+                    for level, order in part.items():
+                        total, _ = sums.setdefault((*key, level), (np.zeros((3, len(asked[level])), np.int64), asked[level]))
+                        total[:, order] += counts.get(1 << level, 0)
+            flat = [(*key, i, t, *row) for key, (total, th) in sums.items() for i, (t, row) in enumerate(zip(th.tolist(), total.T.tolist()))]
+            columns = list(zip(*flat)) or [()] * (len(by) + 6)
+            kinds = [*(batch.schema.field(k).type for k in by), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[*by, "level", "idx", "threshold", "tp", "fp", "fn"])
 
     kinds = ", ".join(f"`{k}` {groups.rows.schema[k].dataType.simpleString()}" for k in by)
-    return groups.named(rows.select(*by, "eligible", "plain", "candidates", "_th").mapInArrow(fold, f"{kinds}, level int, idx int, threshold double, tp long, fp long, fn long"))
+    return groups.named(rows.select(*keys, *LISTS, "_th").mapInArrow(fold, f"{kinds}, level int, idx int, threshold double, tp long, fp long, fn long"))
 
 
 def threshold_ranks(found: Column, eligible: Column) -> Column:
@@ -371,7 +318,7 @@ def detection_ap(truth: DataFrame, predicted: DataFrame, by: list[str], keys: li
 def detection_curve(truth: DataFrame, predicted: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     """``pr_curve`` of both passes."""
     groups = matching_groups(truth, predicted, keys)
-    return pr_curve(groups, by, cut_lineage(pr_thresholds(_first_pass(groups), by, "level")))
+    return pr_curve(groups, by, cut_lineage(pr_thresholds(cut_lineage(_first_pass(groups)), by, "level")))
 
 
 def mean_ap(ap: DataFrame, by: list[str]) -> DataFrame:

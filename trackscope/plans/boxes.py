@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching
+from ..session import cut_lineage
 from ..tables import table
 
 _BOX = """event_id AS ord, 'seq_' || lpad(CAST(user_id % 20 AS STRING), 2, '0') AS sequence_name, CAST(floor(({seconds}) / 21600) AS BIGINT) AS frame_id, event_id AS track_id, 'class_' || CAST(event_id % 10 AS STRING) AS class_name,
@@ -98,8 +99,8 @@ def _pair(spark, folder, coarse):
     return tuple(map(_coarse, pair)) if coarse else pair
 
 
-def _groups(spark, folder, cut=False):
-    return matching.matching_groups(*_pair(spark, folder, True), KEYS, cut=cut)
+def _groups(spark, folder):
+    return matching.matching_groups(*_pair(spark, folder, True), KEYS, cut=False)
 
 
 def _ap(spark, folder, coarse, rounded=True):
@@ -107,7 +108,7 @@ def _ap(spark, folder, coarse, rounded=True):
 
 
 def _thresholds(spark, folder):
-    return matching.pr_thresholds(matching.match_last(_groups(spark, folder, True)), ["class_name"])
+    return matching.pr_thresholds(cut_lineage(matching.match_last(_groups(spark, folder))), ["class_name"])
 
 
 def _curve(spark, folder):
