@@ -97,8 +97,8 @@ def sequence_map_lines(spans: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One folder of text for each sequence."""
-    lines.write.mode("overwrite").partitionBy("sequence_name").text(path)
+    """One folder of text for each sequence. Lines go by sequence first, else each task would open a file for each of its sequences; a sequence too large for one task is divided."""
+    lines.hint("rebalance", "sequence_name").write.mode("overwrite").partitionBy("sequence_name").text(path)
 
 
 def write_sequence_maps(lines: DataFrame, folder: str) -> None:
