@@ -139,3 +139,10 @@ def test_groups_hold_boxes_and_not_their_pairs(spark):
     truth, found = boxes(spark, *((1, i, 0, 0, 40, 40, 1) for i in range(90))), boxes(spark, *((1, 1000 + i, 0, 0, 40, 40, 0.9) for i in range(70)))
     row = matching.matching_groups(truth, found, KEYS).rows.first()
     assert sum(len(v) for v in row if isinstance(v, list)) == 6 * 90 + 7 * 70
+
+
+def test_frames_without_a_sequence_count_as_in_sql(spark):
+    nameless = lambda b: b.withColumn("sequence_name", F.lit(None).cast("string"))
+    groups = matching.matching_groups(nameless(boxes(spark, (1, 1, 0, 0, 40, 40, 1))), nameless(boxes(spark, (1, 10, 0, 0, 40, 40, 0.9))), KEYS, {"all": 0.0})
+    first, at = matching.match_last(groups).first(), matching.match_best(groups, F.array(F.lit(0.0))).first()
+    assert (first["eligible"], first["tp"], at["tp"], at["fp"], at["fn"]) == (1, 0, 0, 0, 0)
