@@ -146,3 +146,10 @@ def test_frames_without_a_sequence_count_as_in_sql(spark):
     groups = matching.matching_groups(nameless(boxes(spark, (1, 1, 0, 0, 40, 40, 1))), nameless(boxes(spark, (1, 10, 0, 0, 40, 40, 0.9))), KEYS, {"all": 0.0})
     first, at = matching.match_last(groups).first(), matching.match_best(groups, F.array(F.lit(0.0))).first()
     assert (first["eligible"], first["tp"], at["tp"], at["fp"], at["fn"]) == (1, 0, 0, 0, 0)
+
+
+def test_truths_given_twice_match_one_prediction_each(spark):
+    truth = boxes(spark, *[(1, 1, 0, 0, 40, 40, 1)] * 2)
+    groups = matching.matching_groups(truth, boxes(spark, (1, 10, 0, 0, 40, 40, 0.9), (1, 11, 0, 0, 40, 39, 0.8)), KEYS, {"all": 0.0})
+    at = matching.match_best(groups, F.array(F.lit(0.0))).first()
+    assert (at["tp"], at["fp"], at["fn"], matching.match_last(groups).first()["tp"]) == (2, 0, 0, 2)
