@@ -153,3 +153,9 @@ def test_truths_given_twice_match_one_prediction_each(spark):
     groups = matching.matching_groups(truth, boxes(spark, (1, 10, 0, 0, 40, 40, 0.9), (1, 11, 0, 0, 40, 39, 0.8)), KEYS, {"all": 0.0})
     at = matching.match_best(groups, F.array(F.lit(0.0))).first()
     assert (at["tp"], at["fp"], at["fn"], matching.match_last(groups).first()["tp"]) == (2, 0, 0, 2)
+
+
+def test_second_pass_takes_a_score_that_is_not_a_number_as_the_largest(spark):
+    groups = matching.matching_groups(boxes(spark, (1, 1, 0, 0, 40, 40, 1)), boxes(spark, (1, 10, 0, 0, 40, 40, "nan")), KEYS, {"all": 0.0})
+    at = matching.match_best(groups, F.array(F.lit(0.0), F.lit(0.6))).collect()
+    assert [(r["tp"], r["fp"], r["fn"]) for r in at] == [(1, 0, 0), (1, 0, 0)]
