@@ -159,3 +159,10 @@ def test_second_pass_takes_a_score_that_is_not_a_number_as_the_largest(spark):
     groups = matching.matching_groups(boxes(spark, (1, 1, 0, 0, 40, 40, 1)), boxes(spark, (1, 10, 0, 0, 40, 40, "nan")), KEYS, {"all": 0.0})
     at = matching.match_best(groups, F.array(F.lit(0.0), F.lit(0.6))).collect()
     assert [(r["tp"], r["fp"], r["fn"]) for r in at] == [(1, 0, 0), (1, 0, 0)]
+
+
+def test_curve_runs_the_first_pass_once(spark, monkeypatch):
+    written, cut = [], matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    matching.detection_curve(boxes(spark, (1, 1, 0, 0, 40, 40, 1)), boxes(spark, (1, 10, 0, 0, 40, 40, 0.9)), ["class_name"], KEYS)
+    assert sum("scores" in columns for columns in written) == 1
