@@ -166,3 +166,8 @@ def test_curve_runs_the_first_pass_once(spark, monkeypatch):
     monkeypatch.setattr(matching, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
     matching.detection_curve(boxes(spark, (1, 1, 0, 0, 40, 40, 1)), boxes(spark, (1, 10, 0, 0, 40, 40, 0.9)), ["class_name"], KEYS)
     assert sum("scores" in columns for columns in written) == 1
+
+
+def test_first_pass_takes_a_score_that_is_not_a_number_as_above_0(spark):
+    groups = matching.matching_groups(boxes(spark, (1, 1, 0, 0, 40, 40, 1)), boxes(spark, (1, 10, 0, 0, 40, 40, "nan")), KEYS, {"all": 0.0})
+    assert matching.match_last(groups).first()["tp"] == 1
