@@ -171,3 +171,9 @@ def test_curve_runs_the_first_pass_once(spark, monkeypatch):
 def test_first_pass_takes_a_score_that_is_not_a_number_as_above_0(spark):
     groups = matching.matching_groups(boxes(spark, (1, 1, 0, 0, 40, 40, 1)), boxes(spark, (1, 10, 0, 0, 40, 40, "nan")), KEYS, {"all": 0.0})
     assert matching.match_last(groups).first()["tp"] == 1
+
+
+def test_thresholds_read_the_first_pass_from_where_it_is_written(spark, folder):
+    from trackscope.plans import boxes as plan
+
+    assert "MapInArrow" not in plan._thresholds(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
