@@ -177,3 +177,24 @@ def test_thresholds_read_the_first_pass_from_where_it_is_written(spark, folder):
     from trackscope.plans import boxes as plan
 
     assert "MapInArrow" not in plan._thresholds(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frames_side_by_side_match_as_one_by_one():
+    import numpy as np
+
+    from trackscope.operators import greedy
+
+    rng = random.Random(4)
+    box = lambda i: (1, i, *(lambda x, y: (x, y, x + rng.randint(20, 60), y + rng.randint(8, 40)))(rng.randint(0, 200), rng.randint(0, 60)), rng.randint(0, 20) / 20)
+    frames = [([box(i) for i in range(n)], [box(1000 + i) for i in range(m)]) for n, m in ((300, 200), (5, 90), (0, 3), (40, 0), (80, 120))]
+
+    def side(rows):
+        a = np.array(rows, float).reshape(-1, 7)
+        height = a[:, 5] - a[:, 3]
+        return greedy.Boxes.of(a[:, 1].astype(int), a[:, 2:6].T, (height < 10) * 1 + (height < 20) * 2, a[:, 6])
+
+    at = np.array([0.0, 0.5, 0.9])
+    got = greedy.take_best([(side(t), side(p), {1: at, 2: at}) for t, p in frames], matching.MATCH_IOU)
+    for (truth, found), counts in zip(frames, got):
+        for bit, least in ((1, 10), (2, 20)):
+            assert [tuple(c) for c in counts[bit].T.tolist()] == [plain_matches(truth, found, least, t) for t in at]

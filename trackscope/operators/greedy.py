@@ -2,7 +2,7 @@
 
 Overlaps are computed for blocks of truths against the predictions near them and never kept for more than ``PAIRS`` pairs.
 The second pass holds for each prediction the thresholds at which it is still free as bits of one number, so that a
-truth chooses at all thresholds in one step.
+truth chooses at all thresholds in one step, and takes the frames of a batch side by side.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Pairs whose overlaps are in memory at once, truths of a part (at most) and of a block, thresholds of one number of bits, and candidates that are ordered before the rest.
-PAIRS, PART, BLOCK, BITS, FIRST = 1 << 22, 256, 64, 64, 96
+#: Pairs whose overlaps are in memory at once, truths of a part (at most) and of a block, thresholds of one number of bits, frames times levels that go side by side,
+#: and candidates of each of these that are ordered before the rest.
+PAIRS, PART, BLOCK, BITS, LANES, FIRST = 1 << 22, 512, 64, 64, 64, 16
 
 
 @dataclass(frozen=True)
@@ -56,11 +57,13 @@ def candidates(truth: Boxes, found: Boxes, at_least: float, free: Callable[[], n
             return
         boxes, part = found.corners[:, near], truths[start : start + many]
         got: list = [none] * len(part)
-        by_place = np.argsort(truth.corners[0, part] // 16 * 65536 + truth.corners[1, part], kind="stable")
+        sizes, of_truth = area(boxes), area(truth.corners[:, part])
+        by_place = np.lexsort((of_truth, truth.corners[0, part] // 16))
         for first in range(0, len(part), BLOCK):
             block = by_place[first : first + BLOCK]
-            t = truth.corners[:, part[block]]
-            select = np.flatnonzero((boxes[0] < t[2].max()) & (boxes[2] > t[0].min()) & (boxes[1] < t[3].max()) & (boxes[3] > t[1].min()))
+            t, small, large = truth.corners[:, part[block]], of_truth[block].min(), of_truth[block].max()
+            # No overlap exceeds the smaller area over the larger one; a little is left for rounding.
+            select = np.flatnonzero((boxes[0] < t[2].max()) & (boxes[2] > t[0].min()) & (boxes[1] < t[3].max()) & (boxes[3] > t[1].min()) & (sizes > small * at_least * 0.999) & (sizes * at_least * 0.999 < large))
             if not len(select):
                 continue
             p, t = boxes[:, select], t[:, :, None]
@@ -71,7 +74,7 @@ def candidates(truth: Boxes, found: Boxes, at_least: float, free: Callable[[], n
             np.maximum(shared, 0.0, out=shared)
             np.maximum(high, 0.0, out=high)
             shared *= high
-            whole = np.add(area(t), area(p), out=high)
+            whole = np.add(area(t), sizes[select], out=high)
             whole -= shared
             shared /= whole
             above = shared > at_least
@@ -116,69 +119,102 @@ def _per_bit(numbers: np.ndarray) -> np.ndarray:
     return np.unpackbits(numbers.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if len(numbers) else np.zeros(BITS, np.int64)
 
 
-def take_best(truth: Boxes, found: Boxes, thresholds: dict[int, list[float]], at_least: float) -> dict[int, np.ndarray]:
-    """Second pass: (true, false, missed) at each of the rising thresholds, at most ``BITS``, of each bit of the masks.
+def take_best(frames: list[tuple[Boxes, Boxes, dict[int, np.ndarray]]], at_least: float) -> list[dict[int, np.ndarray]]:
+    """Second pass of each (truth, found, thresholds): (true, false, missed) at each of the rising thresholds, at most ``BITS``, of each bit of the masks.
 
-    A truth takes the unused prediction with the largest overlap, one with flag 1 only if there is no other.
+    A truth takes the unused prediction with the largest overlap, one with flag 1 only if there is no other. Frames go
+    together, one truth of each in a step.
     """
-    number, first_of = _equals(found), np.bitwise_or.accumulate
-    flags = {bit: found.mask & bit != 0 for bit in thresholds}
-    above = {bit: np.where(found.scored, np.searchsorted(np.where(np.isnan(th), np.inf, th), found.rated, "right"), 0) for bit, th in thresholds.items()}
-    hit, plain = ({bit: np.zeros(len(truth.ord), np.uint64) for bit in thresholds} for _ in range(2))
-    levels = [(_below(above[bit]), flags[bit] if flags[bit].any() else None, hit[bit], plain[bit]) for bit in thresholds]
-
-    def choose(places, key, open_, wanted, free):
-        """Orders the candidates by ``key``, takes the first free one at each threshold; (thresholds served, served by one with flag 0)."""
-        if len(places) > 1:
-            order = key.argsort(kind="stable")
-            places, open_ = places[order], open_[order]
-        taken = open_ if wanted is None else open_ & wanted
-        served = first_of(taken)
-        taken[1:] &= ~served[:-1]
+    out: list[dict[int, np.ndarray]] = []
+    most = max((len(thresholds) for *_, thresholds in frames), default=1)
+    for start in range(0, len(frames), max(LANES // max(most, 1), 1)):
+        out += _together(frames[start : start + max(LANES // max(most, 1), 1)], at_least)
+    return out
+
+
+def _together(frames: list[tuple[Boxes, Boxes, dict[int, np.ndarray]]], at_least: float) -> list[dict[int, np.ndarray]]:
+    """A lane is a frame and a bit of its masks; the predictions of all lanes lie one after the other in ``free``."""
+    lanes = [(k, bit) for k, (*_, thresholds) in enumerate(frames) for bit in thresholds]
+    if not lanes:
+        return [{} for _ in frames]
+    above = [np.where(frames[k][1].scored, np.searchsorted(np.where(np.isnan(th := frames[k][2][bit]), np.inf, th), frames[k][1].rated, "right"), 0) for k, bit in lanes]
+    flags = [frames[k][1].mask & bit != 0 for k, bit in lanes]
+    free, flagged = _below(np.concatenate(above)), np.concatenate(flags)
+    begin = np.cumsum([0, *map(len, above)])
+    truths = np.cumsum([0, *(len(frames[k][0].ord) for k, _ in lanes)])
+    hits, plains = np.zeros(truths[-1], np.uint64), np.zeros(truths[-1], np.uint64)
+    equals = {k: number for k, (_, found, _) in enumerate(frames) if (number := _equals(found)) is not None}
+    of_frame: list[list[int]] = [[] for _ in frames]
+    for lane, (k, _) in enumerate(lanes):
+        of_frame[k].append(lane)
+    overlap_at, cut = np.zeros(len(free)), 0.6
+    for_place = max(len(found.ord) for _, found, _ in frames).bit_length()
+    for_overlap = min(63 - len(lanes).bit_length() - for_place, 50)
+
+    def streamed(k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        return candidates(*frames[k][:2], at_least, lambda: np.bitwise_or.reduce([free[begin[lane] : begin[lane + 1]] for lane in of_frame[k]]) != 0)
+
+    def choose(lane, near, overlap, flat, served, by_flag):
+        """The first of the ordered candidates of a lane that is free at a threshold not yet ``served``."""
+        overlap_at[flat] = overlap
+        # Lane, overlap from the largest and place in one number; overlaps that it can't tell apart are ordered whole.
+        order = (lane << for_overlap | ((1.0 - overlap) * ((1 << for_overlap) - 1)).astype(np.int64)) << for_place | near
+        order.sort()
+        high = order >> for_place
+        lane = high >> for_overlap
+        flat = begin[lane] + (order & (1 << for_place) - 1)
+        like = (high[1:] == high[:-1]).nonzero()[0]
+        if (overlap_at[flat[like + 1]] > overlap_at[flat[like]]).any():
+            flat = flat[np.lexsort((flat, -overlap_at[flat], lane))]
+        starts = np.concatenate(([0], (lane[1:] != lane[:-1]).nonzero()[0] + 1))
+        sizes = np.diff(starts, append=len(lane))
+        cell = np.arange(len(lane)) + np.repeat(np.arange(len(starts)) * sizes.max() - starts, sizes)
+        open_ = np.zeros((len(starts), sizes.max()), np.uint64)
+        open_.ravel()[cell] = free[flat] & ~served[lane]
+        upto = np.bitwise_or.accumulate(open_, axis=1)
+        open_[:, 1:] &= ~upto[:, :-1]
+        taken = open_.ravel()[cell]
         chosen = taken.nonzero()[0]
-        places, taken = places[chosen], taken[chosen]
-        if number is None:
-            free[places] ^= taken
-        else:
-            for place, bits in zip(places, taken):
-                free[number == number[place]] &= ~bits
-        unflagged = np.count_nonzero(key)
-        return served[-1], served[unflagged - 1] if unflagged else 0
-
-    for place, near, overlap in candidates(truth, found, at_least, lambda: np.bitwise_or.reduce([free for free, *_ in levels]) != 0):
-        for free, flagged, hits, plains in levels:
-            open_ = free[near]
-            some = open_.nonzero()[0]
-            if not len(some):
-                continue
-            places, open_, key = near[some], open_[some], -overlap[some]
-            if flagged is not None:
-                key[flagged[places]] = 0.0
-            wanted = None
-            if len(some) > 2 * FIRST:
-                most = key.copy()
-                most.partition(FIRST)
-                most = most[FIRST]
-                if most < 0:
-                    top = key <= most
-                    first = top.nonzero()[0]
-                    every = np.bitwise_or.reduce(open_)
-                    served, _ = choose(places[first], key[first], open_[first], None, free)
-                    hits[place] = plains[place] = served
-                    wanted = every & ~served
-                    if not wanted:
-                        continue
-                    rest = (~top).nonzero()[0]
-                    places, key = places[rest], key[rest]
-                    open_ = free[places]
-            served, by_plain = choose(places, key, open_, wanted, free)
-            hits[place] |= served
-            plains[place] |= by_plain
-    out = {}
-    for bit, th in thresholds.items():
-        counts = truth.mask & bit == 0
-        over = len(th) - 1 - np.arange(len(th))
-        scores = np.bincount(above[bit][~flags[bit] & (above[bit] > 0)], minlength=len(th) + 1)[1:][::-1].cumsum()[over]
-        true, used = _per_bit(plain[bit][counts])[: len(th)], _per_bit(plain[bit])[: len(th)]
-        out[bit] = np.stack([true, scores - used, counts.sum() - _per_bit(hit[bit][counts])[: len(th)]])
+        flat, taken = flat[chosen], taken[chosen]
+        free[flat] ^= taken
+        served[lane[starts]] |= upto[:, -1]
+        last = flagged[flat]
+        np.bitwise_or.at(by_flag, lane[chosen[last]], taken[last])
+        for k in equals:
+            for at in of_frame[k]:
+                own, inside = free[begin[at] : begin[at + 1]], (flat >= begin[at]) & (flat < begin[at + 1])
+                for place, bits in zip(flat[inside] - begin[at], taken[inside]):
+                    own[equals[k] == equals[k][place]] &= ~bits
+
+    streams = {k: streamed(k) for k, own in enumerate(of_frame) if own}
+    while step := {k: got for k, stream in streams.items() if (got := next(stream, None))}:
+        streams = {k: streams[k] for k in step}
+        rows = [(lane, k) for k in step for lane in of_frame[k]]
+        near, overlap = (np.concatenate([step[k][i] for _, k in rows]) for i in (1, 2))
+        of_row = np.array([lane for lane, _ in rows])
+        lane = np.repeat(of_row, [len(step[k][1]) for _, k in rows])
+        flat = begin[lane] + near
+        served, by_flag = np.zeros(len(lanes), np.uint64), np.zeros(len(lanes), np.uint64)
+        some = free[flat].nonzero()[0]
+        if len(some) < len(near):
+            near, overlap, lane, flat = near[some], overlap[some], lane[some], flat[some]
+        overlap[flagged[flat]] = 0.0
+        if len(flat) > 2 * FIRST * len(rows):
+            first = (overlap > cut).nonzero()[0]
+            if len(first):
+                choose(lane[first], near[first], overlap[first], flat[first], served, by_flag)
+            cut += (1.0 - cut) / 32 if len(first) > FIRST * len(rows) else -cut / 32
+            left = (free[flat] & ~served[lane]).nonzero()[0]
+            near, overlap, lane, flat = near[left], overlap[left], lane[left], flat[left]
+        if len(flat):
+            choose(lane, near, overlap, flat, served, by_flag)
+        at = truths[of_row] + [step[k][0] for _, k in rows]
+        hits[at], plains[at] = served[of_row], served[of_row] & ~by_flag[of_row]
+    out: list[dict[int, np.ndarray]] = [{} for _ in frames]
+    for lane, (k, bit) in enumerate(lanes):
+        steps, hit, plain = len(frames[k][2][bit]), hits[truths[lane] : truths[lane + 1]], plains[truths[lane] : truths[lane + 1]]
+        counts = frames[k][0].mask & bit == 0
+        scores = np.bincount(above[lane][~flags[lane] & (above[lane] > 0)], minlength=steps + 1)[1:][::-1].cumsum()[::-1]
+        true, used = _per_bit(plain[counts])[:steps], _per_bit(plain)[:steps]
+        out[k][bit] = np.stack([true, scores - used, counts.sum() - _per_bit(hit[counts])[:steps]])
     return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -235,16 +236,23 @@ def match_best(groups: Groups, thresholds: Column | DataFrame, by: list[str] | N
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple, tuple[np.ndarray, list[float]]] = {}
+            # Frames that go side by side should have about as many truths.
+            batch = batch.take(pa.array(np.argsort(np.diff(batch.column("t_ord").offsets.to_numpy()), kind="stable")))
             names = zip(*(batch.column(k).to_pylist() for k in by))
-            for key, asked, sides in zip(names, batch.column("_th").to_pylist(), _frames(batch, keys)):
-                asked = {level: np.array(th, float) for level, th in enumerate(asked) if th is not None}
-                rising = {level: np.argsort(th, kind="stable") for level, th in asked.items()}
-                for start in range(0, max(map(len, asked.values()), default=0), greedy.BITS):
-                    part = {level: order[start : start + greedy.BITS] for level, order in rising.items() if len(order) > start}
-                    counts = greedy.take_best(*sides, {1 << level: asked[level][order] for level, order in part.items()}, MATCH_IOU) if sides else {}
+            frames = zip(names, batch.column("_th").to_pylist(), _frames(batch, keys))
+            while some := list(islice(frames, greedy.LANES // levels or 1)):
+                parts = []
+                for key, asked, sides in some:
+                    asked = {level: np.array(th, float) for level, th in enumerate(asked) if th is not None}
+                    rising = {level: np.argsort(th, kind="stable") for level, th in asked.items()}
+                    for level, th in asked.items():
+                        sums.setdefault((*key, level), (np.zeros((3, len(th)), np.int64), th))
+                    for start in range(0, max(map(len, asked.values()), default=0) if sides else 0, greedy.BITS):
+                        part = {level: order[start : start + greedy.BITS] for level, order in rising.items() if len(order) > start}
+                        parts.append((key, part, (*sides, {1 << level: asked[level][order] for level, order in part.items()})))
+                for (key, part, _), counts in zip(parts, greedy.take_best([frame for *_, frame in parts], MATCH_IOU)):
                     for level, order in part.items():
-                        total, _ = sums.setdefault((*key, level), (np.zeros((3, len(asked[level])), np.int64), asked[level]))
-                        total[:, order] += counts.get(1 << level, 0)
+                        sums[*key, level][0][:, order] += counts[1 << level]
             flat = [(*key, i, t, *row) for key, (total, th) in sums.items() for i, (t, row) in enumerate(zip(th.tolist(), total.T.tolist()))]
             columns = list(zip(*flat)) or [()] * (len(by) + 6)
             kinds = [*(batch.schema.field(k).type for k in by), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
