@@ -198,3 +198,58 @@ def test_frames_side_by_side_match_as_one_by_one():
     for (truth, found), counts in zip(frames, got):
         for bit, least in ((1, 10), (2, 20)):
             assert [tuple(c) for c in counts[bit].T.tolist()] == [plain_matches(truth, found, least, t) for t in at]
+
+
+def test_many_frames_go_side_by_side(monkeypatch):
+    import numpy as np
+
+    from trackscope.operators import greedy
+
+    side = lambda score: greedy.Boxes.of(np.array([1]), np.array([[0.0], [0.0], [40.0], [40.0]]), np.array([0]), score)
+    calls, together = [], greedy._together
+    monkeypatch.setattr(greedy, "_together", lambda frames, at_least: calls.append(len(frames)) or together(frames, at_least))
+    got = greedy.take_best([(side(None), side(np.array([0.5])), {1: np.array([0.2, 0.6])})] * 200, matching.MATCH_IOU)
+    assert calls == [200] and all(counts[1].tolist() == [[1, 0], [0, 0], [0, 1]] for counts in got)
+
+
+def test_boxes_become_lists_without_a_list_for_each_row(spark):
+    one = boxes(spark, (1, 1, 0, 0, 40, 40, 1))
+    assert "collect_list" not in matching.matching_groups(one, one, KEYS, cut=False).rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_boxes_over_batches_and_equal_hashes(monkeypatch):
+    import pyarrow as pa
+
+    # Hash, key, whether predicted, ord: a key over three batches, two keys with one hash, one without a name, one without truth.
+    rows = [(1, "a", False, 3), (1, "a", True, 8), (1, "a", False, 2), (2, "b", False, 5), (2, "c", True, 6), (2, "b", True, 7), (2, "c", False, 9), (3, None, False, 1), (4, "d", True, 4)]
+    names = ["_hash", "k", "_p", "ord", "x1", "y1", "x2", "y2", "score", "mask"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, (*r, 0.0, 0.0, 1.0, 1.0, 0.5, 0))) for r in rows[i : i + 2]], pa.schema(list(zip(names, [pa.int64(), pa.string(), pa.bool_(), pa.int64(), *[pa.float64()] * 5, pa.int32()])))) for i in range(0, len(rows), 2)]
+    monkeypatch.setattr(matching, "ROWS", 2)
+    got = sorted((r["k"] or "", r["t_ord"], r["p_ord"]) for batch in matching._gathered(["k"], iter(batches)) for r in batch.to_pylist())
+    assert got == [("", [1], []), ("a", [2, 3], [8]), ("b", [5], [7]), ("c", [9], [6])]
+
+
+@pytest.mark.parametrize("step", [1.0, 0.37])
+def test_passes_over_parts_and_blocks_choose_as_one_by_one(monkeypatch, step):
+    import numpy as np
+
+    from trackscope.operators import greedy
+
+    for name, value in (("PART", 17), ("BLOCK", 8), ("CELLS", 200), ("FIRST", 2)):
+        monkeypatch.setattr(greedy, name, value)
+    rng = random.Random(6)
+    box = lambda i: (1, i, *(lambda x, y: (x * step, y * step, (x + rng.randint(20, 60)) * step, (y + rng.randint(24, 90)) * step))(rng.randint(0, 90), rng.randint(0, 60)), rng.randint(0, 20) / 20)
+    truth, found = [box(i) for i in range(120)], [box(1000 + i) for i in range(140)]
+    truth_side, found_side = (greedy.Boxes.of(a[:, 1].astype(int), a[:, 2:6].T, (a[:, 5] - a[:, 3] < 20) * 1, a[:, 6]) for a in (np.array(truth, float), np.array(found, float)))
+    at = np.array([0.0, 0.5, 0.9])
+    counts = greedy.take_best([(truth_side, found_side, {1: at})], matching.MATCH_IOU)[0][1]
+    assert [tuple(c) for c in counts.T.tolist()] == [plain_matches(truth, found, 20, t) for t in at]
+    free, last = set(range(len(found))), []
+    for k, t in enumerate(truth):
+        area = lambda b: (b[4] - b[2]) * (b[5] - b[3])
+        shared = lambda a, b: max(min(a[4], b[4]) - max(a[2], b[2]), 0) * max(min(a[5], b[5]) - max(a[3], b[3]), 0)
+        near = [p for p in free if found[p][6] > 0 and shared(t, found[p]) / (area(t) + area(found[p]) - shared(t, found[p])) > matching.MATCH_IOU]
+        if near:
+            free.discard(max(near))
+            last.append((k, max(near)))
+    assert list(zip(*(x.tolist() for x in greedy.take_last(truth_side, found_side, matching.MATCH_IOU)))) == last

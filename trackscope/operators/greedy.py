@@ -1,8 +1,9 @@
-"""The greedy assignments of one frame, in arrays.
+"""The greedy assignments of frames, in arrays.
 
-Overlaps are computed for blocks of truths against the predictions near them and never kept for more than ``PAIRS`` pairs.
-The second pass holds for each prediction the thresholds at which it is still free as bits of one number, so that a
-truth chooses at all thresholds in one step, and takes the frames of a batch side by side.
+Overlaps are computed for blocks of truths against the predictions near them and never kept for more than ``PAIRS`` pairs
+of a frame. The first pass holds the predictions near a truth, and those still free, as bits of whole numbers. The second
+pass holds for each prediction the thresholds at which it is still free as bits of one number, so that a truth chooses at
+all thresholds in one step, and takes many frames side by side.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Pairs whose overlaps are in memory at once, truths of a part (at most) and of a block, thresholds of one number of bits, frames times levels that go side by side,
-#: and candidates of each of these that are ordered before the rest.
-PAIRS, PART, BLOCK, BITS, LANES, FIRST = 1 << 22, 512, 64, 64, 64, 16
+#: Pairs of a frame that are looked at at once, truths of a part (at most) and of a block (at least), pairs of a block up to which nothing is left out,
+#: thresholds of one number of bits, frames that go side by side and boxes of these (of one frame at least), and candidates of a truth that are ordered before the rest.
+PAIRS, PART, BLOCK, CELLS, BITS, SIDE, BOXES, FIRST = 1 << 22, 256, 64, 1 << 16, 64, 256, 1 << 16, 20
 
 
 @dataclass(frozen=True)
@@ -41,72 +42,112 @@ class Boxes:
         return np.where(np.isnan(self.score), np.inf, self.score)
 
 
-def candidates(truth: Boxes, found: Boxes, at_least: float, free: Callable[[], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place of a truth, places of the predictions with an overlap above ``at_least``, rising, and the overlaps), in the order of the truths.
+def _real(boxes: Boxes) -> np.ndarray:
+    return np.flatnonzero((boxes.corners[2] > boxes.corners[0]) & (boxes.corners[3] > boxes.corners[1]))
 
-    ``free`` tells which predictions may still be taken; those that may not when a part of the truths begins are left out.
+
+def _area(c: np.ndarray) -> np.ndarray:
+    return (c[2] - c[0]) * (c[3] - c[1])
+
+
+def _shared_and_whole(t: np.ndarray, p: np.ndarray, of_truth: np.ndarray, of_found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Areas of intersection (0 or below where there is none) and union of real boxes; the arrays are broadcast."""
+    shared = np.minimum(t[2], p[2])
+    shared -= np.maximum(t[0], p[0])
+    np.maximum(shared, 0, out=shared)
+    high = np.minimum(t[3], p[3])
+    high -= np.maximum(t[1], p[1])
+    shared *= high
+    whole = np.add(of_truth, of_found, out=high)
+    whole -= shared
+    return shared, whole
+
+
+def _overlap(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    shared, whole = _shared_and_whole(t, p, _area(t), _area(p))
+    return shared / whole
+
+
+def _whole_numbers(*corners: np.ndarray) -> bool:
+    """Whether all areas, and sums of two, are exact in single precision."""
+    return all(bool((np.abs(c) <= 1024).all() and (c == np.rint(c)).all()) for c in corners)
+
+
+def _blocks(t: np.ndarray, p: np.ndarray, at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, pairs of each, columns of the pairs, overlaps) above ``at_least`` of the corners of real boxes; each row once at most.
+
+    The corners may have single precision if their areas are exact in it; overlaps are quotients in double precision anyway.
     """
-    real = lambda b: (b.corners[2] > b.corners[0]) & (b.corners[3] > b.corners[1])
-    area = lambda c: (c[2] - c[0]) * (c[3] - c[1])
-    truths, near = np.flatnonzero(real(truth)), np.flatnonzero(real(found))
-    none = np.empty(0, np.int64), np.empty(0)
-    many = max(min(PAIRS // max(len(near), 1), PART), 1)
-    for start in range(0, len(truths), many):
-        near = near[free()[near]]
-        if not len(near):
-            return
-        boxes, part = found.corners[:, near], truths[start : start + many]
-        got: list = [none] * len(part)
-        sizes, of_truth = area(boxes), area(truth.corners[:, part])
-        by_place = np.lexsort((of_truth, truth.corners[0, part] // 16))
-        for first in range(0, len(part), BLOCK):
-            block = by_place[first : first + BLOCK]
-            t, small, large = truth.corners[:, part[block]], of_truth[block].min(), of_truth[block].max()
-            # No overlap exceeds the smaller area over the larger one; a little is left for rounding.
-            select = np.flatnonzero((boxes[0] < t[2].max()) & (boxes[2] > t[0].min()) & (boxes[1] < t[3].max()) & (boxes[3] > t[1].min()) & (sizes > small * at_least * 0.999) & (sizes * at_least * 0.999 < large))
-            if not len(select):
-                continue
-            p, t = boxes[:, select], t[:, :, None]
-            shared = np.minimum(t[2], p[2])
-            shared -= np.maximum(t[0], p[0])
-            high = np.minimum(t[3], p[3])
-            high -= np.maximum(t[1], p[1])
-            np.maximum(shared, 0.0, out=shared)
-            np.maximum(high, 0.0, out=high)
-            shared *= high
-            whole = np.add(area(t), sizes[select], out=high)
-            whole -= shared
-            shared /= whole
-            above = shared > at_least
-            ends = np.cumsum(np.count_nonzero(above, axis=1))
-            flat = np.flatnonzero(above)
-            values, starts = shared.ravel()[flat], np.concatenate(([0], ends[:-1]))
-            flat -= np.repeat(np.arange(len(block)) * len(select), ends - starts)
-            places = near[select[flat]]
-            for k, a, b in zip(block.tolist(), starts.tolist(), ends.tolist()):
-                got[k] = places[a:b], values[a:b]
-        for place, (places, values) in zip(part.tolist(), got):
-            if len(places):
-                yield place, places, values
+    of_truth, of_found = _area(t), _area(p)
+    # A little is left for rounding; the quotient decides.
+    nearly = t.dtype.type(at_least * 0.999)
+    many = max(BLOCK, CELLS // max(len(of_found), 1))
+    by_place = np.lexsort((of_truth, t[0] // 16)) if many < len(of_truth) else np.arange(len(of_truth))
+    for first in range(0, len(by_place), many):
+        rows, columns, close, sizes = by_place[first : first + many], np.arange(len(of_found)), p, of_found
+        own, areas = t[:, rows], of_truth[rows]
+        if many < len(by_place):
+            # No overlap exceeds the smaller area over the larger one.
+            (x1, y1), (x2, y2) = own[:2].min(axis=1), own[2:].max(axis=1)
+            columns = np.flatnonzero((p[0] < x2) & (p[2] > x1) & (p[1] < y2) & (p[3] > y1) & (of_found > areas.min() * nearly) & (of_found * nearly < areas.max()))
+            close, sizes = p[:, columns], of_found[columns]
+        if not len(columns):
+            continue
+        shared, whole = _shared_and_whole(own[:, :, None], close, areas[:, None], sizes)
+        flat = np.flatnonzero(shared > whole * nearly)
+        overlap = shared.ravel()[flat].astype(float) / whole.ravel()[flat].astype(float)
+        if not (sure := overlap > at_least).all():
+            flat, overlap = flat[sure], overlap[sure]
+        starts = np.arange(0, len(rows) * len(columns), len(columns))
+        sizes = np.searchsorted(flat, starts + len(columns))
+        sizes[1:] -= sizes[:-1].copy()
+        flat -= np.repeat(starts, sizes)
+        yield rows, sizes, columns[flat], overlap
 
 
 def _equals(found: Boxes) -> np.ndarray | None:
     """The number of each prediction among the different ``ord``, or None where all differ: what is used goes by ``ord``."""
-    different, number = np.unique(found.ord, return_inverse=True)
-    return number if len(different) < len(found.ord) else None
+    if not (np.diff(found.ord) == 0).any():
+        return None
+    return np.unique(found.ord, return_inverse=True)[1]
 
 
 def take_last(truth: Boxes, found: Boxes, at_least: float) -> tuple[np.ndarray, np.ndarray]:
     """First pass: each truth takes the last unused prediction with a score above 0; the places of both."""
     free, number, pairs = found.scored & (found.rated > 0), _equals(found), []
-    for place, near, _ in candidates(truth, found, at_least, lambda: free):
-        left = near[free[near]]
-        if len(left):
-            last = left[-1]
-            free[last if number is None else number == number[last]] = False
-            pairs.append((place, last))
-    at = np.array(pairs, np.int64).reshape(-1, 2)
-    return at[:, 0], at[:, 1]
+    kind = np.float32 if _whole_numbers(truth.corners, found.corners) else float
+    t, p = truth.corners.astype(kind), found.corners.astype(kind)
+    truths, near = _real(truth), _real(found)
+    start = 0
+    while start < len(truths):
+        near = near[free[near]]
+        if not len(near):
+            break
+        part = truths[start : start + max(min(PAIRS // len(near), PART), 1)]
+        start += len(part)
+        above = np.zeros((len(part), len(near)), bool)
+        for rows, sizes, columns, _ in _blocks(t[:, part], p[:, near], at_least):
+            above.ravel()[np.repeat(rows * len(near), sizes) + columns] = True
+        packed = np.packbits(above, axis=1, bitorder="little")
+        width, bits, left = packed.shape[1], packed.tobytes(), (1 << len(near)) - 1
+        same = None
+        if number is not None:
+            of_number: dict[int, int] = {}
+            for i, k in enumerate(number[near].tolist()):
+                of_number[k] = of_number.get(k, 0) | 1 << i
+            same = [of_number[k] for k in number[near].tolist()]
+        got = []
+        for row in range(len(part)):
+            if some := int.from_bytes(bits[row * width : (row + 1) * width], "little") & left:
+                last = some.bit_length() - 1
+                left &= ~(1 << last if same is None else same[last])
+                got.append((row, last))
+        if got:
+            at = np.array(got, np.int64)
+            pairs.append(np.stack([part[at[:, 0]], near[at[:, 1]]]))
+            free[near] = np.unpackbits(np.frombuffer(left.to_bytes(width, "little"), np.uint8), bitorder="little")[: len(near)] != 0
+    both = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+    return both[0], both[1]
 
 
 def _below(bits: np.ndarray) -> np.ndarray:
@@ -126,95 +167,178 @@ def take_best(frames: list[tuple[Boxes, Boxes, dict[int, np.ndarray]]], at_least
     together, one truth of each in a step.
     """
     out: list[dict[int, np.ndarray]] = []
-    most = max((len(thresholds) for *_, thresholds in frames), default=1)
-    for start in range(0, len(frames), max(LANES // max(most, 1), 1)):
-        out += _together(frames[start : start + max(LANES // max(most, 1), 1)], at_least)
-    return out
+    some: list[tuple[Boxes, Boxes, dict[int, np.ndarray]]] = []
+    boxes = 0
+    for frame in frames:
+        size = max(len(frame[0].ord), len(frame[1].ord))
+        if some and (len(some) == SIDE or boxes + size > BOXES):
+            out += _together(some, at_least)
+            some, boxes = [], 0
+        some.append(frame)
+        boxes += size
+    return out + _together(some, at_least)
 
 
 def _together(frames: list[tuple[Boxes, Boxes, dict[int, np.ndarray]]], at_least: float) -> list[dict[int, np.ndarray]]:
-    """A lane is a frame and a bit of its masks; the predictions of all lanes lie one after the other in ``free``."""
-    lanes = [(k, bit) for k, (*_, thresholds) in enumerate(frames) for bit in thresholds]
-    if not lanes:
+    """The predictions of all frames lie one after the other in ``free``, a row for each bit of the masks, and a last one that is never free."""
+    levels = sorted({bit for *_, thresholds in frames for bit in thresholds})
+    if not levels:
         return [{} for _ in frames]
-    above = [np.where(frames[k][1].scored, np.searchsorted(np.where(np.isnan(th := frames[k][2][bit]), np.inf, th), frames[k][1].rated, "right"), 0) for k, bit in lanes]
-    flags = [frames[k][1].mask & bit != 0 for k, bit in lanes]
-    free, flagged = _below(np.concatenate(above)), np.concatenate(flags)
-    begin = np.cumsum([0, *map(len, above)])
-    truths = np.cumsum([0, *(len(frames[k][0].ord) for k, _ in lanes)])
-    hits, plains = np.zeros(truths[-1], np.uint64), np.zeros(truths[-1], np.uint64)
+    begin = np.cumsum([0, *(len(found.ord) for _, found, _ in frames)])
+    nobody = int(begin[-1])
+    owner = np.repeat(np.arange(len(frames)), np.diff(begin))
+    corners = np.concatenate([found.corners for _, found, _ in frames], axis=1)
+    above, flagged = np.zeros((len(levels), nobody + 1), np.int64), np.zeros((len(levels), nobody + 1), bool)
+    for k, (_, found, thresholds) in enumerate(frames):
+        for level, bit in enumerate(levels):
+            if bit in thresholds:
+                rising = np.where(np.isnan(th := thresholds[bit]), np.inf, th)
+                above[level, begin[k] : begin[k + 1]] = np.where(found.scored, np.searchsorted(rising, found.rated, "right"), 0)
+            flagged[level, begin[k] : begin[k + 1]] = found.mask & bit != 0
+    free = _below(above)
+    plain = np.where(flagged, np.uint64(0), ~np.uint64(0))
     equals = {k: number for k, (_, found, _) in enumerate(frames) if (number := _equals(found)) is not None}
-    of_frame: list[list[int]] = [[] for _ in frames]
-    for lane, (k, _) in enumerate(lanes):
-        of_frame[k].append(lane)
-    overlap_at, cut = np.zeros(len(free)), 0.6
-    for_place = max(len(found.ord) for _, found, _ in frames).bit_length()
-    for_overlap = min(63 - len(lanes).bit_length() - for_place, 50)
-
-    def streamed(k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        return candidates(*frames[k][:2], at_least, lambda: np.bitwise_or.reduce([free[begin[lane] : begin[lane + 1]] for lane in of_frame[k]]) != 0)
-
-    def choose(lane, near, overlap, flat, served, by_flag):
-        """The first of the ordered candidates of a lane that is free at a threshold not yet ``served``."""
-        overlap_at[flat] = overlap
-        # Lane, overlap from the largest and place in one number; overlaps that it can't tell apart are ordered whole.
-        order = (lane << for_overlap | ((1.0 - overlap) * ((1 << for_overlap) - 1)).astype(np.int64)) << for_place | near
-        order.sort()
-        high = order >> for_place
-        lane = high >> for_overlap
-        flat = begin[lane] + (order & (1 << for_place) - 1)
-        like = (high[1:] == high[:-1]).nonzero()[0]
-        if (overlap_at[flat[like + 1]] > overlap_at[flat[like]]).any():
-            flat = flat[np.lexsort((flat, -overlap_at[flat], lane))]
-        starts = np.concatenate(([0], (lane[1:] != lane[:-1]).nonzero()[0] + 1))
-        sizes = np.diff(starts, append=len(lane))
-        cell = np.arange(len(lane)) + np.repeat(np.arange(len(starts)) * sizes.max() - starts, sizes)
-        open_ = np.zeros((len(starts), sizes.max()), np.uint64)
-        open_.ravel()[cell] = free[flat] & ~served[lane]
-        upto = np.bitwise_or.accumulate(open_, axis=1)
-        open_[:, 1:] &= ~upto[:, :-1]
-        taken = open_.ravel()[cell]
-        chosen = taken.nonzero()[0]
-        flat, taken = flat[chosen], taken[chosen]
-        free[flat] ^= taken
-        served[lane[starts]] |= upto[:, -1]
-        last = flagged[flat]
-        np.bitwise_or.at(by_flag, lane[chosen[last]], taken[last])
-        for k in equals:
-            for at in of_frame[k]:
-                own, inside = free[begin[at] : begin[at + 1]], (flat >= begin[at]) & (flat < begin[at + 1])
-                for place, bits in zip(flat[inside] - begin[at], taken[inside]):
-                    own[equals[k] == equals[k][place]] &= ~bits
-
-    streams = {k: streamed(k) for k, own in enumerate(of_frame) if own}
-    while step := {k: got for k, stream in streams.items() if (got := next(stream, None))}:
-        streams = {k: streams[k] for k in step}
-        rows = [(lane, k) for k in step for lane in of_frame[k]]
-        near, overlap = (np.concatenate([step[k][i] for _, k in rows]) for i in (1, 2))
-        of_row = np.array([lane for lane, _ in rows])
-        lane = np.repeat(of_row, [len(step[k][1]) for _, k in rows])
-        flat = begin[lane] + near
-        served, by_flag = np.zeros(len(lanes), np.uint64), np.zeros(len(lanes), np.uint64)
-        some = free[flat].nonzero()[0]
-        if len(some) < len(near):
-            near, overlap, lane, flat = near[some], overlap[some], lane[some], flat[some]
-        overlap[flagged[flat]] = 0.0
-        if len(flat) > 2 * FIRST * len(rows):
-            first = (overlap > cut).nonzero()[0]
-            if len(first):
-                choose(lane[first], near[first], overlap[first], flat[first], served, by_flag)
-            cut += (1.0 - cut) / 32 if len(first) > FIRST * len(rows) else -cut / 32
-            left = (free[flat] & ~served[lane]).nonzero()[0]
-            near, overlap, lane, flat = near[left], overlap[left], lane[left], flat[left]
-        if len(flat):
-            choose(lane, near, overlap, flat, served, by_flag)
-        at = truths[of_row] + [step[k][0] for _, k in rows]
-        hits[at], plains[at] = served[of_row], served[of_row] & ~by_flag[of_row]
-    out: list[dict[int, np.ndarray]] = [{} for _ in frames]
-    for lane, (k, bit) in enumerate(lanes):
-        steps, hit, plain = len(frames[k][2][bit]), hits[truths[lane] : truths[lane + 1]], plains[truths[lane] : truths[lane + 1]]
-        counts = frames[k][0].mask & bit == 0
-        scores = np.bincount(above[lane][~flags[lane] & (above[lane] > 0)], minlength=steps + 1)[1:][::-1].cumsum()[::-1]
-        true, used = _per_bit(plain[counts])[:steps], _per_bit(plain)[:steps]
-        out[k][bit] = np.stack([true, scores - used, counts.sum() - _per_bit(hit[counts])[:steps]])
+    truths, real = [_real(truth) for truth, *_ in frames], [_real(found) for _, found, _ in frames]
+    hits, plains = ([np.zeros((len(levels), len(truth.ord)), np.uint64) for truth, *_ in frames] for _ in range(2))
+    # A candidate is a number: its overlap from the largest, and its place.
+    for_place = (nobody + 1).bit_length()
+    for_overlap = min(61 - for_place - max(len(levels) * len(frames), PART).bit_length(), 40)
+    low, scale, shift = (1 << for_place) - 1, float((1 << for_overlap) - 1), for_place + for_overlap
+    exactly = lambda t, p: _overlap(t, corners[:, p])
+    whole = _whole_numbers(corners, *(truth.corners for truth, *_ in frames))
+    kind = np.float32 if whole else float
+    # Quotients of whole numbers differ by as much as their divisors allow, so that no two look alike.
+    most = max([0.0, *(np.abs(_area(c)).max(initial=0) for c in (corners, *(truth.corners for truth, *_ in frames)))])
+    distinct = whole and (2 * most) ** 2 * 4 < scale
+    corners_of, near_of = [truth.corners.astype(kind) for truth, *_ in frames], corners.astype(kind)
+
+    def ordered(keys: np.ndarray, truth_at: Callable[[np.ndarray], np.ndarray], flags: bool = False) -> np.ndarray:
+        """``keys`` (with a group above ``shift``) sorted; overlaps that they can't tell apart are computed again. ``truth_at``: corners of the truths of groups; ``flags``: odd groups go by place alone."""
+        keys.sort()
+        if distinct:
+            return keys
+        high = keys >> for_place
+        like = np.flatnonzero(high[1:] == high[:-1])
+        if flags:
+            like = like[keys[like] >> shift & 1 == 0]
+        if len(like):
+            t = truth_at(keys[like] >> shift)
+            if (exactly(t, keys[like + 1] & low) > exactly(t, keys[like] & low)).any():
+                group, at = keys >> shift, keys & low
+                overlap = exactly(truth_at(group), at)
+                return keys[np.lexsort((at, np.where(group & 1, 0.0, -overlap) if flags else -overlap, group))]
+        return keys
+
+    def used(at: np.ndarray, level: np.ndarray, taken: np.ndarray) -> None:
+        """Predictions with the same ``ord`` are used together."""
+        for place, row, bits in zip(at.tolist(), level.tolist(), taken):
+            if (number := equals.get(int(owner[place]))) is not None:
+                first = begin[owner[place]]
+                free[row, first + np.flatnonzero(number == number[place - first])] &= ~bits
+
+    step_of = np.arange(PART)
+    for start in range(0, max(map(len, truths)), PART):
+        steps = min(max(map(len, truths)) - start, PART)
+        counts = np.zeros((steps, len(frames)), np.int64)
+        top = np.full((steps, len(frames), FIRST), nobody, np.int64)
+        pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k, (truth, found, _) in enumerate(frames):
+            part = truths[k][start : start + PART]
+            near = real[k] = real[k][np.bitwise_or.reduce(free[:, begin[k] + real[k]], axis=0) != 0]
+            if not len(part) or not len(near):
+                continue
+            t, own = truth.corners[:, part], []
+            for rows, sizes, columns, overlap in _blocks(corners_of[k][:, part], near_of[:, begin[k] + near], at_least):
+                keys = ((1.0 - overlap) * scale).astype(np.int64)
+                keys <<= for_place
+                keys |= (begin[k] + near)[columns]
+                counts[rows, k] = sizes
+                own.append((rows, sizes, keys))
+            if not own:
+                continue
+            pieces += [(k, *piece) for piece in own]
+            total = sum(len(keys) for *_, keys in own)
+            # The largest overlaps, about so many of each truth; where the cut is matters for speed alone.
+            cut = 1 << shift
+            if total > 2 * FIRST * len(part):
+                some = np.concatenate([keys[::8] for *_, keys in own])
+                cut = np.partition(some, at := FIRST * len(part) * len(some) // total)[at] >> for_place << for_place
+            first = ordered(np.concatenate([(np.repeat(rows, sizes)[inside := np.flatnonzero(keys < cut)] << shift) | keys[inside] for rows, sizes, keys in own]), lambda rows: t[:, rows])
+            if not len(first):
+                continue
+            row = first >> shift
+            place = np.arange(len(first))
+            place -= np.searchsorted(row, step_of[: len(part)])[row]
+            inside = np.flatnonzero(place < FIRST)
+            top[row[inside], k, place[inside]] = first[inside] & low
+        ends = np.cumsum(counts.ravel()).reshape(counts.shape)
+        keys = np.empty(ends[-1, -1], np.int64)
+        for k, rows, sizes, own in pieces:
+            keys[np.repeat(ends[rows, k] - np.cumsum(sizes), sizes) + np.arange(len(own))] = own
+        pieces.clear()
+        steps_end = [0, *ends[:, -1].tolist()]
+        served_at, plain_at = np.zeros((2, steps, len(levels), len(frames)), np.uint64)
+        for step in range(steps):
+            if steps_end[step] == steps_end[step + 1]:
+                continue
+            # The unflagged candidates with the largest overlaps.
+            open_ = free.take(top[step], axis=1)
+            open_ &= plain.take(top[step], axis=1)
+            upto = np.bitwise_or.accumulate(open_, axis=2)
+            open_[:, :, 1:] &= ~upto[:, :, :-1]
+            served = upto[:, :, -1].copy()
+            chosen = np.flatnonzero(open_)
+            if len(chosen):
+                level, at = chosen // top[step].size, top[step].ravel()[chosen % top[step].size]
+                taken = open_.ravel()[chosen]
+                free[level, at] ^= taken
+                if equals:
+                    used(at, level, taken)
+            # All others, at thresholds not yet served.
+            own = keys[steps_end[step] : steps_end[step + 1]]
+            at = own & low
+            by_flag = np.zeros_like(served)
+            open_ = free.take(at, axis=1)
+            open_ &= np.repeat(~served, counts[step], axis=1)
+            left = np.flatnonzero(open_)
+            if len(left):
+                level, i = left // len(own), left % len(own)
+                at, own = at[i], own[i]
+                last = flagged[level, at]
+                own = np.where(last, 1 << shift | at, own) | (level * len(frames) + owner[at]) << shift + 1
+                lanes = lambda lane: np.stack([frames[k][0].corners[:, truths[k][start + step]] for k in ((lane >> 1) % len(frames)).tolist()], axis=1)  # noqa: E731, B023
+                own = ordered(own, lanes, True)
+                lane, at = own >> shift + 1, own & low
+                level = lane // len(frames)
+                starts = np.concatenate(([0], (lane[1:] != lane[:-1]).nonzero()[0] + 1))
+                sizes = np.diff(starts, append=len(lane))
+                cell = np.arange(len(lane)) + np.repeat(np.arange(len(starts)) * sizes.max() - starts, sizes)
+                open_ = np.zeros((len(starts), sizes.max()), np.uint64)
+                open_.ravel()[cell] = free[level, at] & ~served.ravel()[lane]
+                upto = np.bitwise_or.accumulate(open_, axis=1)
+                open_[:, 1:] &= ~upto[:, :-1]
+                taken = open_.ravel()[cell]
+                chosen = taken.nonzero()[0]
+                at, level, lane, taken = at[chosen], level[chosen], lane[chosen], taken[chosen]
+                free[level, at] ^= taken
+                if equals:
+                    used(at, level, taken)
+                served.ravel()[own[starts] >> shift + 1] |= upto[:, -1]
+                last = flagged[level, at]
+                np.bitwise_or.at(by_flag.ravel(), lane[last], taken[last])
+            served_at[step], plain_at[step] = served, served & ~by_flag
+        for k, own in enumerate(truths):
+            part = own[start : start + PART]
+            hits[k][:, part], plains[k][:, part] = served_at[: len(part), :, k].T, plain_at[: len(part), :, k].T
+    out: list[dict[int, np.ndarray]] = []
+    for k, (truth, _, thresholds) in enumerate(frames):
+        out.append({})
+        for level, bit in enumerate(levels):
+            if bit not in thresholds:
+                continue
+            steps, own = len(thresholds[bit]), slice(begin[k], begin[k + 1])
+            counts = truth.mask & bit == 0
+            scores = np.bincount(above[level, own][~flagged[level, own] & (above[level, own] > 0)], minlength=steps + 1)[1:][::-1].cumsum()[::-1]
+            true, used_ = _per_bit(plains[k][level][counts])[:steps], _per_bit(plains[k][level])[:steps]
+            out[k][bit] = np.stack([true, scores - used_, counts.sum() - _per_bit(hits[k][level][counts])[:steps]])
     return out

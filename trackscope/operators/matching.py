@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -152,13 +153,67 @@ def matching_groups(truth: DataFrame, predicted: DataFrame, keys: list[str], dif
     """
     levels = _levels(truth, difficulties)
     box = [F.col("ord").cast("bigint").alias("ord"), *(F.col(c).cast("double").alias(c) for c in BOX_FIELDS[1:5])]
-    t = truth.select(*keys, F.struct(*box, _mask(truth, levels).alias("mask")).alias("t"))
-    p = predicted.select(*keys, F.struct(*box, F.col("score").cast("double").alias("score"), _mask(predicted.drop("occlusion", "truncation"), levels).alias("mask")).alias("p"))
-    rows = _spread(t.unionByName(p, True), keys).groupBy(*keys).agg(F.collect_list("t").alias("t"), F.collect_list("p").alias("p")).where(F.size("t") > 0)
-    rows = rows.select(*keys, *(F.col(c[0])[c[2:]].alias(c) for c in LISTS))
+    t = truth.select(*keys, F.lit(False).alias("_p"), *box, F.lit(None).cast("double").alias("score"), _mask(truth, levels).alias("mask"))
+    p = predicted.select(*keys, F.lit(True).alias("_p"), *box, F.col("score").cast("double").alias("score"), _mask(predicted.drop("occlusion", "truncation"), levels).alias("mask"))
+    # One sort key that is a whole number is sorted by its digits; rows of one key then follow each other.
+    flat = _spread(t.unionByName(p, True), keys).withColumn("_hash", F.xxhash64(*keys)).sortWithinPartitions("_hash")
+    kinds = [f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} array<{flat.schema[c[2:]].dataType.simpleString()}>" for c in LISTS]
+    rows = flat.mapInArrow(partial(_gathered, keys), ", ".join(kinds))
     return Groups(cut_lineage(rows) if cut else rows, keys, [names for _, names in levels])
 
 
+#: Rows of boxes that are made lists at once, where a group has no more.
+ROWS = 1 << 17
+
+
+def _gathered(keys: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Boxes that come by ``_hash`` of their keys as a row for each group with truth, of lists by ``ord``."""
+    held: list[pa.RecordBatch] = []
+    rows, enough = 0, ROWS
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < enough:
+            continue
+        boxes = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        # The last hash may go on in the next batch.
+        hashes = boxes.column("_hash").to_numpy()
+        ready = int(np.searchsorted(hashes, hashes[-1]))
+        if ready:
+            yield from _group_lists(keys, boxes.slice(0, ready))
+        held, rows = [boxes.slice(ready)], boxes.num_rows - ready
+        enough = max(ROWS, 2 * rows)
+    if rows:
+        yield from _group_lists(keys, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _group_lists(keys: list[str], boxes: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A row for each group with truth among ``boxes``. Keys decide, so that hashes may be equal by chance."""
+    codes = []
+    for k in keys:
+        coded = boxes.column(k).dictionary_encode("encode")
+        codes.append(coded.indices.to_numpy(zero_copy_only=False))
+    side, ords = boxes.column("_p").to_numpy(zero_copy_only=False).astype(np.int8), boxes.column("ord")
+    place = np.lexsort((ords.fill_null(0).to_numpy(), side, *codes, boxes.column("_hash").to_numpy()))
+    new = np.zeros(len(place), bool)
+    new[0] = True
+    for code in codes:
+        new[1:] |= code[place[1:]] != code[place[:-1]]
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    side = side[place]
+    truths = np.bincount(group[side == 0], minlength=len(starts))
+    some = np.flatnonzero(truths)
+    if not len(some):
+        return
+    kept = truths[group] > 0
+    columns = [boxes.column(k).take(pa.array(place[starts[some]])) for k in keys]
+    for name, n in (("t", truths), ("p", np.bincount(group[side == 1], minlength=len(starts)))):
+        at = pa.array(place[kept & (side == (name == "p"))])
+        ends = pa.array(np.concatenate([[0], np.cumsum(n[some])]), pa.int32())
+        columns += [pa.ListArray.from_arrays(ends, boxes.column(c[2:]).take(at)) for c in LISTS if c[0] == name]
+    yield pa.RecordBatch.from_arrays(columns, names=[*keys, *LISTS])
+
+
 def _lists(column: pa.Array) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Ends of the lists of an Arrow column, their values, and which of these are not null."""
     values = column.values
@@ -240,7 +295,7 @@ def match_best(groups: Groups, thresholds: Column | DataFrame, by: list[str] | N
             batch = batch.take(pa.array(np.argsort(np.diff(batch.column("t_ord").offsets.to_numpy()), kind="stable")))
             names = zip(*(batch.column(k).to_pylist() for k in by))
             frames = zip(names, batch.column("_th").to_pylist(), _frames(batch, keys))
-            while some := list(islice(frames, greedy.LANES // levels or 1)):
+            while some := list(islice(frames, greedy.SIDE)):
                 parts = []
                 for key, asked, sides in some:
                     asked = {level: np.array(th, float) for level, th in enumerate(asked) if th is not None}
