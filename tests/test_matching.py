@@ -253,3 +253,24 @@ def test_passes_over_parts_and_blocks_choose_as_one_by_one(monkeypatch, step):
             free.discard(max(near))
             last.append((k, max(near)))
     assert list(zip(*(x.tolist() for x in greedy.take_last(truth_side, found_side, matching.MATCH_IOU)))) == last
+
+
+def test_pairs_round_halves_up_in_double_precision(spark):
+    # 5 / 16 = 0.3125, a half at 3 places; 4 / 16 is below the limit.
+    one, other = boxes(spark, (1, 1, 0, 0, 16, 1, 1)), boxes(spark, (1, 2, 0, 0, 5, 1, 1), (1, 3, 0, 0, 4, 1, 1))
+    assert [tuple(r) for r in matching.iou_pairs(one, other, KEYS, places=3).collect()] == [("s", 1, "fish", 1, 2, 0.313)]
+    assert matching.iou_pairs(one, other, KEYS).first()["iou"] == 0.3125
+    plan = matching.iou_pairs(one, other, KEYS, places=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_pairs_are_whole_over_parts(spark, monkeypatch):
+    import numpy as np
+
+    from trackscope.operators import greedy
+
+    monkeypatch.setattr(greedy, "PAIRS", 640)
+    n = 45
+    side = greedy.Boxes.of(np.arange(n), np.array([[0.0], [0.0], [40.0], [40.0]]) + np.zeros(n), np.zeros(n, int))
+    got = [(a, b) for t, p, _ in greedy.pairs(side, side, 0.3) for a, b in zip(t.tolist(), p.tolist())]
+    assert sorted(got) == [(a, b) for a in range(n) for b in range(n)]

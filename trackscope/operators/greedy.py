@@ -105,6 +105,17 @@ def _blocks(t: np.ndarray, p: np.ndarray, at_least: float) -> Iterator[tuple[np.
         yield rows, sizes, columns[flat], overlap
 
 
+def pairs(truth: Boxes, found: Boxes, at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of truths, places of predictions, overlaps) of all pairs above ``at_least``, in parts."""
+    kind = np.float32 if _whole_numbers(truth.corners, found.corners) else float
+    truths, near = _real(truth), _real(found)
+    for left in range(0, len(near), PAIRS // BLOCK):
+        columns = near[left : left + PAIRS // BLOCK]
+        p = found.corners[:, columns].astype(kind)
+        for rows, sizes, own, overlap in _blocks(truth.corners[:, truths].astype(kind), p, at_least) if len(truths) else ():
+            yield truths[np.repeat(rows, sizes)], columns[own], overlap
+
+
 def _equals(found: Boxes) -> np.ndarray | None:
     """The number of each prediction among the different ``ord``, or None where all differ: what is used goes by ``ord``."""
     if not (np.diff(found.ord) == 0).any():

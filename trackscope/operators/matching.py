@@ -1,8 +1,7 @@
 """Alignment of frames, greedy matching of boxes, and average precision.
 
-Pairs of boxes are found by a join on frame and grid cell in the JVM. The greedy assignments take the boxes of a frame
-as lists in Arrow batches and compute overlaps there (``greedy``): pairs grow with the square of the boxes in a frame, so
-that lists of candidates would outgrow the boxes that they come from.
+Pairs and greedy assignments take the boxes of a frame as lists in Arrow batches and compute overlaps there (``greedy``):
+pairs grow with the square of the boxes in a frame, so that lists of candidates would outgrow the boxes that they come from.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geometry
 from ..session import cut_lineage
 from . import greedy
 from .ranks import values_at_ranks
@@ -39,9 +37,6 @@ MATCH_IOU = 0.3
 POINTS = 41
 DIFFICULTIES = {"easy": Level(20.0, 0, 0.15), "moderate": Level(10.0, 1, 0.1), "hard": Level(10.0, 2, 0.1)}
 
-#: Pixels of a grid cell, and cells of a row or column; what lies beyond belongs to the outermost.
-CELL, CELLS = 256, 64
-
 BOX_FIELDS = ("ord", "x1", "y1", "x2", "y2", "score")
 FRAME = ["sequence_name", "frame_id"]
 
@@ -78,32 +73,6 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _in_cells(boxes: DataFrame) -> DataFrame:
-    """A row for each grid cell that a box touches; boxes without extent touch none."""
-    cell = lambda c: F.least(F.greatest(F.floor(F.col(c) / CELL), F.lit(0)), F.lit(CELLS - 1))
-    rows = boxes.where("x2 > x1 AND y2 > y1")
-    return rows.withColumn("_cx", F.explode(F.sequence(cell("x1"), cell("x2")))).withColumn("_cy", F.explode(F.sequence(cell("y1"), cell("y2"))))
-
-
-def overlapping(truth: DataFrame, predicted: DataFrame, keys: list[str], at_least: float = MATCH_IOU) -> DataFrame:
-    """(keys, t_..., p_..., iou) of boxes with one set of keys whose overlap is above ``at_least``.
-
-    The join goes by keys and grid cell, so that only boxes near each other meet in a crowded frame; a pair counts in
-    the cell of the first corner of its intersection.
-    """
-    side = lambda boxes, prefix: _spread(_in_cells(boxes).select(*keys, "_cx", "_cy", *(F.col(c).alias(prefix + c) for c in boxes.columns if c not in keys)), [*keys, "_cx", "_cy"])
-    cell = lambda c: F.least(F.greatest(F.floor(F.greatest("t_" + c, "p_" + c) / CELL), F.lit(0)), F.lit(CELLS - 1))
-    iou = geometry.overlap(geometry.box(prefix="t_"), geometry.box(prefix="p_"))
-    meeting = side(truth, "t_").join(side(predicted, "p_"), [*keys, "_cx", "_cy"]).where((F.col("_cx") == cell("x1")) & (F.col("_cy") == cell("y1")))
-    return meeting.withColumn("iou", iou).where(F.col("iou") > at_least).drop("_cx", "_cy")
-
-
-def iou_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], at_least: float = MATCH_IOU) -> DataFrame:
-    """(keys, truth_ord, predicted_ord, iou) of boxes with one set of keys whose overlap is above ``at_least``."""
-    narrow = lambda boxes: boxes.select(*keys, *BOX_FIELDS[:5])
-    return overlapping(narrow(truth), narrow(predicted), keys, at_least).select(*keys, F.col("t_ord").alias("truth_ord"), F.col("p_ord").alias("predicted_ord"), "iou")
-
-
 def _levels(truth: DataFrame, difficulties: dict[str, Level | float] | None) -> list[tuple[Level, list[str]]]:
     """The settings that differ on this truth, with the difficulties of each; occlusion and truncation count only where the truth has them."""
     known: dict[Level, list[str]] = {}
@@ -242,6 +211,38 @@ def _frames(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[greedy.Box
         yield tuple(sides)
 
 
+def iou_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], at_least: float = MATCH_IOU, places: int | None = None) -> DataFrame:
+    """(keys, truth_ord, predicted_ord, iou) of boxes with one set of keys whose overlap is above ``at_least``, rounded to ``places``, halves up in double precision."""
+    narrow = lambda boxes: boxes.select(*keys, *BOX_FIELDS[:5], F.lit(0.0).alias("score"))
+    groups = matching_groups(narrow(truth), narrow(predicted), keys, {"all": 0.0}, cut=False)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, rows = [], 0
+            for i, sides in enumerate(_frames(batch, keys)):
+                for t, p, overlap in greedy.pairs(*sides, at_least) if sides else ():
+                    held.append((np.full(len(t), i), sides[0].ord[t], sides[1].ord[p], overlap))
+                    rows += len(t)
+                    if rows >= ROWS:
+                        yield _pair_rows(batch, keys, held, places)
+                        held, rows = [], 0
+            if rows:
+                yield _pair_rows(batch, keys, held, places)
+
+    kinds = ", ".join(f"`{k}` {groups.rows.schema[k].dataType.simpleString()}" for k in keys)
+    return groups.rows.select(*keys, *LISTS).mapInArrow(fold, f"{kinds}, truth_ord long, predicted_ord long, iou double")
+
+
+def _pair_rows(batch: pa.RecordBatch, keys: list[str], held: list[tuple[np.ndarray, ...]], places: int | None) -> pa.RecordBatch:
+    at, truth, found, overlap = map(np.concatenate, zip(*held))
+    if places is not None:
+        scaled = overlap * 10.0**places
+        floor = np.floor(scaled)
+        overlap = (floor + (scaled - floor >= 0.5)) / 10.0**places
+    at = pa.array(at)
+    return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), pa.array(truth), pa.array(found), pa.array(overlap)], names=[*keys, "truth_ord", "predicted_ord", "iou"])
+
+
 def match_last(groups: Groups) -> DataFrame:
     """(keys, difficulty, eligible, tp, scores): first pass, in which a truth takes the last prediction that qualifies (score above 0)."""
     return groups.named(_first_pass(groups))

@@ -138,7 +138,7 @@ def queries():
         "frame_align_gt_present": align("gt_present"),
         "frame_align_gt_range": align("gt_range"),
         "alignment_counts": both(lambda t, p: matching.alignment_counts(matching.align_frames(t, p))),
-        "iou_pairs": both(lambda t, p: matching.iou_pairs(t, p, matching.FRAME).withColumn("iou", F.round("iou", 6))),
+        "iou_pairs": both(lambda t, p: matching.iou_pairs(t, p, matching.FRAME, places=6)),
         "greedy_match_last": lambda spark, folder: matching.match_last(_groups(spark, folder)).groupBy("difficulty").agg(F.sum("eligible").alias("eligible"), F.sum("tp").alias("tp"), F.round(F.sum(F.expr("aggregate(scores, 0D, (a, x) -> a + x)")), 6).alias("score_sum")),
         "greedy_match_best": _best,
         "pr_thresholds": lambda spark, folder: _thresholds(spark, folder).select("difficulty", "idx", F.round("threshold", 9).alias("threshold")),
