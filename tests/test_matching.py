@@ -274,3 +274,19 @@ def test_pairs_are_whole_over_parts(spark, monkeypatch):
     side = greedy.Boxes.of(np.arange(n), np.array([[0.0], [0.0], [40.0], [40.0]]) + np.zeros(n), np.zeros(n, int))
     got = [(a, b) for t, p, _ in greedy.pairs(side, side, 0.3) for a, b in zip(t.tolist(), p.tolist())]
     assert sorted(got) == [(a, b) for a in range(n) for b in range(n)]
+
+
+def test_first_pass_looks_at_few_overlaps(monkeypatch):
+    import numpy as np
+
+    from trackscope.operators import greedy
+
+    # Boxes at three places, of which the last predictions take the first truths: most pairs need no look.
+    n = 600
+    left = np.arange(n) % 3 * 100.0
+    side = greedy.Boxes.of(np.arange(n), np.stack([left, np.zeros(n), left + 40, np.full(n, 40.0)]), np.zeros(n, int), np.full(n, 0.5))
+    seen, overlaps = [], greedy._shared_and_whole
+    monkeypatch.setattr(greedy, "_shared_and_whole", lambda *a: seen.append(np.broadcast(a[0][0], a[1][0]).size) or overlaps(*a))
+    t, p = greedy.take_last(side, side, matching.MATCH_IOU)
+    assert [list(p[t % 3 == k]) for k in range(3)] == [list(range(n - 3 + k, -1, -3)) for k in range(3)]
+    assert sum(seen) < n * n / 4

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Predictions of the first pass that go together, and truths in which they look first.
+CHUNK, WINDOW = 64, 128
 #: Pairs of a frame that are looked at at once, truths of a part (at most) and of a block (at least), pairs of a block up to which nothing is left out,
 #: thresholds of one number of bits, frames that go side by side and boxes of these (of one frame at least), and candidates of a truth that are ordered before the rest.
 PAIRS, PART, BLOCK, CELLS, BITS, SIDE, BOXES, FIRST = 1 << 22, 256, 64, 1 << 16, 64, 256, 1 << 16, 20
@@ -124,7 +126,59 @@ def _equals(found: Boxes) -> np.ndarray | None:
 
 
 def take_last(truth: Boxes, found: Boxes, at_least: float) -> tuple[np.ndarray, np.ndarray]:
-    """First pass: each truth takes the last unused prediction with a score above 0; the places of both."""
+    """First pass: each truth takes the last unused prediction with a score above 0; the places of both.
+
+    All truths want the last prediction, so the same pairs come about if each prediction, from the last on, takes the first
+    truth that is left. It finds one among the first of them mostly, so that few overlaps are looked at.
+    """
+    if _equals(found) is not None:
+        return _take_last_of_equals(truth, found, at_least)
+    near = _real(found)
+    near, left = near[(found.scored & (found.rated > 0))[near]][::-1], _real(truth)
+    kind = np.float32 if _whole_numbers(truth.corners, found.corners) else float
+    t, p = truth.corners.astype(kind), found.corners.astype(kind)
+    of_truth, of_found = _area(t), _area(p)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    start = 0
+    while start < len(near) and len(left):
+        some = near[start : start + max(CHUNK, WINDOW * CHUNK // len(left))]
+        start += len(some)
+        first, gone = 0, np.zeros(len(left), bool)
+        while first < len(left) and len(some):
+            # The fewer predictions have found none, the more truths are looked at.
+            at = slice(first, first + max(WINDOW * CHUNK // len(some), WINDOW))
+            rows = left[at]
+            shared, whole = _shared_and_whole(p[:, some, None], t[:, rows], of_found[some, None], of_truth[rows])
+            above = shared > whole * kind(at_least * 0.999)
+            flat = np.flatnonzero(above)
+            low = shared.ravel()[flat].astype(float) / whole.ravel()[flat].astype(float) <= at_least
+            above.ravel()[flat[low]] = False
+            packed = np.packbits(above, axis=1, bitorder="little")
+            width, bits, open_ = packed.shape[1], packed.tobytes(), (1 << len(rows)) - 1
+            got, none = [], []
+            for row in range(len(some)):
+                if free := int.from_bytes(bits[row * width : (row + 1) * width], "little") & open_:
+                    free &= -free
+                    open_ ^= free
+                    got.append((row, free.bit_length() - 1))
+                else:
+                    none.append(row)
+            if got:
+                row, taken = np.array(got).T
+                pairs.append((rows[taken], some[row]))
+                gone[first + taken] = True
+            some = some[none]
+            first += len(rows)
+        left = left[~gone]
+    if not pairs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    truths, places = map(np.concatenate, zip(*pairs))
+    order = np.argsort(truths)
+    return truths[order], places[order]
+
+
+def _take_last_of_equals(truth: Boxes, found: Boxes, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """``take_last`` truth by truth, where predictions with the same ``ord`` are used together."""
     free, number, pairs = found.scored & (found.rated > 0), _equals(found), []
     kind = np.float32 if _whole_numbers(truth.corners, found.corners) else float
     t, p = truth.corners.astype(kind), found.corners.astype(kind)
