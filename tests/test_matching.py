@@ -290,3 +290,33 @@ def test_first_pass_looks_at_few_overlaps(monkeypatch):
     t, p = greedy.take_last(side, side, matching.MATCH_IOU)
     assert [list(p[t % 3 == k]) for k in range(3)] == [list(range(n - 3 + k, -1, -3)) for k in range(3)]
     assert sum(seen) < n * n / 4
+
+
+def test_first_pass_gathers_boxes_where_it_matches_them(spark):
+    one = boxes(spark, (1, 1, 0, 0, 40, 40, 1))
+    first = matching.match_last(matching.matching_groups(one, one, KEYS, cut=False))
+    assert first._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and first.first()["tp"] == 1
+
+
+def test_boxes_are_written_once_and_packed(spark, monkeypatch):
+    written, cut = [], matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    nameless = boxes(spark, (2, 5, 0, 0, 40, 40, 1)).withColumn("class_name", F.lit(None).cast("string"))
+    truth = boxes(spark, (1, 1, 0, 0, 40, 40, 1), (1, 2, 100, 0, 140.1, 15, 1)).union(nameless)
+    found = boxes(spark, (1, 10, 0, 0, 40, 40, 0.9), (1, 11, 100.1, 0, 140.1, 15, 0.8)).union(nameless)
+    curve = matching.detection_curve(truth, found, ["sequence_name", "frame_id"], KEYS)
+    at = {(r["difficulty"], r["idx"]): (r["tp"], r["fp"], r["fn"]) for r in curve.where("frame_id = 1").collect()}
+    assert at == {("easy", 0): (1, 0, 0), **{(d, i): (1 + i, 0, 1 - i) for d in ("moderate", "hard") for i in (0, 1)}}
+    assert sum("t_boxes" in columns for columns in written) == 1 and not any("t_ord" in columns for columns in written)
+
+
+def test_packed_boxes_are_as_before():
+    import numpy as np
+
+    from trackscope.operators import greedy
+
+    for corner in (3.0, 0.1, float("nan")):
+        side = greedy.Boxes.of(np.array([7, 1 << 40]), np.array([[0.0, corner], [0.0, 1.0], [40.0, 50.0], [9.0, 8.0]]), np.array([0, 3]), np.array([0.3, float("nan")]), np.array([True, False]))
+        back = matching._unpacked(matching._packed(side))
+        assert all(np.array_equal(getattr(side, c), getattr(back, c), equal_nan=c in ("corners", "score")) for c in ("ord", "corners", "mask", "score", "scored"))
+    assert len(matching._packed(greedy.Boxes.of(np.arange(9), np.zeros((4, 9)), np.zeros(9, int)))) == 16 + 9 * (8 + 8 + 4 * 4 + 4 + 1)

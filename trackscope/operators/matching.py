@@ -7,12 +7,13 @@ pairs grow with the square of the boxes in a frame, so that lists of candidates
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,11 +98,15 @@ def _mask(boxes: DataFrame, levels: list[tuple[Level, list[str]]]) -> Column:
 
 @dataclass(frozen=True)
 class Groups:
-    """Frames (and classes) with truth, ready to be matched: ``rows`` has keys and the boxes of both sides, a list for each field (``t_...``, ``p_...``)."""
+    """Frames (and classes) with truth, ready to be matched: ``rows`` has keys and the boxes of both sides, a list for each field (``t_...``, ``p_...``) or packed.
+
+    ``flat``: the boxes by a hash of their keys, if ``rows`` were not written.
+    """
 
     rows: DataFrame
     keys: list[str]
     names: list[list[str]]
+    flat: DataFrame | None = None
 
     def named(self, df: DataFrame) -> DataFrame:
         """``level`` replaced by a row for each ``difficulty`` that it stands for."""
@@ -112,6 +117,8 @@ class Groups:
 #: The lists of a group's row.
 T_LISTS = [f"t_{c}" for c in (*BOX_FIELDS[:5], "mask")]
 LISTS = [*T_LISTS, *(f"p_{c}" for c in (*BOX_FIELDS, "mask"))]
+#: The same as bytes, which pass between Spark and Python as they are.
+PACKED = ["t_boxes", "p_boxes"]
 
 
 def matching_groups(truth: DataFrame, predicted: DataFrame, keys: list[str], difficulties: dict[str, Level | float] | None = None, cut: bool = True) -> Groups:
@@ -128,7 +135,7 @@ def matching_groups(truth: DataFrame, predicted: DataFrame, keys: list[str], dif
     flat = _spread(t.unionByName(p, True), keys).withColumn("_hash", F.xxhash64(*keys)).sortWithinPartitions("_hash")
     kinds = [f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} array<{flat.schema[c[2:]].dataType.simpleString()}>" for c in LISTS]
     rows = flat.mapInArrow(partial(_gathered, keys), ", ".join(kinds))
-    return Groups(cut_lineage(rows) if cut else rows, keys, [names for _, names in levels])
+    return Groups(cut_lineage(rows) if cut else rows, keys, [names for _, names in levels], None if cut else flat)
 
 
 #: Rows of boxes that are made lists at once, where a group has no more.
@@ -191,8 +198,29 @@ def _lists(column: pa.Array) -> tuple[list[int], np.ndarray, np.ndarray]:
     return column.offsets.to_pylist(), filled.to_numpy(zero_copy_only=False), known
 
 
+def _packed(boxes: greedy.Boxes) -> bytes:
+    """``boxes`` as bytes; corners in single precision where that is exact."""
+    corners = boxes.corners.astype(np.float32)
+    corners = corners if np.array_equal(corners, boxes.corners) else boxes.corners
+    return b"".join(a.tobytes() for a in (np.array([len(boxes.ord), corners.itemsize]), boxes.ord.astype(np.int64), boxes.score.astype(float), corners, boxes.mask.astype(np.int32), boxes.scored))
+
+
+def _unpacked(packed: bytes) -> greedy.Boxes:
+    n, size = np.frombuffer(packed, np.int64, 2).tolist()
+    fields, at = [], 16
+    for kind, times in ((np.int64, 1), (float, 1), (f"f{size}", 4), (np.int32, 1), (bool, 1)):
+        fields.append(np.frombuffer(packed, kind, n * times, at))
+        at += fields[-1].nbytes
+    ord_, score, corners, mask, scored = fields
+    return greedy.Boxes(ord_, corners.reshape(4, n).astype(float), mask, score, scored)
+
+
 def _frames(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[greedy.Boxes, greedy.Boxes] | None]:
     """Truth and predictions of each row. Keys with a null match nothing (None)."""
+    if PACKED[0] in batch.schema.names:
+        for sides in zip(*(batch.column(c) for c in PACKED)):
+            yield tuple(_unpacked(side.as_buffer()) for side in sides) if sides[0].is_valid else None
+        return
     lists = {c: _lists(batch.column(c)) for c in LISTS}
     unkeyed = np.zeros(batch.num_rows, bool)
     for k in keys:
@@ -248,28 +276,41 @@ def match_last(groups: Groups) -> DataFrame:
     return groups.named(_first_pass(groups))
 
 
-def _first_pass(groups: Groups) -> DataFrame:
-    levels, keys = len(groups.names), list(groups.keys)
+def _first_pass(groups: Groups, keep: bool = False) -> DataFrame:
+    """(keys, level, eligible, tp, scores); with ``keep`` the boxes too, packed, in the row of level 0."""
+    levels, keys, gather = len(groups.names), list(groups.keys), groups.flat is not None
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(keys, batches) if gather else batches:
             eligible, found, none = [], [], np.empty(0)
+            packed: list[list[bytes | None]] = [[], []]
             ends, masks, _ = _lists(batch.column("t_mask"))
             for i, sides in enumerate(_frames(batch, keys)):
                 if sides:
                     truth, near = sides
                     t, p = greedy.take_last(truth, near, MATCH_IOU)
                     both, scores = truth.mask[t] | near.mask[p], near.score[p]
+                if keep:
+                    for side, boxes in zip(packed, sides or (None, None)):
+                        side += [boxes and _packed(boxes), *[None] * (levels - 1)]
                 for level in range(levels):
                     eligible.append(np.count_nonzero(masks[ends[i] : ends[i + 1]] & 1 << level == 0))
                     found.append(scores[both & 1 << level == 0] if sides else none)
             at = pa.array(np.repeat(np.arange(batch.num_rows), levels))
             sizes = [len(s) for s in found]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([none, *found]), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), pa.array(list(range(levels)) * batch.num_rows, pa.int32()), pa.array(eligible, pa.int64()), pa.array(sizes, pa.int64()), lists], names=[*keys, "level", "eligible", "tp", "scores"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), pa.array(list(range(levels)) * batch.num_rows, pa.int32()), pa.array(eligible, pa.int64()), pa.array(sizes, pa.int64()), lists, *(pa.array(side, pa.binary()) for side in packed[: 2 * keep])], names=[*keys, "level", "eligible", "tp", "scores", *PACKED[: 2 * keep]])
 
     kinds = ", ".join(f"`{k}` {groups.rows.schema[k].dataType.simpleString()}" for k in groups.keys)
-    return groups.rows.select(*groups.keys, *LISTS).mapInArrow(fold, f"{kinds}, level int, eligible long, tp long, scores array<double>")
+    boxes = groups.flat if gather else groups.rows.select(*groups.keys, *LISTS)
+    return boxes.mapInArrow(fold, f"{kinds}, level int, eligible long, tp long, scores array<double>" + "".join(f", {c} binary" for c in PACKED[: 2 * keep]))
+
+
+def _first_and_packed(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> tuple[DataFrame, Groups]:
+    """The first pass, written together with the boxes that it gathered, and these for the second."""
+    groups = matching_groups(truth, predicted, keys, cut=False)
+    first = cut_lineage(_first_pass(groups, True))
+    return first.drop(*PACKED), replace(groups, rows=first.where("level = 0").select(*keys, *PACKED), flat=None)
 
 
 def match_best(groups: Groups, thresholds: Column | DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -281,6 +322,7 @@ def match_best(groups: Groups, thresholds: Column | DataFrame, by: list[str] | N
     in the array, whose order is free.
     """
     by, keys, levels = by or groups.keys, list(groups.keys), len(groups.names)
+    boxes = PACKED if PACKED[0] in groups.rows.columns else LISTS
     if isinstance(thresholds, Column):
         rows = groups.rows.withColumn("_th", F.array(*[thresholds.cast("array<double>")] * levels))
     else:
@@ -293,7 +335,8 @@ def match_best(groups: Groups, thresholds: Column | DataFrame, by: list[str] | N
         for batch in batches:
             sums: dict[tuple, tuple[np.ndarray, list[float]]] = {}
             # Frames that go side by side should have about as many truths.
-            batch = batch.take(pa.array(np.argsort(np.diff(batch.column("t_ord").offsets.to_numpy()), kind="stable")))
+            truths = pc.binary_length(batch.column("t_boxes")).fill_null(0).to_numpy(zero_copy_only=False) if PACKED[0] in batch.schema.names else np.diff(batch.column("t_ord").offsets.to_numpy())
+            batch = batch.take(pa.array(np.argsort(truths, kind="stable")))
             names = zip(*(batch.column(k).to_pylist() for k in by))
             frames = zip(names, batch.column("_th").to_pylist(), _frames(batch, keys))
             while some := list(islice(frames, greedy.SIDE)):
@@ -315,7 +358,7 @@ def match_best(groups: Groups, thresholds: Column | DataFrame, by: list[str] | N
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[*by, "level", "idx", "threshold", "tp", "fp", "fn"])
 
     kinds = ", ".join(f"`{k}` {groups.rows.schema[k].dataType.simpleString()}" for k in by)
-    return groups.named(rows.select(*keys, *LISTS, "_th").mapInArrow(fold, f"{kinds}, level int, idx int, threshold double, tp long, fp long, fn long"))
+    return groups.named(rows.select(*keys, *boxes, "_th").mapInArrow(fold, f"{kinds}, level int, idx int, threshold double, tp long, fp long, fn long"))
 
 
 def threshold_ranks(found: Column, eligible: Column) -> Column:
@@ -372,8 +415,7 @@ def average_precision(curve: DataFrame, by: list[str], known: DataFrame, rounded
 
 def detection_ap(truth: DataFrame, predicted: DataFrame, by: list[str], keys: list[str] | None = None, rounded: bool = True) -> DataFrame:
     """(by, difficulty, ap11, ap41): both passes over the frames with truth (of the class, where ``by`` names the class)."""
-    groups = matching_groups(truth, predicted, keys or list(dict.fromkeys([*FRAME, *by])))
-    first = cut_lineage(_first_pass(groups))
+    first, groups = _first_and_packed(truth, predicted, keys or list(dict.fromkeys([*FRAME, *by])))
     thresholds = cut_lineage(pr_thresholds(first, by, "level"))
     known = groups.named(first.select(*by, "level").distinct())
     return average_precision(pr_curve(groups, by, thresholds), by, known, rounded)
@@ -381,8 +423,8 @@ def detection_ap(truth: DataFrame, predicted: DataFrame, by: list[str], keys: li
 
 def detection_curve(truth: DataFrame, predicted: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     """``pr_curve`` of both passes."""
-    groups = matching_groups(truth, predicted, keys)
-    return pr_curve(groups, by, cut_lineage(pr_thresholds(cut_lineage(_first_pass(groups)), by, "level")))
+    first, groups = _first_and_packed(truth, predicted, keys)
+    return pr_curve(groups, by, cut_lineage(pr_thresholds(first, by, "level")))
 
 
 def mean_ap(ap: DataFrame, by: list[str]) -> DataFrame:
