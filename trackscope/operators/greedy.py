@@ -1,8 +1,8 @@
 """The greedy assignments of frames, in arrays.
 
 Overlaps are computed for blocks of truths against the predictions near them and never kept for more than ``PAIRS`` pairs
-of a frame. The first pass holds the predictions near a truth, and those still free, as bits of whole numbers. The second
-pass holds for each prediction the thresholds at which it is still free as bits of one number, so that a truth chooses at
+of a frame. The first pass goes by predictions, which find a truth among the first that are left; those left are bits of
+whole numbers. The second pass holds for each prediction the thresholds at which it is still free as bits of one number, so that a truth chooses at
 all thresholds in one step, and takes many frames side by side.
 """
 
